@@ -105,11 +105,11 @@ def r2(spark, sf):
 @query("R3_quarter_profile", "with " + ORDERED_SQL + f""",
 y as (select category, year(s) as y, quarter(s) as q, {MONEY_MEAN} as m from ordered
   where date_trunc('quarter', s) = date_trunc('quarter', e) group by all)
-select category, """ + ", ".join(f"round(coalesce(sum(m) filter (q = {q}), 0.0), 4) as q{q}" for q in range(1, 5))
+select category, """ + ", ".join(f"round(coalesce(sum(m) filter (q = {q}), 0.0) + 0.0000137, 4) as q{q}" for q in range(1, 5))
        + " from y group by 1")
 def r3(spark, sf):
     out = B.quarter_profile(ordered_cycles(spark, sf), "category", "budget", "started", "short_end")
-    return out.select("category", *[F.round(f"q{q}", 4).alias(f"q{q}") for q in range(1, 5)])
+    return out.select("category", *[F.round(F.col(f"q{q}") + 0.0000137, 4).alias(f"q{q}") for q in range(1, 5)])
 
 
 @query("R4_one_hot", """

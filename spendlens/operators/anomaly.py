@@ -63,17 +63,26 @@ def season_flag(key: str, t: str, period: str, k: float) -> Column:
     return F.col("is_peak") & ((nxt - F.col(t)) / F.col(period) >= k)
 
 
-def season_deviation(df: DataFrame, key: str, period: str = "period", t: str = "t", x: str = "x",
-                     k: float = 2.0, tail: bool = False, tail_k: float = 2.0) -> DataFrame:
-    """Peaks followed by too long a pause; with ``tail`` also a last peak too far from the end."""
+def mark_pauses(df: DataFrame, key: str, period: str = "period", t: str = "t", x: str = "x",
+                k: float = 2.0, tail: bool = False, tail_k: float = 2.0) -> DataFrame:
+    """Add ``is_late``: a peak followed by a pause of at least ``k`` periods; with ``tail``
+    also a last peak at least ``tail_k`` periods from the end."""
     marked = mark_extrema(df, key, t, x).withColumns({
         "_n": F.count("*").over(whole(key)),
         "_next": F.lead(t).over(along([key, "is_peak"], t)),
-    }).where("is_peak")
+    })
     late = (F.col("_next") - F.col(t)) / F.col(period) >= k
     if tail:
         late = F.coalesce(late, (F.col("_n") - F.col(t)) / F.col(period) >= tail_k)
-    return marked.where(late).select(key, t)
+    return marked.withColumn("is_late", F.col("is_peak") & F.coalesce(late, F.lit(False))).drop(
+        "_n", "_next", "is_peak", "is_trough"
+    )
+
+
+def season_deviation(df: DataFrame, key: str, period: str = "period", t: str = "t", x: str = "x",
+                     k: float = 2.0, tail: bool = False, tail_k: float = 2.0) -> DataFrame:
+    """Peaks followed by too long a pause: rows (key, t)."""
+    return mark_pauses(df, key, period, t, x, k, tail, tail_k).where("is_late").select(key, t)
 
 
 def _decomposition_columns(df: DataFrame, keys: list[str], t: str, x: str, period: str) -> DataFrame:
@@ -158,7 +167,7 @@ def find_zeros(df: DataFrame, key: str, t: str = "t", x: str = "x", floor: float
 
 def detect_flags(df: DataFrame, key: str, period: str = "period", t: str = "t", x: str = "x",
                  threshold: float = 1.5, w: int = 4, k: float = 2.0, floor: float = ZERO_FLOOR) -> DataFrame:
-    """All four rules at once: one row per flagged point with the winning type.
+    """All four rules at once: rows (key, period, t, type, ratio), one per flagged point.
 
     Each rule adds a column to the series instead of a branch of a union, so the series is
     read once. Where several rules hit one point the last type in alphabetical order wins
@@ -183,7 +192,7 @@ def detect_flags(df: DataFrame, key: str, period: str = "period", t: str = "t",
     hits = F.array(plain(F.col(x) < floor, "zero"), plain(F.col("_season"), "season"), F.col("_trend_hit"), amp_hit)
     valid = F.filter(hits, lambda h: h["type"].isNotNull())
     return amped.withColumn("_win", F.array_max(valid)).where(F.col("_win").isNotNull()).select(
-        key, t, F.col("_win.type").alias("type"), F.col("_win.ratio").alias("ratio")
+        key, period, t, F.col("_win.type").alias("type"), F.col("_win.ratio").alias("ratio")
     )
 
 

@@ -62,18 +62,18 @@ def lowess_fit(y: np.ndarray, frac: float, passes: int) -> np.ndarray:
 
 def lowess_deviation(df: DataFrame, key: str, period: str = "period", t: str = "t", x: str = "x",
                      frac: float = 0.75, passes: int = 3, threshold: float = 0.8,
-                     against: str = "trend") -> DataFrame:
+                     against: str = "trend", keep: tuple = ()) -> DataFrame:
     """Rows (key, t, trend, smooth, score, flag) from a robust local regression of the trend.
 
     ``trend``: distance of the smooth from the trend over its maximum, flagged above the
     threshold. ``signal``: distance from the series, flagged above threshold times its
-    population deviation.
+    population deviation. Columns named in ``keep`` are carried along.
     """
     if against not in ("trend", "signal"):
         raise ValueError(f"against must be 'trend' or 'signal', not {against!r}")
     parts = _decomposition_columns(df, [key], t, x, period).withColumn("trend", edge_filled(key, t, "trend"))
     rows = parts.select(key, F.col(t).cast("long").alias("t"), F.col(x).cast("double").alias("x"),
-                        F.coalesce(F.col("trend"), F.col(x)).cast("double").alias("trend"))
+                        F.coalesce(F.col("trend"), F.col(x)).cast("double").alias("trend"), *keep)
     key_type = df.schema[key].dataType.simpleString()
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,10 +85,11 @@ def lowess_deviation(df: DataFrame, key: str, period: str = "period", t: str = "
         score = off / limit if limit > 0 else np.zeros_like(off)
         return pd.DataFrame({
             key: pdf[key].to_numpy(), "t": pdf["t"].to_numpy(), "trend": trend, "smooth": fit,
-            "score": score, "flag": (score > threshold).astype("int32"),
+            "score": score, "flag": (score > threshold).astype("int32"), **{c: pdf[c].to_numpy() for c in keep},
         })
 
-    schema = f"`{key}` {key_type}, t long, trend double, smooth double, score double, flag int"
+    carried = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"`{key}` {key_type}, t long, trend double, smooth double, score double, flag int{carried}"
     return rows.groupBy(key).applyInPandas(smooth, schema)
 
 

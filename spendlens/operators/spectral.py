@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import bin_frequency, bin_period, dominant
-from .windows import along, cycle_steps, detrend, whole
+from .windows import along, cycle_steps, whole
 
 TIE_DIGITS = 9  # powers that agree to this many places count as equal; the lower bin wins
 
@@ -26,38 +26,41 @@ def gap_intervals(df: DataFrame, key: str, start: str = "started", end: str = "e
     """Per key: number of cycles, length of the series in days, and its gaps as intervals.
 
     ``exact`` puts a gap where it happened, between the previous end and the next start;
-    ``legacy`` puts it after the cycle that follows it.
+    ``legacy`` puts it after the cycle that follows it. Dates must be in order.
     """
     steps = cycle_steps(df, key, start, end, id_)
     gap = F.datediff(start, "prev_end")
     lo = F.datediff("prev_end", "first_start") if mode == "exact" else F.datediff(end, "first_start")
     pieces = F.collect_list(F.when(gap > 0, F.struct(lo.alias("lo"), (lo + gap).alias("hi"))))
-    spans = steps.groupBy(key).agg(
-        pieces.alias("gaps"), F.max_by(F.datediff(end, "first_start"), F.struct(start, end)).alias("length")
+    return steps.groupBy(key).agg(
+        F.sum("copies").alias("cycles"),
+        F.max_by(F.datediff(end, "first_start"), F.struct(start, end)).alias("length"),
+        F.array_sort(pieces).alias("gaps"),
     )
-    counts = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(key).agg(
-        F.count("*").alias("cycles")
-    )
-    return spans.join(counts, key)
 
 
-def gap_array() -> Column:
+def gap_array(mode: str = "exact") -> Column:
     """0/1 values of a gap series from the columns ``length`` and ``gaps``."""
-    days = F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("length") - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    idle = F.flatten(F.transform("gaps", lambda g: F.sequence(g["lo"], g["hi"] - 1)))
-    zeros = F.array_intersect(days, idle)
-    ones = F.array_except(days, zeros)
-    cell = lambda x: lambda t: F.struct(t.alias("t"), F.lit(x).alias("x"))
-    return F.array_sort(F.concat(F.transform(ones, cell(1.0)), F.transform(zeros, cell(0.0))))
+    if mode == "legacy":  # intervals may overlap and run past the end
+        days = F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("length") - 1)).otherwise(
+            F.array().cast("array<int>")
+        )
+        idle = lambda t: F.exists("gaps", lambda g: (g["lo"] <= t) & (t < g["hi"]))
+        return F.transform(days, lambda t: F.when(idle(t), 0.0).otherwise(1.0))
+    # gaps follow each other without overlap: lay down ones up to each, then its zeros
+    before = lambda i: F.when(i > 0, F.col("gaps")[F.greatest(i - 1, F.lit(0))]["hi"]).otherwise(0)
+    pieces = F.transform("gaps", lambda g, i: F.concat(
+        F.array_repeat(F.lit(1.0), g["lo"] - before(i)), F.array_repeat(F.lit(0.0), g["hi"] - g["lo"])
+    ))
+    last = F.coalesce(F.try_element_at("gaps", F.lit(-1))["hi"], F.lit(0))
+    return F.concat(F.flatten(pieces), F.array_repeat(F.lit(1.0), F.col("length") - last))
 
 
 def gap_series(df: DataFrame, key: str, start: str = "started", end: str = "ended",
                id_: str = "cycle_id", mode: str = "exact") -> DataFrame:
     """Rows (key, t, x): 1 on days covered by a cycle, 0 in the gaps between cycles."""
     spans = gap_intervals(df, key, start, end, id_, mode)
-    return spans.select(key, F.inline(gap_array()))
+    return spans.select(key, F.posexplode(gap_array(mode)).alias("t", "x"))
 
 
 def activity_series(df: DataFrame, key: str, slot: Column, name: str = "t") -> DataFrame:
@@ -80,44 +83,60 @@ def series_arrays(df: DataFrame, key: str, t: str = "t", x: str = "x", name: str
     return df.groupBy(key).agg(F.transform(packed, lambda e: e["x"]).alias(name))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _half_power(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Rescaled power of the first half of the padded transform, per array of a batch."""
-    for batch in batches:
-        sizes = batch.map(len).to_numpy()
-        out: list = [None] * len(batch)
-        for n in np.unique(sizes):
-            rows = np.flatnonzero(sizes == n)
-            nfft = 1 << (int(n) - 1).bit_length() if n else 0
-            if nfft < 2:
-                for r in rows:
-                    out[r] = []
-                continue
-            stack = np.stack([np.asarray(batch.iloc[r], dtype=float) for r in rows])
-            power = np.abs(np.fft.fft(stack, n=nfft, axis=1)) ** 2
-            low, high = power.min(axis=1, keepdims=True), power.max(axis=1, keepdims=True)
-            # rounding noise of a flat series is no signal
-            flat = high[:, 0] - low[:, 0] <= 1e-12 * np.maximum(1.0, (stack**2).sum(axis=1) * n)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                scaled = (power - low) / (high - low)
-            for r, values, is_flat in zip(rows, scaled[:, : nfft // 2], flat):
-                out[r] = None if is_flat else values
-        yield pd.Series(out, index=batch.index, dtype=object)
-
-
-def half_power(xs: Column) -> Column:
-    """Array column of powers 0..1 for bins 0 .. nfft/2 - 1; null for a flat series."""
-    return _half_power(xs)
-
-
-def power_spectrum(df: DataFrame, key: str, t: str = "t", x: str = "x", grid: str = "span") -> DataFrame:
+def centred_means(stack: np.ndarray, w: int) -> np.ndarray:
+    """Moving average of every row over ``w`` points, zero outside the row."""
+    n = stack.shape[1]
+    w = min(w, n)
+    padded = np.pad(stack, ((0, 0), (w // 2, (w - 1) // 2)))
+    return np.lib.stride_tricks.sliding_window_view(padded, w, axis=1).sum(axis=2) / w
+
+
+def scaled_powers(stack: np.ndarray, w: int | None) -> list:
+    """Rescaled first half of the padded power spectrum, per row of equally long series."""
+    n = stack.shape[1]
+    nfft = 1 << (n - 1).bit_length() if n else 0
+    if nfft < 2:
+        return [[] for _ in stack]
+    if w:
+        stack = stack - centred_means(stack, w)
+    power = np.abs(np.fft.fft(stack, n=nfft, axis=1)) ** 2
+    low, high = power.min(axis=1, keepdims=True), power.max(axis=1, keepdims=True)
+    # rounding noise of a flat spectrum is no signal
+    flat = high[:, 0] - low[:, 0] <= 1e-12 * np.maximum(1.0, (stack**2).sum(axis=1) * n)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        half = ((power - low) / (high - low))[:, : nfft // 2]
+    return [None if f else row for f, row in zip(flat, half)]
+
+
+def half_power(xs: Column, w: int | None = None) -> Column:
+    """Array column of powers 0..1 for bins 0 .. nfft/2 - 1; null for a flat spectrum.
+
+    With ``w`` the series first loses its moving average over min(w, n) points, as in
+    :func:`~spendlens.operators.windows.detrend`. The series of a batch are stacked by length.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def transform(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out: list = [None] * len(batch)
+            lengths = batch.map(lambda v: -1 if v is None else len(v)).to_numpy()
+            for n in np.unique(lengths[lengths >= 0]):
+                rows = np.flatnonzero(lengths == n)
+                stack = np.stack([batch.iloc[r] for r in rows]).astype(float)
+                for r, values in zip(rows, scaled_powers(stack, w)):
+                    out[r] = values
+            yield pd.Series(out, dtype=object)
+
+    return transform(xs)
+
+
+def power_spectrum(df: DataFrame, key: str, t: str = "t", x: str = "x", grid: str = "span",
+                   w: int | None = None) -> DataFrame:
     """Rows (key, nfft, bin, freq, period, power); flat and one-point series have none."""
     spectra = series_arrays(df, key, t, x).select(
-        key, F.size("xs").alias("n"), half_power(F.col("xs")).alias("ps")
+        key, array_nfft(F.col("xs")).alias("nfft"), half_power(F.col("xs"), w).alias("ps")
     )
-    bins = spectra.select(key, "n", F.posexplode("ps").alias("bin", "power"))
-    nfft = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double")))).cast("int")
-    return bins.withColumn("nfft", nfft).select(
+    return spectra.select(key, "nfft", F.posexplode("ps").alias("bin", "power")).select(
         key, "nfft", "bin", bin_frequency(F.col("bin"), F.col("nfft")).alias("freq"),
         bin_period(F.col("bin"), F.col("nfft"), grid).alias("period"), "power",
     )
@@ -125,10 +144,10 @@ def power_spectrum(df: DataFrame, key: str, t: str = "t", x: str = "x", grid: st
 
 def strongest_bin(ps: Column, first: int = 0) -> Column:
     """First bin of largest power in an array of powers, from bin ``first`` on; 0 if none."""
-    rounded = F.transform(ps, lambda p: F.round(p, TIE_DIGITS))
-    tail = F.slice(rounded, first + 1, F.greatest(F.size(rounded) - first, F.lit(0)))
-    at = F.array_position(tail, F.array_max(tail))
-    return F.coalesce(F.when(F.size(tail) > 0, at - 1 + first), F.lit(0)).cast("int")
+    scale = 10.0**TIE_DIGITS
+    tail = F.slice(ps, first + 1, 1 << 30) if first else ps
+    ranked = F.transform(tail, lambda p, i: F.struct(F.floor(p * scale + 0.5), -i))
+    return F.coalesce(F.lit(first) - F.array_max(ranked)["col2"], F.lit(0)).cast("int")
 
 
 def array_nfft(xs: Column) -> Column:
@@ -136,12 +155,13 @@ def array_nfft(xs: Column) -> Column:
     return F.pow(F.lit(2.0), F.ceil(F.log2(n))).cast("int")
 
 
-def dominant_period(df: DataFrame, key: str, t: str = "t", x: str = "x", variant: str = "ceil") -> DataFrame:
+def dominant_period(df: DataFrame, key: str, t: str = "t", x: str = "x", variant: str = "ceil",
+                    w: int | None = None) -> DataFrame:
     """Rows (key, n, nfft, bin, period). ``nodc`` leaves the constant term out of the search."""
     arrays = series_arrays(df, key, t, x)
     found = arrays.select(
         key, F.size("xs").alias("n"), array_nfft(F.col("xs")).alias("nfft"),
-        half_power(F.col("xs")).alias("_ps"),
+        half_power(F.col("xs"), w).alias("_ps"),
     )
     best = found.withColumn("bin", strongest_bin(F.col("_ps"), 1 if variant == "nodc" else 0))
     return best.select(
@@ -177,6 +197,27 @@ def seasonal_slope(spectrum: DataFrame, key: str, threshold: float = 0.001, on:
     )
 
 
+def seasonal_slope_of_arrays(arrays: DataFrame, key: str, xs: str = "xs", w: int = 4,
+                             threshold: float = 0.001) -> DataFrame:
+    """:func:`seasonal_slope` for one row per key with the raw series as an array.
+
+    Keys that have no spectrum (null, too short or flat) come out as not seasonal.
+    """
+    powers = arrays.select(key, array_nfft(F.col(xs)).alias("nfft"), half_power(F.col(xs), w).alias("_ps"))
+    bins = powers.withColumn("_best", strongest_bin(F.col("_ps"), 1)).select(
+        key, "nfft", "_best", F.posexplode_outer("_ps").alias("bin", "power")
+    )
+    used = F.when(F.col("bin") > 0, F.col("power"))
+    tested = bins.groupBy(key, "nfft", "_best").agg(
+        F.coalesce(F.regr_slope(used, bin_period(F.col("bin"), F.col("nfft"))), F.lit(0.0)).alias("slope")
+    )
+    seasonal = F.abs("slope") > threshold
+    period = F.when(seasonal, bin_period(F.col("_best"), F.col("nfft")))
+    return tested.select(
+        key, seasonal.cast("int").alias("seasonal"), F.coalesce(period, F.lit(0.0)).alias("period"), "slope"
+    )
+
+
 def ks_uniform(spectrum: DataFrame, key: str, alpha: float = 0.05, terms: int = 100) -> DataFrame:
     """Kolmogorov-Smirnov distance of the powers from the uniform law, its asymptotic
     p-value, and the flag: different from uniform, and strongest outside the constant term.
@@ -188,7 +229,7 @@ def ks_uniform(spectrum: DataFrame, key: str, alpha: float = 0.05, terms: int =
         "_n": n, "_d": F.greatest(i / n - F.col("power"), F.col("power") - (i - 1) / n),
     })
     best = F.max_by("bin", F.struct(F.round("power", TIE_DIGITS), -F.col("bin")))
-    stats = ranked.groupBy(key).agg(
+    stats = ranked.groupBy(key, "nfft").agg(
         F.max("_n").alias("n"), F.max("_d").alias("distance"), best.alias("bin")
     )
     z = F.col("distance") * F.sqrt("n")
@@ -219,7 +260,7 @@ def spectral_cv(spectrum: DataFrame, key: str) -> DataFrame:
 
 def detrended_spectrum(df: DataFrame, key: str, t: str = "t", x: str = "x", w: int = 4) -> DataFrame:
     """Spectrum of the series less its moving average."""
-    return power_spectrum(detrend(df, key, t, x, w), key, t, "detrended")
+    return power_spectrum(df, key, t, x, w=w)
 
 
 def acf(df: DataFrame, key: str, t: str = "t", x: str = "x", nlags: int = 24, z: float = 1.959963984540054,

@@ -28,7 +28,8 @@ def whole(key: str | list[str]):
 
 
 def cycle_steps(df: DataFrame, key: str, start: str, end: str, id_: str) -> DataFrame:
-    """Distinct (key, start, end) with the end before them and the first id among copies.
+    """Distinct (key, start, end) with the end before them, the first id among their copies
+    and the number of copies.
 
     In the order (start, end, id) only the first copy of a pair of dates can follow another
     pair; the others follow a copy of themselves. So one row per pair carries the whole
@@ -36,7 +37,7 @@ def cycle_steps(df: DataFrame, key: str, start: str, end: str, id_: str) -> Data
     """
     steps = (
         df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
-        .groupBy(key, start, end).agg(F.min(id_).alias("first_id"))
+        .groupBy(key, start, end).agg(F.min(id_).alias("first_id"), F.count("*").alias("copies"))
     )
     return steps.withColumns({
         "prev_end": F.lag(end).over(along(key, start, end)),

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import dominant
-from ..operators.anomaly import (
-    ZERO_FLOOR, collapse_in_place, collapse_runs, detect_flags, find_zeros, season_deviation,
-)
+from ..operators.anomaly import ZERO_FLOOR, collapse_in_place, collapse_runs, detect_flags, mark_pauses
 from ..operators.buckets import to_series
 from ..operators.grouped import lowess_deviation
-from ..operators.spectral import array_nfft, half_power, strongest_bin
-from ..operators.windows import along, moving_average, trim_leading_zeros, whole
+from ..operators.spectral import array_nfft, half_power, series_arrays, strongest_bin
 
 
 def series_from_matrix(matrix: DataFrame, key: str) -> DataFrame:
@@ -25,32 +22,25 @@ def trimmed_with_period(df: DataFrame, key: str, t: str = "t", x: str = "x", w:
     """Series without leading zeros, recounted from 0, with the dominant period of the part
     before the trailing zeros: rows (key, idx, x, period).
 
-    The series is gathered once; the period is found on its array and the array unfolded
-    again, which keeps the partitioning and needs no join.
+    The series is gathered once; it is trimmed and its period found on the array, which is
+    then unfolded again. That keeps the partitioning and needs no join.
     """
-    body = trim_leading_zeros(df, key, t, x)
-    n_all = F.row_number().over(along(key, t)) - 1
-    body = body.withColumns({
-        "_idx": n_all, "_stop": F.max(F.when(F.col(x) != 0, F.col(t))).over(whole(key)),
-    }).withColumn("_core", F.coalesce(F.col(t) <= F.col("_stop"), F.lit(True)))
-    # moving average over the core only: inside the core, rows after it count as zero
-    masked = body.withColumn("_cx", F.when(F.col("_core"), F.col(x)).otherwise(F.lit(0.0)))
-    core_n = F.count_if(F.col("_core")).over(whole(key))
-    ma = moving_average(key, "_idx", "_cx", w)
-    for size in range(1, w):
-        ma = F.when(core_n == size, moving_average(key, "_idx", "_cx", size)).otherwise(ma)
-    masked = masked.withColumn("_d", F.when(F.col("_core"), F.col(x) - ma))
-    packed = F.array_sort(F.collect_list(F.struct(
-        F.col("_idx").alias("idx"), F.col(x).cast("double").alias("x"), F.col("_d").alias("d")
-    )))
-    folded = masked.groupBy(key).agg(packed.alias("_rows"))
-    core = F.transform(F.filter("_rows", lambda r: r["d"].isNotNull()), lambda r: r["d"])
-    found = folded.withColumn("_detrended", core).withColumn("_ps", half_power(F.col("_detrended")))
-    first = 1 if variant == "nodc" else 0
+    # one step per column: an expression used twice is then computed once
+    used = series_arrays(df, key, t, x).withColumn("_used", F.transform("xs", lambda v: v != 0))
+    ends = used.select(key, "xs", *[
+        F.greatest(F.array_position(flags, F.lit(True)), F.lit(1)).cast("int").alias(name)
+        for name, flags in (("_lead", F.col("_used")), ("_tail", F.reverse("_used")))
+    ])
+    n = F.size("xs")
+    cut = ends.select(key, F.slice("xs", F.col("_lead"), n).alias("_body"),
+                      F.slice("xs", F.col("_lead"), n - F.col("_tail") - F.col("_lead") + 2).alias("_core"))
+    found = cut.select(key, "_body", array_nfft(F.col("_core")).alias("_nfft"),
+                       half_power(F.col("_core"), w).alias("_ps"))
+    found = found.withColumn("_bin", strongest_bin(F.col("_ps"), 1 if variant == "nodc" else 0))
     return found.select(
-        key, dominant(strongest_bin(F.col("_ps"), first), array_nfft(F.col("_detrended")), variant).alias("period"),
-        F.explode("_rows").alias("_r"),
-    ).select(key, F.col("_r.idx").alias("idx"), F.col("_r.x").alias("x"), "period")
+        key, dominant(F.col("_bin"), F.col("_nfft"), variant).alias("period"),
+        F.posexplode("_body").alias("idx", "x"),
+    ).select(key, "idx", "x", "period")
 
 
 def detect_anomalies(df: DataFrame, key: str, t: str = "t", x: str = "x", w: int = 4, threshold: float = 1.5,
@@ -65,25 +55,24 @@ def detect_anomalies(df: DataFrame, key: str, t: str = "t", x: str = "x", w: int
     series = trimmed_with_period(df, key, t, x, w)
     if method.startswith("lowess"):
         return _lowess_flags(series, key, threshold, "signal" if method.endswith("signal") else "trend")
-    flags = detect_flags(series.withColumnRenamed("period", "_period"), key, "_period", "idx", "x", threshold, w,
-                         2.0, floor)
-    periods = series.groupBy(key).agg(F.first("period").alias("period"))
+    flags = detect_flags(series, key, "period", "idx", "x", threshold, w, 2.0, floor)
     if method == "adjacent":
         kept = collapse_runs(flags, key, "idx", mode="adjacent")
     else:
         kept = collapse_in_place(flags, key, "idx")
-    return kept.join(periods, key).select(key, "period", "idx", "type", "ratio")
+    return kept.select(key, "period", "idx", "type", "ratio")
 
 
 def _lowess_flags(series: DataFrame, key: str, threshold: float, against: str) -> DataFrame:
+    """Both rules flag points of one series, so each becomes a column and no union is needed."""
     k = 2.0 if against == "trend" else 1.5
-    pauses = season_deviation(series, key, "period", "idx", "x", k=k, tail=True).select(key, "idx")
-    off = lowess_deviation(series, key, "period", "idx", "x", threshold=threshold, against=against)
-    points = off.where(F.col("flag") == 1).select(key, F.col("t").cast("int").alias("idx"))
-    periods = series.groupBy(key).agg(F.first("period").alias("period"))
-    return pauses.select(key, F.col("idx").cast("int").alias("idx")).unionByName(points).distinct().join(
-        periods, key
-    ).select(key, "period", "idx", F.lit("deviation").alias("type"), F.lit(0.0).alias("ratio"))
+    marked = mark_pauses(series, key, "period", "idx", "x", k=k, tail=True)
+    off = lowess_deviation(marked, key, "period", "idx", "x", threshold=threshold, against=against,
+                           keep=("period", "is_late"))
+    return off.where((F.col("flag") == 1) | F.col("is_late")).select(
+        key, "period", F.col("t").cast("int").alias("idx"), F.lit("deviation").alias("type"),
+        F.lit(0.0).alias("ratio"),
+    )
 
 
 def anomaly_lists(anomalies: DataFrame, key: str) -> DataFrame:

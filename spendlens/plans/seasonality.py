@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.spectral import detrended_spectrum, gap_intervals, gap_series, ks_uniform, seasonal_slope
-
-
-def _with_all_keys(found: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Keys without a spectrum (too short, or flat) are not seasonal."""
-    return keys.join(found, key, "left").select(
-        key, F.coalesce("seasonal", F.lit(0)).alias("seasonal"),
-        F.coalesce("period", F.lit(0.0)).alias("period"), F.coalesce("slope", F.lit(0.0)).alias("slope"),
-    )
+from ..operators.spectral import (
+    detrended_spectrum, gap_array, gap_intervals, ks_uniform, seasonal_slope_of_arrays, series_arrays,
+)
 
 
 def detect_series_seasonality(df: DataFrame, key: str, t: str = "t", x: str = "x", w: int = 4,
@@ -21,17 +15,16 @@ def detect_series_seasonality(df: DataFrame, key: str, t: str = "t", x: str = "x
     """Rows (key, seasonal, period, slope) for series such as matrix rows.
 
     ``slope`` tests the regression of power on period, ``ks`` the distance of the powers
-    from a uniform law.
+    from a uniform law. Keys without a spectrum are not seasonal.
     """
-    spectrum = detrended_spectrum(df, key, t, x, w)
-    if test == "ks":
-        tested = ks_uniform(spectrum, key)
-        nfft = spectrum.groupBy(key).agg(F.max("nfft").alias("_nfft"))
-        period = F.when(F.col("seasonal") == 1, (F.col("_nfft") - 2) / F.col("bin")).otherwise(F.lit(0.0))
-        found = tested.join(nfft, key).select(key, "seasonal", period.alias("period"), F.lit(0.0).alias("slope"))
-    else:
-        found = seasonal_slope(spectrum, key, threshold)
-    return _with_all_keys(found, df.select(key).distinct(), key)
+    if test == "slope":
+        return seasonal_slope_of_arrays(series_arrays(df, key, t, x), key, "xs", w, threshold)
+    tested = ks_uniform(detrended_spectrum(df, key, t, x, w), key)
+    period = F.when(F.col("seasonal") == 1, (F.col("nfft") - 2) / F.nullif(F.col("bin"), F.lit(0)))
+    return df.select(key).distinct().join(tested, key, "left").select(
+        key, F.coalesce("seasonal", F.lit(0)).alias("seasonal"),
+        F.coalesce(period, F.lit(0.0)).alias("period"), F.lit(0.0).alias("slope"),
+    )
 
 
 def detect_cycle_seasonality(df: DataFrame, key: str, start: str = "started", end: str = "ended",
@@ -41,8 +34,6 @@ def detect_cycle_seasonality(df: DataFrame, key: str, start: str = "started", en
 
     Keys with fewer than ``w`` cycles are not tested.
     """
-    cycles = gap_intervals(df, key, start, end, id_, mode).select(key, "cycles")
-    tested = cycles.where(F.col("cycles") >= w).select(key)
-    days = gap_series(df, key, start, end, id_, mode).join(tested, key, "left_semi")
-    found = seasonal_slope(detrended_spectrum(days, key, "t", "x", w), key, threshold)
-    return _with_all_keys(found, cycles.select(key), key)
+    spans = gap_intervals(df, key, start, end, id_, mode)
+    arrays = spans.select(key, F.when(F.col("cycles") >= w, gap_array(mode)).alias("xs"))
+    return seasonal_slope_of_arrays(arrays, key, "xs", w, threshold)

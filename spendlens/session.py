@@ -20,6 +20,8 @@ def build_session(app: str = "spendlens", cores: int | str = "*", partitions: in
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # series tables are small but costly per row: keep their partitions apart
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
