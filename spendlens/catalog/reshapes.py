@@ -72,8 +72,9 @@ from (select distinct category from ordered) k cross join (select unnest(range({
 left join v on v.category = k.category and v.b = g.b""")
 def j12(spark, sf):
     rows = ordered_cycles(spark, sf)
-    booked = B.bucket_values(B.bucket_contained(rows, "quarter", "started", "short_end"), ["category"], "budget")
-    return B.densify(booked, "category", FIRST_QUARTER - 4, LAST_QUARTER + 4, all_keys=rows).select(
+    tagged = B.bucket_contained(rows, "quarter", "started", "short_end", keep_all=True)
+    booked = B.bucket_values(tagged, ["category"], "budget")
+    return B.densify(booked, "category", FIRST_QUARTER - 4, LAST_QUARTER + 4).select(
         "category", F.col("bucket_idx").cast("long"), "value")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import along, edge_filled, fill_interior, islands, moving_average, rolling_std_filled, run_id, whole
+from .windows import along, islands, moving_average, rolling_std_filled, run_id, whole
 
 ZERO_FLOOR = 10.0  # fixed value: budgets below this count as zero
 
@@ -85,22 +85,35 @@ def season_deviation(df: DataFrame, key: str, period: str = "period", t: str = "
     return mark_pauses(df, key, period, t, x, k, tail, tail_k).where("is_late").select(key, t)
 
 
-def _decomposition_columns(df: DataFrame, keys: list[str], t: str, x: str, period: str) -> DataFrame:
-    """Add ``_p`` (period in use) and ``trend``, missing at the edges.
+def decomposition_trend(df: DataFrame, keys: list[str], t: str, x: str, period: str) -> DataFrame:
+    """Add ``trend``, missing at the edges, and the columns ``_n`` (length), ``_p`` (period in
+    use) and ``_u`` (an order-preserving scale of ``t``).
 
     The frame of a centred mean of per-key width is a range frame: points within half a
     period are those within 1 on the scale 2t / (2h + 1), never on its border.
     """
-    n = F.count("*").over(whole(keys))
-    fits = df.withColumn("_p", F.when(n <= F.col(period), n - 1).otherwise(F.col(period)).cast("int"))
+    sized = df.withColumn("_n", F.count("*").over(whole(keys)))
+    wanted = F.when(F.col("_n") <= F.col(period), F.col("_n") - 1).otherwise(F.col(period))
+    scaled = sized.withColumn("_p", wanted.cast("int"))
     half = F.floor(F.col("_p") / 2)
-    scaled = fits.withColumns({"_h": half, "_u": (F.col(t) * 2).cast("double") / (half * 2 + 1)})
+    scaled = scaled.withColumn("_u", (F.col(t) * 2).cast("double") / (half * 2 + 1))
     frame = Window.partitionBy(*keys).orderBy("_u").rangeBetween(-1, 1)
     total = F.sum(x).over(frame)
     ends = (F.first(x).over(frame) + F.last(x).over(frame)) / 2
-    full = F.count("*").over(frame) == F.col("_h") * 2 + 1
+    full = F.count("*").over(frame) == half * 2 + 1
     mean = F.when(F.col("_p") % 2 == 0, total - ends).otherwise(total) / F.nullif(F.col("_p"), F.lit(0))
-    return scaled.withColumn("trend", F.when(full & (F.col("_p") > 0), mean)).drop("_h", "_u")
+    return scaled.withColumn("trend", F.when(full & (F.col("_p") > 0), mean))
+
+
+def filled_trend(keys: list[str]) -> Column:
+    """``trend`` with its missing ends set to the nearest present value.
+
+    The present values of a trend have no holes, so only its first and last one are needed
+    and the window has no order.
+    """
+    at = F.when(F.col("trend").isNotNull(), F.col("_u"))
+    head, tail = (pick("trend", at).over(whole(keys)) for pick in (F.min_by, F.max_by))
+    return F.coalesce("trend", F.when(F.col("_u") < F.min(at).over(whole(keys)), head).otherwise(tail))
 
 
 def decompose(df: DataFrame, key: str, period: str = "period", t: str = "t", x: str = "x") -> DataFrame:
@@ -109,7 +122,7 @@ def decompose(df: DataFrame, key: str, period: str = "period", t: str = "t", x:
     The trend is a centred mean (half weights at the ends if the period is even), the
     seasonal part the mean of the detrended values per phase, re-centred on zero.
     """
-    parts = _decomposition_columns(df, [key], t, x, period)
+    parts = decomposition_trend(df, [key], t, x, period)
     phase = whole([key, "_phase"])
     parts = parts.withColumn("_p", F.greatest("_p", F.lit(1)))
     parts = parts.withColumn("_phase", F.col(t) % F.col("_p"))
@@ -118,16 +131,17 @@ def decompose(df: DataFrame, key: str, period: str = "period", t: str = "t", x:
     level = F.sum(F.when(F.col(t) < F.col("_p"), F.col("_mean"))).over(whole(key)) / F.col("_p")
     parts = parts.withColumn("seasonal", F.col("_mean") - level)
     return parts.withColumn("resid", F.col(x) - F.col("trend") - F.col("seasonal")).drop(
-        "_p", "_phase", "_mean"
+        "_n", "_p", "_u", "_phase", "_mean"
     )
 
 
 def trend_columns(df: DataFrame, keys: list[str], t: str, x: str, period: str, w: int) -> DataFrame:
     """Add ``trend`` (edges filled), ``deviation`` from it and its ``rolling_std``."""
-    parts = _decomposition_columns(df, keys, t, x, period)
-    parts = parts.withColumn("trend", edge_filled(keys, t, "trend"))
-    parts = fill_interior(parts.withColumn("deviation", F.col(x) - F.col("trend")), keys, t, "deviation")
-    return rolling_std_filled(parts, keys, t, "deviation", w).drop("_p")
+    parts = decomposition_trend(df, keys, t, x, period)
+    parts = parts.withColumn("trend", filled_trend(keys))
+    parts = parts.withColumn("deviation", F.col(x) - F.col("trend"))
+    # the order of _u is that of t, and the rows are sorted by it already
+    return rolling_std_filled(parts, keys, "_u", "deviation", w, n=F.col("_n")).drop("_n", "_p", "_u")
 
 
 def deviation_type(threshold: float, prefix: str = "") -> Column:
@@ -174,18 +188,17 @@ def detect_flags(df: DataFrame, key: str, period: str = "period", t: str = "t",
     (``zero`` over ``season`` over ``increase`` and so on) with its own ratio.
     """
     marked = mark_extrema(df, key, t, x).withColumn("is_ext", F.col("is_peak") | F.col("is_trough"))
-    marked = marked.withColumns({
+    trended = trend_columns(marked, [key], t, x, period, w).withColumn("_trend_hit", F.struct(
+        deviation_type(threshold).alias("type"), deviation_ratio().alias("ratio")
+    )).drop("trend", "deviation", "rolling_std")
+    # the other points form a group of their own, kept cheap by the shortest period
+    staged = trended.withColumns({
         "_season": season_flag(key, t, period, k),
-        "_n": F.count("*").over(whole(key)),
         "_ord": F.row_number().over(along([key, "is_ext"], t)) - 1,
-        "_ext_n": F.count("*").over(whole([key, "is_ext"])),
+        "_ext_period": F.when(F.col("is_ext"), F.col(period)).otherwise(F.lit(1.0)),
     })
-    trended = trend_columns(marked, [key], t, x, period, w)
-    trended = trended.withColumn("_trend_hit", F.when(F.col("_n") >= 2, F.struct(
-        deviation_type(threshold).alias("type"), deviation_ratio().alias("ratio")
-    ))).drop("trend", "deviation", "rolling_std")
-    amped = trend_columns(trended, [key, "is_ext"], "_ord", x, period, w)
-    amp_hit = F.when(F.col("is_ext") & (F.col("_ext_n") >= 2), F.struct(
+    amped = trend_columns(staged, [key, "is_ext"], "_ord", x, "_ext_period", w)
+    amp_hit = F.when(F.col("is_ext"), F.struct(
         deviation_type(threshold, "amp_").alias("type"), deviation_ratio().alias("ratio")
     ))
     plain = lambda cond, name: F.when(cond, F.struct(F.lit(name).alias("type"), F.lit(0.0).alias("ratio")))

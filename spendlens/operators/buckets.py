@@ -9,21 +9,27 @@ from ..functions.dates import bucket_days, bucket_index, bucket_label, bucket_st
 from ..functions.numbers import cents, exact_avg, exact_sum
 
 
-def bucket_contained(df: DataFrame, grain: str, start: str = "started", end: str = "ended") -> DataFrame:
-    """Cycles that lie inside one calendar bucket, with its number. No join is needed."""
+def bucket_contained(df: DataFrame, grain: str, start: str = "started", end: str = "ended",
+                     keep_all: bool = False) -> DataFrame:
+    """Cycles that lie inside one calendar bucket, with its number. No join is needed.
+
+    ``keep_all`` keeps the other cycles, without a number, so that no key is lost.
+    """
     a, b = bucket_index(F.col(start), grain), bucket_index(F.col(end), grain)
-    return df.where(a == b).withColumn("bucket_idx", a)
+    tagged = df.withColumn("bucket_idx", F.when(a == b, a))
+    return tagged if keep_all else tagged.where(F.col("bucket_idx").isNotNull())
 
 
 def bucket_overlap(df: DataFrame, grain: str, start: str = "started", end: str = "ended",
-                   mode: str = "overlap") -> DataFrame:
-    """One row per cycle and bucket it touches.
+                   mode: str = "overlap", keep_all: bool = False) -> DataFrame:
+    """One row per cycle and bucket it touches; ``keep_all`` also keeps cycles that touch none.
 
     ``overlap`` uses half-open buckets. ``legacy`` keeps the published three-case test,
     which misses cycles that cover a whole bucket and the last day of a quarter.
     """
     a, b = bucket_index(F.col(start), grain), bucket_index(F.col(end), grain)
-    out = df.where(F.col(start) <= F.col(end)).withColumn("bucket_idx", F.explode(F.sequence(a, b)))
+    touched = F.when(F.col(start) <= F.col(end), F.sequence(a, b))
+    out = df.withColumn("bucket_idx", (F.explode_outer if keep_all else F.explode)(touched))
     if mode == "overlap":
         return out
     lo, hi = legacy_bounds(F.col("bucket_idx"), grain)
@@ -31,7 +37,10 @@ def bucket_overlap(df: DataFrame, grain: str, start: str = "started", end: str =
     inside = (s >= lo) & (e < hi)
     runs_out = (s >= lo) & (s < hi) & (e > hi)
     runs_in = (e >= lo) & (e < hi) & (s < lo)
-    return out.where(inside | runs_out | runs_in)
+    hit = inside | runs_out | runs_in
+    if keep_all:
+        return out.withColumn("bucket_idx", F.when(hit, F.col("bucket_idx")))
+    return out.where(hit)
 
 
 def legacy_bounds(index: Column, grain: str) -> tuple[Column, Column]:
@@ -44,13 +53,13 @@ def legacy_bounds(index: Column, grain: str) -> tuple[Column, Column]:
 
 
 def prorate(df: DataFrame, keys: list[str], grain: str, budget: str = "budget", start: str = "started",
-            end: str = "ended", mode: str = "overlap") -> DataFrame:
+            end: str = "ended", mode: str = "overlap", keep_all: bool = False) -> DataFrame:
     """Budget per key and bucket, each cycle scaled by its days over the bucket's days.
 
     ``overlap`` counts the days inside the bucket, ``legacy`` all days of the cycle. Cents
     times days are added as integers and divided once.
     """
-    touched = bucket_overlap(df, grain, start, end, mode)
+    touched = bucket_overlap(df, grain, start, end, mode, keep_all)
     idx = F.col("bucket_idx")
     if mode == "overlap":
         days = F.datediff(F.least(F.col(end), bucket_start(idx + 1, grain)),
@@ -74,17 +83,15 @@ def bucket_values(df: DataFrame, keys: list[str], value: str, agg: str = "mean")
     return df.dropna(subset=keys).groupBy(*keys, "bucket_idx").agg(fold(F.col(value)).alias("value"))
 
 
-def densify(df: DataFrame, key: str, first: int, last: int, fill: float = 0.0,
-            all_keys: DataFrame | None = None) -> DataFrame:
+def densify(df: DataFrame, key: str, first: int, last: int, fill: float = 0.0) -> DataFrame:
     """Every key with every bucket number ``first .. last``; empty ones hold ``fill``.
 
     The present buckets of a key fit one map (the calendar bounds them), which is laid over
-    the full range of numbers. Keys without any bucket come from ``all_keys``.
+    the full range of numbers. A row without a bucket number only keeps its key alive.
     """
-    entries = F.map_from_entries(F.collect_list(F.struct("bucket_idx", "value")))
-    spans = df.where(F.col("bucket_idx").between(first, last)).groupBy(key).agg(entries.alias("_have"))
-    if all_keys is not None:
-        spans = all_keys.select(key).where(F.col(key).isNotNull()).distinct().join(spans, key, "left")
+    in_range = F.col("bucket_idx").between(first, last)
+    entries = F.collect_list(F.when(in_range, F.struct("bucket_idx", "value")))
+    spans = df.groupBy(key).agg(F.map_from_entries(entries).alias("_have"))
     got = F.try_element_at("_have", F.col("bucket_idx"))
     return (
         spans.withColumn("bucket_idx", F.explode(F.sequence(F.lit(first), F.lit(last))))

@@ -12,8 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anomaly import _decomposition_columns
-from .windows import edge_filled
+from .anomaly import decomposition_trend, filled_trend
 
 
 def lowess_fit(y: np.ndarray, frac: float, passes: int) -> np.ndarray:
@@ -71,7 +70,7 @@ def lowess_deviation(df: DataFrame, key: str, period: str = "period", t: str = "
     """
     if against not in ("trend", "signal"):
         raise ValueError(f"against must be 'trend' or 'signal', not {against!r}")
-    parts = _decomposition_columns(df, [key], t, x, period).withColumn("trend", edge_filled(key, t, "trend"))
+    parts = decomposition_trend(df, [key], t, x, period).withColumn("trend", filled_trend([key]))
     rows = parts.select(key, F.col(t).cast("long").alias("t"), F.col(x).cast("double").alias("x"),
                         F.coalesce(F.col("trend"), F.col(x)).cast("double").alias("trend"), *keep)
     key_type = df.schema[key].dataType.simpleString()

@@ -95,10 +95,14 @@ def detrend(df: DataFrame, key: str, t: str, x: str, w: int, name: str = "detren
 
 
 def rolling_std_filled(df: DataFrame, key: str | list[str], t: str, x: str, w: int,
-                       name: str = "rolling_std") -> DataFrame:
-    """Sample deviation of the last ``w`` points; where too few exist, the key's mean of it."""
+                       name: str = "rolling_std", n: Column | None = None) -> DataFrame:
+    """Sample deviation of the last ``w`` points; where too few exist, the key's mean of it.
+
+    ``n`` is the length of the series, if a column has it already.
+    """
     frame = along(key, t).rowsBetween(-(w - 1), 0)
-    enough = F.count(x).over(frame) >= F.least(F.lit(w), F.count("*").over(whole(key)))
+    size = F.count("*").over(whole(key)) if n is None else n
+    enough = F.count(x).over(frame) >= F.least(F.lit(w), size)
     rolled = df.withColumn("_std", F.when(enough, F.stddev_samp(x).over(frame)))
     return rolled.withColumn(
         name, F.coalesce("_std", F.avg("_std").over(whole(key)))

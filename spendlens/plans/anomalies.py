@@ -23,7 +23,7 @@ def trimmed_with_period(df: DataFrame, key: str, t: str = "t", x: str = "x", w:
     before the trailing zeros: rows (key, idx, x, period).
 
     The series is gathered once; it is trimmed and its period found on the array, which is
-    then unfolded again. That keeps the partitioning and needs no join.
+    then unfolded again, so the period needs no join.
     """
     # one step per column: an expression used twice is then computed once
     used = series_arrays(df, key, t, x).withColumn("_used", F.transform("xs", lambda v: v != 0))

@@ -20,11 +20,13 @@ def budget_matrix(df: DataFrame, dim: str, grain: str, first: int, last: int, ag
     if dict(df.dtypes)[dim] == "string":
         df = df.na.fill({dim: "Other"})
     ordered = order_dates(df, start, end)
+    # cycles outside every bucket stay in, so that their key gets a row of zeros
     if agg == "prorated":
-        booked = prorate(ordered, [dim], grain, budget, start, end, mode)
+        booked = prorate(ordered, [dim], grain, budget, start, end, mode, keep_all=True)
     else:
-        booked = bucket_values(bucket_contained(ordered, grain, start, end), [dim], budget, agg)
-    dense = densify(booked, dim, first, last, all_keys=ordered)
+        tagged = bucket_contained(ordered, grain, start, end, keep_all=True)
+        booked = bucket_values(tagged, [dim], budget, agg)
+    dense = densify(booked, dim, first, last)
     if wide:
         return to_matrix(dense, dim, grain, first, last)
     return with_labels(dense, grain)
