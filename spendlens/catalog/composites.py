@@ -11,6 +11,7 @@ from .. import plans
 from ..operators.aggregates import duplicate_keys
 from ..plans.anomalies import anomaly_lists
 from ..plans.churn import TYPE_PAIRS, active_rows
+from ..session import cut_lineage
 from .joins import CHANGES_SQL, COMMENTS_SQL, EXCLUDED_SQL
 from .reshapes import MONEY_MEAN, ORDERED_SQL, spread_sql
 from . import query
@@ -168,10 +169,10 @@ def _masters(spark, sf):
     return plans.eligible_masters(summary(spark, sf), frames.excluded_businesses(spark, sf), FIRST_YEAR)
 
 
-def _comments(spark, sf):
+def _comments(spark, sf, masters=None):
     return plans.comment_summary(
         frames.comments(spark, sf), frames.campaigns(spark, sf), frames.advertiser_masters(spark, sf),
-        FIRST_DAY, LAST_DAY, _masters(spark, sf))
+        FIRST_DAY, LAST_DAY, _masters(spark, sf) if masters is None else masters)
 
 
 MART_BASE = SUMMARY_SQL + ", " + CHANGES_SQL + ", " + COMMENTS_SQL + f""",
@@ -219,9 +220,10 @@ from base b left join notes n on n.cc_year = b.csr_year and n.cc_month = b.csr_m
 
 
 def _mart(spark, sf):
+    masters = cut_lineage(_masters(spark, sf))  # used twice: stored once, as a plain list of ids
     return plans.build_churn_mart(
-        summary(spark, sf), _masters(spark, sf), frames.report(spark, sf), frames.advertisers(spark, sf),
-        frames.changes(spark, sf), frames.offers(spark, sf), _comments(spark, sf),
+        summary(spark, sf), masters, frames.report(spark, sf), frames.advertisers(spark, sf),
+        frames.changes(spark, sf), frames.offers(spark, sf), _comments(spark, sf, masters),
         plans.transfer_keys(frames.transfer_log(spark, sf), FIRST_YEAR), FIRST_YEAR)
 
 

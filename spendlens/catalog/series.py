@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from .. import frames
 from ..frames import CUSTOMER_SQL, CYCLES_SQL, SEGMENT_SQL, SUPPLIER_SQL, customer_series, cycles, segment_series, supplier_series, table
+from ..functions import dominant, next_pow2, rescale
 from ..operators import anomaly as N
 from ..operators import grouped as G
 from ..operators import spectral as S
@@ -160,6 +160,53 @@ def t10(spark, sf):
     return N.season_deviation(with_period(supplier_series(spark, sf)), "key", k=1.5, tail=True).select("key", "t")
 
 
+PEAKS_SQL = SUP + WITH_PERIOD + f""", {Q.extrema('withp', 'ext')},
+size as (select key, any_value(period) as period, count(*) as n from withp group by 1) """
+
+
+@query("W17_peak_distance", PEAKS_SQL + """
+select key, t, distance from (select key, t, lead(t) over (partition by key order by t) - t as distance from ext where is_peak)
+where distance is not null""")
+def w17(spark, sf):
+    peaks = N.find_peaks(supplier_series(spark, sf), "key")
+    gap = F.lead("t").over(W.along("key", "t")) - F.col("t")
+    return peaks.withColumn("distance", gap.cast("long")).where(F.col("distance").isNotNull()).select("key", "t", "distance")
+
+
+@query("W18_tail_distance", PEAKS_SQL + """
+select e.key, any_value(s.n) - max(e.t) as points, cast((any_value(s.n) - max(e.t)) / any_value(s.period) >= 2 as int) as is_late
+from ext e join size s on s.key = e.key where e.is_peak group by 1""")
+def w18(spark, sf):
+    marked = N.mark_extrema(with_period(supplier_series(spark, sf)), "key")
+    per = marked.groupBy("key", "period").agg(
+        F.count("*").alias("n"), F.max(F.when(F.col("is_peak"), F.col("t"))).alias("last"))
+    points = F.col("n") - F.col("last")
+    return per.where(F.col("last").isNotNull()).select(
+        "key", points.alias("points"), (points / F.col("period") >= 2).cast("int").alias("is_late"))
+
+
+@query("F8_min_max_rescale", SEG + """
+select key, t, round((x - lo) / (hi - lo), 8) as scaled from (select *, min(x) over (partition by key) as lo,
+  max(x) over (partition by key) as hi from series)""")
+def f8(spark, sf):
+    lo, hi = F.min("x").over(W.whole("key")), F.max("x").over(W.whole("key"))
+    return segment_series(spark, sf).select("key", "t", F.round(rescale(F.col("x"), lo, hi), 8).alias("scaled"))
+
+
+@query("F9_next_power_of_two", """
+select o_custkey, cast(pow(2, ceil(log2(count(*)))) as bigint) as nfft from orders group by 1""")
+def f9(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).select(
+        "o_custkey", next_pow2(F.col("n")).cast("long").alias("nfft"))
+
+
+@query("F15_reciprocal_with_guard", SPEC_SQL + """
+select key, bin, case when bin = 0 then 1000.0 else ceil(round((nfft - 2) / bin, 9)) end as period from spec""")
+def f15(spark, sf):
+    return spectrum(spark, sf).select(
+        "key", F.col("bin").cast("long"), dominant(F.col("bin"), F.col("nfft")).alias("period"))
+
+
 @query("T11_peaks", CUS + f", {Q.extrema('series', 'ext')} select key, t, x from ext where is_peak")
 def t11(spark, sf):
     return N.find_peaks(customer_series(spark, sf), "key").select("key", "t", "x")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.dates import bucket_index
-from .functions.numbers import cents, exact_sum
+from .functions.numbers import exact_sum
 from .operators.buckets import densify
 
 # fixed values: calendar of the given tables

@@ -35,7 +35,8 @@ def unless(cond: Column) -> Column:
 
 def next_pow2(n: Column) -> Column:
     """Smallest power of two that is at least ``n``."""
-    return F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double")))).cast("int")
+    bits = F.when(n > 1, F.length(F.bin(n - 1))).otherwise(0)
+    return F.pow(F.lit(2.0), bits).cast("int")
 
 
 def rescale(x: Column, low: Column, high: Column) -> Column:

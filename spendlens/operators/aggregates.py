@@ -210,11 +210,15 @@ def argmax(df: DataFrame, key: str, value: str, at: str) -> DataFrame:
 
 
 def count_outliers(df: DataFrame, key: str, col: str, c: float = 2.0) -> DataFrame:
-    """Rows per key with \\|x\\| at or above mean + c * population deviation."""
+    """Rows per key whose size is at or above mean + c * population deviation.
+
+    The second grouping is by a copy of the key. Grouping by the join key itself would tie
+    the count to the join's partitions and keep a hot key from being split there.
+    """
     stats = df.groupBy(key).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
-    return df.join(stats, key).groupBy(key).agg(
-        F.count_if(F.abs(col) >= F.col("_m") + c * F.col("_s")).alias("outliers")
-    )
+    over = F.abs(col) >= F.col("_m") + c * F.col("_s")
+    counted = df.join(stats, key).groupBy(F.struct(key).alias("_k")).agg(F.count_if(over).alias("outliers"))
+    return counted.select(f"_k.{key}", "outliers")
 
 
 def first_by(df: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:

@@ -50,15 +50,18 @@ def fill(df: DataFrame, values: dict) -> DataFrame:
     return df.na.fill(values)
 
 
-def fill_mode(df: DataFrame, col: str) -> DataFrame:
-    """Replace missing values by the most frequent one (the smallest, if several are)."""
-    return df.withColumn(col, F.coalesce(F.col(col), mode_of(df, col).scalar()))
+def fill_mode(df: DataFrame, col: str, mode: Column | None = None) -> DataFrame:
+    """Replace missing values by the most frequent one (the smallest, if several are).
+
+    ``mode`` takes a value that is known already, such as a scalar subquery.
+    """
+    return df.withColumn(col, F.coalesce(F.col(col), mode_of(df, col).scalar() if mode is None else mode))
 
 
 def fill_end_date(df: DataFrame, start: str = "started", end: str = "ended",
-                  duration: str = "duration") -> DataFrame:
+                  duration: str = "duration", mode: Column | None = None) -> DataFrame:
     """Rebuild a missing end date from the start and the most frequent duration."""
-    usual = mode_of(df, duration).scalar()
+    usual = mode_of(df, duration).scalar() if mode is None else mode
     return df.withColumn(
         end, F.coalesce(F.col(end), F.date_add(F.col(start), usual.cast("int")))
     )

@@ -25,13 +25,13 @@ def left_join(left: DataFrame, right: DataFrame, keys: list[str], null_safe: boo
 def keep_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key is listed."""
     on = [on] if isinstance(on, str) else on
-    return df.join(keys.select(*on), on, "left_semi")
+    return df.join(keys.select(*on).distinct(), on, "left_semi")
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key is not listed; a missing key is not listed, so it stays."""
     on = [on] if isinstance(on, str) else on
-    return df.join(keys.select(*on), on, "left_anti")
+    return df.join(keys.select(*on).distinct(), on, "left_anti")
 
 
 def flag_exists(df: DataFrame, other: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import bin_frequency, bin_period, dominant
+from ..functions.numbers import bin_frequency, bin_period, dominant, next_pow2
 from .windows import along, cycle_steps, whole
 
 TIE_DIGITS = 9  # powers that agree to this many places count as equal; the lower bin wins
@@ -151,8 +151,7 @@ def strongest_bin(ps: Column, first: int = 0) -> Column:
 
 
 def array_nfft(xs: Column) -> Column:
-    n = F.greatest(F.size(xs), F.lit(1)).cast("double")
-    return F.pow(F.lit(2.0), F.ceil(F.log2(n))).cast("int")
+    return next_pow2(F.greatest(F.size(xs), F.lit(1)))
 
 
 def dominant_period(df: DataFrame, key: str, t: str = "t", x: str = "x", variant: str = "ceil",
@@ -279,7 +278,7 @@ def acf(df: DataFrame, key: str, t: str = "t", x: str = "x", nlags: int = 24, z:
     halo = (F.col("_t") % block < nlags) & (own > 0)
     placed = centred.withColumn(
         "_block", F.explode(F.when(halo, F.array(own, own - 1)).otherwise(F.array(own)))
-    )
+    ).repartition(key, "_block")  # else the window would keep the join's partitions, one per key
     w = along([key, "_block"], "_t")
     is_own = F.floor(F.col("_t") / block) == F.col("_block")
     products = placed.select(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import unless
-from ..operators.aggregates import ambiguous_keys, cooccurrence, ever_counts, keys_per_dim, zero_total_keys
-from ..operators.joins import drop_keys, keep_keys
+from ..functions.numbers import exact_sum, unless
+from ..operators.aggregates import ambiguous_keys, cooccurrence, ever_counts, keys_per_dim
+from ..operators.joins import keep_keys
 from ..operators.positions import keyed_positions
 from ..operators.spectral import acf, acf_flag
 
@@ -35,20 +35,23 @@ def churn_profile(df: DataFrame, key: str = "idadvertiser", change: str = "adv_c
     """Long table (section, item, keys) about the advertisers that left: how many ever had
     each change type, pairs of types (both, either), their spread over the dimensions, and
     how many keys have more than one value of a dimension."""
-    gone = churned_rows(active_rows(df), key, change)
-    filled = gone.na.fill({d: "Other" for d in dims})
-    ever = ever_counts(gone, key, change, list(CHANGE_TYPES)).select(
+    # all sections count keys, so the rows shrink to their distinct values first; the
+    # branches below share that one shuffle
+    facts = active_rows(df).select(
+        key, change, *[F.coalesce(F.col(d), F.lit("Other")).alias(d) for d in dims]
+    ).distinct()
+    gone = churned_rows(facts, key, change)
+    out = ever_counts(gone, key, change, list(CHANGE_TYPES)).select(
         F.lit("ever").alias("section"), F.col(change).alias("item"), F.col("keys").cast("long").alias("keys")
     )
-    name = F.concat_ws(" + ", "first", "second")
-    met = cooccurrence(gone, key, change, list(pairs))
-    out = ever.unionByName(met.select(F.lit("both").alias("section"), name.alias("item"), F.col("both").alias("keys")))
-    out = out.unionByName(met.select(F.lit("either").alias("section"), name.alias("item"), F.col("either").alias("keys")))
+    pair = F.concat_ws(" + ", "first", "second")
+    met = cooccurrence(gone, key, change, list(pairs)).withColumn("item", pair)
+    out = out.unionByName(met.unpivot("item", ["both", "either"], "section", "keys"))
     for dim in dims:
-        out = out.unionByName(keys_per_dim(filled, key, dim).select(
+        out = out.unionByName(keys_per_dim(gone, key, dim).select(
             F.lit(dim).alias("section"), F.col(dim).alias("item"), "keys"
         ))
-        out = out.unionByName(ambiguous_keys(filled, key, dim).agg(F.count("*").alias("keys")).select(
+        out = out.unionByName(ambiguous_keys(gone, key, dim).agg(F.count("*").alias("keys")).select(
             F.lit("ambiguous").alias("section"), F.lit(dim).alias("item"), "keys"
         ))
     return out
@@ -62,9 +65,11 @@ def zero_budget_profile(df: DataFrame, key: str, budget: str, order: list[str],
     Cycles are numbered across the whole table and cut into blocks of time, so an
     advertiser with any number of cycles is spread over tasks.
     """
-    kept = drop_keys(df, zero_total_keys(df, key, budget), key)
-    zero = kept.where(F.col(budget) == 0).select(key).distinct()
+    zero = F.max((F.col(budget) == 0).cast("int")) == 1
+    tested = df.where(F.col(key).isNotNull()).groupBy(key).agg(
+        zero.alias("_zero"), exact_sum(F.col(budget)).alias("_total")
+    ).where(F.col("_zero") & (F.col("_total") != 0))
     series = keyed_positions(
-        keep_keys(kept, zero, key).select(key, *order, F.col(budget).alias("x")), key, order, "t"
+        keep_keys(df, tested, key).select(key, *order, F.col(budget).alias("x")), key, order, "t"
     )
     return acf_flag(acf(series, key, "t", "x", nlags), key, mode)

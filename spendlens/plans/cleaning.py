@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import unless
-from ..operators.clean import drop_on_date, fill_end_date, fill_mode, order_dates, with_duration
+from ..operators.aggregates import mode_of
+from ..operators.clean import fill_end_date, fill_mode, order_dates, with_duration
 from ..operators.joins import drop_keys
 
 
@@ -19,9 +20,11 @@ def clean_cycles(df: DataFrame, cutoff: str, key: str = "master_id", offer: str
     below 1 and starts on the cut-off day go; advertisers with a missing start go as a
     whole; a missing duration becomes the most frequent one and rebuilds the end.
     """
-    df = df.drop(*unused)
-    df = drop_keys(df, df.where(F.col(offer).isNull()).select(key).distinct(), key)
-    df = with_duration(order_dates(df, start, end), start, end)
-    df = drop_on_date(df.where(unless(F.col(budget) < 1)), start, cutoff)
-    df = drop_keys(df, df.where(F.col(start).isNull()).select(key).distinct(), key)
-    return fill_mode(fill_end_date(df, start, end), "duration")
+    ordered = with_duration(order_dates(df.drop(*unused), start, end), start, end)
+    usable = unless(F.col(budget) < 1) & unless(F.col(start) == F.lit(cutoff).cast("date"))
+    # both exclusions in one list: one aggregation and one join on the advertiser
+    bad = F.col(offer).isNull() | (usable & F.col(start).isNull())
+    listed = ordered.where(bad & F.col(key).isNotNull()).select(key)
+    kept = drop_keys(ordered.where(usable), listed, key)
+    usual = mode_of(kept, "duration").scalar()
+    return fill_mode(fill_end_date(kept, start, end, mode=usual), "duration", usual)

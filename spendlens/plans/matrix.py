@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.buckets import bucket_contained, bucket_values, densify, prorate, to_matrix, with_labels
 from ..operators.clean import order_dates

@@ -9,6 +9,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# settings the library's plans rely on; all can be changed on a running session
+SKEW_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot join partition even where that costs one more shuffle behind the join
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def apply_skew_settings(spark: SparkSession) -> None:
+    for name, value in SKEW_SETTINGS.items():
+        spark.conf.set(name, value)
+
+
 def build_session(app: str = "spendlens", cores: int | str = "*", partitions: int | None = None,
                   memory: str = "8g") -> SparkSession:
     """A local session for tests and the bench; on a cluster use spark-submit's."""
@@ -17,12 +31,12 @@ def build_session(app: str = "spendlens", cores: int | str = "*", partitions: in
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # series tables are small but costly per row: keep their partitions apart
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
+    for name, value in SKEW_SETTINGS.items():
+        builder = builder.config(name, value)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     spark = builder.getOrCreate()
