@@ -105,7 +105,16 @@ def c3_series(spark, sf):
         "key", "seasonal", F.round("period", 4).alias("period"))
 
 
-@query("C3_seasonality_by_ks_test")
+@query("C3_seasonality_by_ks_test", f"""with {CUSTOMER_SQL}, {Q.detrended('series', 'det')}, {Q.spectrum('det', 'spec')}, {Q.best_bin('spec', 'best')},
+d as (select key, max(greatest(i / n - power, power - (i - 1) / n)) as distance, max(n) as n from (
+  select key, power, cast(row_number() over (partition by key order by power) as double) as i,
+    cast(count(*) over (partition by key) as double) as n from spec) group by 1),
+p as (select d.key, greatest(0.0, least(1.0, case when any_value(distance) * sqrt(any_value(n)) < 0.2 then 1.0
+    else sum(case when k % 2 = 1 then 2.0 else -2.0 end * exp(-2.0 * k * k * distance * distance * n)) end)) as p
+  from d cross join (select unnest(range(1, 101)) as k) group by d.key),
+f as (select b.key, b.nfft, b.bin, p.p < 0.05 and b.bin <> 0 as hit from best b join p on p.key = b.key)
+select k.key, coalesce(cast(f.hit as int), 0) as seasonal, coalesce(case when f.hit then round((f.nfft - 2) / f.bin, 4) end, 0.0) as period
+from (select distinct key from series) k left join f on f.key = k.key""")
 def c3_ks(spark, sf):
     return plans.detect_series_seasonality(customer_series(spark, sf), "key", test="ks").select(
         "key", "seasonal", F.round("period", 4).alias("period"))

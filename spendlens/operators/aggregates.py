@@ -50,12 +50,14 @@ def mode_of(df: DataFrame, col: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: tuple = QUARTILES,
-                    accuracy: int = 100_000) -> DataFrame:
+                    accuracy: int = 10_000, slots: int = 1024) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (column, prob, value).
 
     ``percentile`` keeps all distinct values of a group in one buffer, which cannot hold
     at scale. Instead a mergeable sketch brackets each quantile; a second pass counts the
-    rows below the bracket as one number and keeps value counts inside it only.
+    rows below the bracket as one number and keeps value counts inside it only. Those are
+    ranked in two steps, by ``slots`` equal parts of the bracket and then inside the part
+    that holds the rank, so no task sorts a whole bracket.
     """
     long = df.select(
         F.explode(F.array(*[
@@ -77,17 +79,25 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: tuple = QUARTILES,
             ) for i, p in enumerate(probs)
         ])).alias("b"),
     ).select("column", "b.*")
+    v = F.when(F.col("value") >= F.col("low"), F.col("value"))
+    width = (F.col("high") - F.col("low")) / slots
+    slot = F.when(v.isNull(), -1).when(width > 0, F.floor((v - F.col("low")) / width)).otherwise(0)
     inside = (
         long.join(F.broadcast(brackets), "column")  # columns x probs rows
         .where(F.col("value") <= F.col("high"))
-        .groupBy("column", "prob", "rank", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("v"))
+        .groupBy("column", "prob", "rank", slot.alias("slot"), v.alias("v"))
         .agg(F.count("*").alias("n"))
     )
-    upto = Window.partitionBy("column", "prob").orderBy(F.asc_nulls_first("v"))
-    ranked = inside.withColumn("seen", F.sum("n").over(upto))
+    group = ["column", "prob", "rank"]
+    totals = inside.groupBy(*group, "slot").agg(F.sum("n").alias("_n"))
+    upto = Window.partitionBy(*group).orderBy("slot")
+    placed = totals.withColumn("_end", F.sum("_n").over(upto)).withColumn("_start", F.col("_end") - F.col("_n"))
     base = F.floor("rank")
+    holding = placed.where((F.col("_start") <= base + 1) & (F.col("_end") > base)).drop("_n", "_end")
+    within = Window.partitionBy(*group, "slot").orderBy(F.asc_nulls_first("v"))
+    ranked = inside.join(holding, [*group, "slot"]).withColumn("seen", F.col("_start") + F.sum("n").over(within))
     at = lambda r: F.min_by("v", F.when(F.col("seen") > r, F.col("seen")))
-    found = ranked.groupBy("column", "prob", "rank").agg(at(base).alias("lo"), at(base + 1).alias("hi"))
+    found = ranked.groupBy(*group).agg(at(base).alias("lo"), at(base + 1).alias("hi"))
     weight = F.col("rank") - F.floor("rank")
     value = F.when(weight == 0, F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * weight)
     return found.select("column", "prob", value.alias("value"))

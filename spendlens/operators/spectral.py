@@ -91,12 +91,12 @@ def centred_means(stack: np.ndarray, w: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, w, axis=1).sum(axis=2) / w
 
 
-def scaled_powers(stack: np.ndarray, w: int | None) -> list:
-    """Rescaled first half of the padded power spectrum, per row of equally long series."""
+def scaled_powers(stack: np.ndarray, w: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rescaled first half of the padded power spectrum per row, and which rows are flat."""
     n = stack.shape[1]
     nfft = 1 << (n - 1).bit_length() if n else 0
     if nfft < 2:
-        return [[] for _ in stack]
+        return np.zeros((len(stack), 0)), np.zeros(len(stack), dtype=bool)
     if w:
         stack = stack - centred_means(stack, w)
     power = np.abs(np.fft.fft(stack, n=nfft, axis=1)) ** 2
@@ -104,32 +104,63 @@ def scaled_powers(stack: np.ndarray, w: int | None) -> list:
     # rounding noise of a flat spectrum is no signal
     flat = high[:, 0] - low[:, 0] <= 1e-12 * np.maximum(1.0, (stack**2).sum(axis=1) * n)
     with np.errstate(invalid="ignore", divide="ignore"):
-        half = ((power - low) / (high - low))[:, : nfft // 2]
-    return [None if f else row for f, row in zip(flat, half)]
+        return ((power - low) / (high - low))[:, : nfft // 2], flat
+
+
+def stacks_by_length(batch: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and values of the arrays of a batch, one stack per length; nulls are skipped."""
+    lengths = batch.map(lambda v: -1 if v is None else len(v)).to_numpy()
+    for n in np.unique(lengths[lengths >= 0]):
+        rows = np.flatnonzero(lengths == n)
+        yield rows, np.stack([batch.iloc[r] for r in rows]).astype(float)
 
 
 def half_power(xs: Column, w: int | None = None) -> Column:
     """Array column of powers 0..1 for bins 0 .. nfft/2 - 1; null for a flat spectrum.
 
     With ``w`` the series first loses its moving average over min(w, n) points, as in
-    :func:`~spendlens.operators.windows.detrend`. The series of a batch are stacked by length.
+    :func:`~spendlens.operators.windows.detrend`.
     """
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def transform(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out: list = [None] * len(batch)
-            lengths = batch.map(lambda v: -1 if v is None else len(v)).to_numpy()
-            for n in np.unique(lengths[lengths >= 0]):
-                rows = np.flatnonzero(lengths == n)
-                stack = np.stack([batch.iloc[r] for r in rows]).astype(float)
-                for r, values in zip(rows, scaled_powers(stack, w)):
-                    out[r] = values
+            for rows, stack in stacks_by_length(batch):
+                for r, values, is_flat in zip(rows, *scaled_powers(stack, w)):
+                    out[r] = None if is_flat else values
             yield pd.Series(out, dtype=object)
 
     return transform(xs)
 
 
+def period_fit(xs: Column, w: int | None = None) -> Column:
+    """Strongest bin without the constant term, and the slope of power on period.
+
+    Two numbers per series come back from Python instead of its spectrum. A series without
+    a spectrum has bin 0 and slope 0.
+    """
+
+    @F.pandas_udf("bin int, slope double")
+    def fit(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bins, slopes = np.zeros(len(batch), dtype="int32"), np.zeros(len(batch))
+            for rows, stack in stacks_by_length(batch):
+                powers, flat = scaled_powers(stack, w)
+                half = powers.shape[1]
+                rows, y = rows[~flat], powers[~flat, 1:]
+                if half < 2 or not len(rows):
+                    continue
+                bins[rows] = 1 + np.floor(y * 10.0**TIE_DIGITS + 0.5).argmax(axis=1)
+                if half > 2:
+                    period = (2 * half - 2) / np.arange(1, half)
+                    off = period - period.mean()
+                    slopes[rows] = y @ off / (off @ off)
+            yield pd.DataFrame({"bin": bins, "slope": slopes})
+
+    return fit(xs)
+
+
 def power_spectrum(df: DataFrame, key: str, t: str = "t", x: str = "x", grid: str = "span",
                    w: int | None = None) -> DataFrame:
     """Rows (key, nfft, bin, freq, period, power); flat and one-point series have none."""
@@ -202,18 +233,12 @@ def seasonal_slope_of_arrays(arrays: DataFrame, key: str, xs: str = "xs", w: int
 
     Keys that have no spectrum (null, too short or flat) come out as not seasonal.
     """
-    powers = arrays.select(key, array_nfft(F.col(xs)).alias("nfft"), half_power(F.col(xs), w).alias("_ps"))
-    bins = powers.withColumn("_best", strongest_bin(F.col("_ps"), 1)).select(
-        key, "nfft", "_best", F.posexplode_outer("_ps").alias("bin", "power")
-    )
-    used = F.when(F.col("bin") > 0, F.col("power"))
-    tested = bins.groupBy(key, "nfft", "_best").agg(
-        F.coalesce(F.regr_slope(used, bin_period(F.col("bin"), F.col("nfft"))), F.lit(0.0)).alias("slope")
-    )
-    seasonal = F.abs("slope") > threshold
-    period = F.when(seasonal, bin_period(F.col("_best"), F.col("nfft")))
-    return tested.select(
-        key, seasonal.cast("int").alias("seasonal"), F.coalesce(period, F.lit(0.0)).alias("period"), "slope"
+    fitted = arrays.select(key, array_nfft(F.col(xs)).alias("nfft"), period_fit(F.col(xs), w).alias("_fit"))
+    seasonal = F.abs("_fit.slope") > threshold
+    period = F.when(seasonal, bin_period(F.col("_fit.bin"), F.col("nfft")))
+    return fitted.select(
+        key, seasonal.cast("int").alias("seasonal"), F.coalesce(period, F.lit(0.0)).alias("period"),
+        F.col("_fit.slope").alias("slope"),
     )
 
 
