@@ -83,7 +83,7 @@ def a7(spark, sf):
 
 
 @query("A8_any_match_flag", "with " + COMMENTS_SQL + """
-select idcampaign, year(cc_entered) as cc_year, max(case when cc_comment like '*USER STOP REQUEST*%' then 1 else 0 end)
+select idcampaign, cast(year(cc_entered) as int) as cc_year, max(case when cc_comment like '*USER STOP REQUEST*%' then 1 else 0 end)
   as stop_request from comments group by all""")
 def a8(spark, sf):
     stop = F.col("cc_comment").like("*USER STOP REQUEST*%")
@@ -100,7 +100,7 @@ def a9(spark, sf):
 
 
 @query("A10_group_by_expression", """
-select year(l_shipdate) as adv_year, month(l_shipdate) as adv_month, count(*) as n from lineitem
+select cast(year(l_shipdate) as int) as adv_year, cast(month(l_shipdate) as int) as adv_month, count(*) as n from lineitem
 where l_returnflag = 'R' group by 1, 2""")
 def a10(spark, sf):
     return frames.transfer_log(spark, sf).groupBy(
@@ -228,7 +228,7 @@ def a26(spark, sf):
                       ["o_orderkey", "o_orderpriority"])
 
 
-@query("A27_shape", "select count(*) as n_rows, 11 as n_cols from lineitem")
+@query("A27_shape", "select count(*) as n_rows, cast(11 as bigint) as n_cols from lineitem")
 def a27(spark, sf):
     return A.shape(table(spark, sf, "lineitem"))
 

@@ -187,7 +187,7 @@ def _comments(spark, sf, masters=None):
 MART_BASE = SUMMARY_SQL + ", " + CHANGES_SQL + ", " + COMMENTS_SQL + f""",
 masters as (select distinct idcampaign_master from summary where csr_year >= {FIRST_YEAR} and net_cost > 0
   and idbusiness not in ({EXCLUDED_SQL})),
-notes as (select year(c.cc_entered) as cc_year, month(c.cc_entered) as cc_month, o.m as mcid, c.idcampaign as cid,
+notes as (select cast(year(c.cc_entered) as int) as cc_year, cast(month(c.cc_entered) as int) as cc_month, o.m as mcid, c.idcampaign as cid,
     any_value('C' || o.o_orderkey) as campaign_name, any_value(o.o_custkey) as maid,
     count(*) filter (c.user_id <> 1) as businessuser, count(*) filter (c.user_id = 1) as system,
     max(case when c.cc_comment like '*USER STOP REQUEST*%' then 1 else 0 end) as stop_request,
@@ -242,7 +242,7 @@ def c5(spark, sf):
     return _mart(spark, sf).na.fill({"stop_request": -1, "businessuser": -1, "system": -1})
 
 
-@query("C5_mart_key_violations", "select 0 as csr_year, 0 as csr_month, 0 as idcampaign, 0 as n where false")
+@query("C5_mart_key_violations", "select 0 as csr_year, 0 as csr_month, 0::bigint as idcampaign, 0::bigint as n where false")
 def c5_keys(spark, sf):
     return duplicate_keys(_mart(spark, sf), ["csr_year", "csr_month", "idcampaign"])
 

@@ -50,7 +50,7 @@ def t1_legacy(spark, sf):
 
 HOURS_SQL = """seen as (select distinct user_id as key, cast(floor(epoch(ts) / 3600) as bigint) as h from events),
 hours as (select key, h0, unnest(range(h0, h1 + 1)) as h from (select key, min(h) as h0, max(h) as h1 from seen group by 1)),
-series as (select g.key, g.h - g.h0 as t, case when s.h is null then 0.0 else 1.0 end as x from hours g left join seen s using (key, h))"""
+series as (select g.key, g.h - g.h0 as t, cast(case when s.h is null then 0 else 1 end as double) as x from hours g left join seen s using (key, h))"""
 
 
 def hourly(spark, sf):

@@ -204,7 +204,7 @@ def segment_series(spark: SparkSession, sf: str) -> DataFrame:
 
 def _as_series(booked: DataFrame, first: int, last: int) -> DataFrame:
     return densify(booked, "key", first, last).select(
-        "key", (F.col("bucket_idx") - first).alias("t"), F.col("value").alias("x")
+        "key", (F.col("bucket_idx") - first).cast("long").alias("t"), F.col("value").alias("x")
     )
 
 
@@ -234,7 +234,7 @@ SUMMARY_SQL = f"""summary as (
   select m.*, o.o_custkey * 10 + cast(substr(o.o_orderpriority, 1, 1) as int) as idcampaign_master,
     o.o_custkey as idadvertiser, o.o_custkey as idadvertiser_master, o.o_totalprice as campaign_budget,
     cast(substr(o.o_orderpriority, 1, 1) as int) as digit, cast(c.c_nationkey as bigint) as idbusiness
-  from (select year(l_shipdate) as csr_year, month(l_shipdate) as csr_month, l_orderkey as idcampaign,
+  from (select cast(year(l_shipdate) as int) as csr_year, cast(month(l_shipdate) as int) as csr_month, l_orderkey as idcampaign,
           {MONEY.format('l_extendedprice')} as net_cost,
           sum(cast(l_quantity as bigint)) * -1000.0 as net_cost_adjustment,
           min(l_suppkey) as idoffer, count(*) as clicks,

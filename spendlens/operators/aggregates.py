@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import exact_sum
+from .keyed import aggregate_apart
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -225,7 +226,7 @@ def count_outliers(df: DataFrame, key: str, col: str, c: float = 2.0) -> DataFra
     The second grouping is by a copy of the key. Grouping by the join key itself would tie
     the count to the join's partitions and keep a hot key from being split there.
     """
-    stats = df.groupBy(key).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
+    stats = aggregate_apart(df, [key], F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
     over = F.abs(col) >= F.col("_m") + c * F.col("_s")
     counted = df.join(stats, key).groupBy(F.struct(key).alias("_k")).agg(F.count_if(over).alias("outliers"))
     return counted.select(f"_k.{key}", "outliers")

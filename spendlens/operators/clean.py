@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.dates import day_gap, parse_date
 from ..functions.numbers import unless
 from .aggregates import mode_of
+from .keyed import aggregate_apart
 
 NULL_MARK = "\\N"  # fixed value: how the export writes a missing field
 
@@ -73,7 +74,7 @@ def fill_group_mean(df: DataFrame, key: str, col: str, when: Column | None = Non
     The mean is aggregated before anything is shuffled and joined back on the key, so a
     key with a large share of the rows can still be split between tasks.
     """
-    means = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg(col).alias("_mean"))
+    means = aggregate_apart(df.where(F.col(key).isNotNull()), [key], F.avg(col).alias("_mean"))
     gap = F.col(col).isNull() & (F.lit(True) if when is None else F.coalesce(when, F.lit(False)))
     return (
         df.join(means, key, "left")

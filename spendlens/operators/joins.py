@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keyed import aggregate_apart
+
 
 def left_join(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
     """Left join on equal names; ``null_safe`` also pairs missing keys with each other."""
@@ -25,18 +27,18 @@ def left_join(left: DataFrame, right: DataFrame, keys: list[str], null_safe: boo
 def keep_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key is listed."""
     on = [on] if isinstance(on, str) else on
-    return df.join(keys.select(*on).distinct(), on, "left_semi")
+    return df.join(aggregate_apart(keys, on), on, "left_semi")
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key is not listed; a missing key is not listed, so it stays."""
     on = [on] if isinstance(on, str) else on
-    return df.join(keys.select(*on).distinct(), on, "left_anti")
+    return df.join(aggregate_apart(keys, on), on, "left_anti")
 
 
 def flag_exists(df: DataFrame, other: DataFrame, keys: list[str], name: str) -> DataFrame:
     """1 where ``other`` has the key, else 0, in a single pass."""
-    hits = other.select(*keys).distinct().withColumn("_hit", F.lit(1))
+    hits = aggregate_apart(other, keys).withColumn("_hit", F.lit(1))
     return (
         df.join(hits, keys, "left")
         .withColumn(name, F.when(F.col("_hit").isNotNull(), 1).otherwise(0))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import bin_frequency, bin_period, dominant, next_pow2
+from .keyed import aggregate_apart
 from .windows import along, cycle_steps, whole
 
 TIE_DIGITS = 9  # powers that agree to this many places count as equal; the lower bin wins
@@ -295,7 +296,7 @@ def acf(df: DataFrame, key: str, t: str = "t", x: str = "x", nlags: int = 24, z:
     also receives the ``nlags`` rows that follow it, so a key of any length is spread over
     tasks and every product of two rows is formed exactly once.
     """
-    stats = df.groupBy(key).agg(F.avg(x).alias("_m"), F.count("*").alias("n"))
+    stats = aggregate_apart(df, [key], F.avg(x).alias("_m"), F.count("*").alias("n"))
     centred = df.join(stats, key).select(
         key, F.col(t).cast("long").alias("_t"), (F.col(x) - F.col("_m")).alias("_c"), "n"
     )

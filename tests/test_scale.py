@@ -96,3 +96,30 @@ def test_detector_gathers_a_series_once(spark, small):
     # totals per month, series per key, and once more behind the Arrow step
     assert len(re.findall(r"\bExchange\b", plan)) <= 3
     assert plan.count("FileScan parquet") == 1
+
+
+def test_hot_key_join_is_split(spark):
+    """With sort-merge joins, the adaptive planner cuts the partition of the hot key."""
+    names = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        # several map tasks, so that there are pieces to split by
+        rows = hot_rows(spark, 60_000).repartition(12, "id").withColumn("x", F.hash("id").cast("double"))
+        df = aggregates.count_outliers(rows, "key", "x", 1.0)
+        got = {r["key"]: r["outliers"] for r in df.collect()}
+        assert "skew=true" in plan_of(df)
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    pdf = rows.toPandas()
+    for key, part in pdf.groupby("key"):
+        limit = part["x"].mean() + part["x"].std(ddof=0)
+        assert got[key] == int((part["x"].abs() >= limit).sum())
