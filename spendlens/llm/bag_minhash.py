@@ -8,26 +8,31 @@ shingle of weight w costs log w processes, and points later than the last compon
 
 Signatures are banded; documents that share a band are candidates, and candidates are verified on the exact multiset
 overlap. Documents with the same words are one node. In a bucket of a band, members are compared with one leader,
-not with each other; what is then in one class needs no more comparison, and only members of different classes are
-compared further, so a bucket of many copies costs its size.
+not with each other; what is then in one class needs no more comparison. Of the members of different classes, most
+pairs are ruled out without reading texts: the similarities to the leader differ too much (distances obey the triangle
+inequality), or the signatures do.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
 from .words import ALNUM, LOWER, doc_of, mix, slices, window_hashes
 
-SIZE, BANDS, ROWS = 128, 32, 4  # a pair of similarity 0.8 shares no band once in 20 million
+SIZE = 512
+BANDS, ROWS = 32, 4  # made of the first 128 components; a pair of similarity 0.8 shares no band once in 20 million
 SHINGLE = 5
-STAR_ROUNDS = 2
-#: Bits of 128 one-bit component digests in which a pair may differ: at similarity 0.8 a pair differs in 12.8 on
-#: average with a deviation of 3.4, so the bound is 7 deviations away.
-MAX_BITS = 38
+STAR_ROUNDS = 1
+#: Four bits are kept of each component. At similarity 0.8 a pair differs in 96 of 512 on average, with a deviation of
+#: 8.8; beyond this many, 5.2 deviations away, a pair can only be that similar once in 10 million.
+BITS, MAX_DIFFERENT = 4, 142
+SLICE_DOCS = 2000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -89,12 +94,23 @@ def signatures(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: int
 
 
 def bands(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes (documents, BANDS), and one bit per component in two 64-bit words."""
+    """Band hashes (documents, BANDS), and ``BITS`` bits per component as planes of 64-bit words (documents, BITS * SIZE / 64)."""
     codes = mix(signature.view(np.uint64))
     factors = mix(np.arange(1, ROWS + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
-    banded = (codes.reshape(-1, BANDS, ROWS) * factors).sum(2, dtype=np.uint64)
-    bits = np.packbits((codes & np.uint64(1)).astype(np.uint8), axis=1)
-    return mix(banded + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64), bits.view(np.int64)
+    banded = (codes[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS) * factors).sum(2, dtype=np.uint64)
+    planes = [np.packbits(((codes >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for b in range(BITS)]
+    return mix(banded + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64), np.concatenate(planes, 1)
+
+
+def _differences(left: str, right: str):
+    """In how many components the bits of two sketches differ."""
+    words = SIZE // 64
+
+    def unequal(i):
+        planes = [F.get(left, F.lit(i + b * words)).bitwiseXOR(F.get(right, F.lit(i + b * words))) for b in range(BITS)]
+        return F.bit_count(reduce(Column.bitwiseOR, planes))
+
+    return reduce(Column.__add__, map(unequal, range(words)))
 
 
 def text_digests(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -111,18 +127,22 @@ def text_digests(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _lists(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(values.ravel()))
+
+
 def _prints(batches):
     for batch in batches:
-        for s in slices(batch.column("text"), LOWER):
+        for s in slices(batch.column("text"), LOWER, max_docs=SLICE_DOCS):
             starts, ends, first = s.spans(ALNUM[s.data])
             hashes = s.hashes(starts, ends)
-            banded, bits = bands(signatures(*weighted(*shingles(hashes, first)), s.n_docs))
+            banded, sketch = bands(signatures(*weighted(*shingles(hashes, first)), s.n_docs))
             d1, d2 = text_digests(hashes, first)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, banded.size + 1, BANDS, dtype=np.int32)), pa.array(banded.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(s.first_doc, s.n_docs), pa.array(np.diff(first)), pa.array(d1), pa.array(d2),
-                 pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), flat],
-                names=["doc_id", "n_words", "d1", "d2", "s1", "s2", "bands"])
+                 _lists(banded), _lists(sketch)],
+                names=["doc_id", "n_words", "d1", "d2", "bands", "sketch"])
 
 
 def _multisets(batches):
@@ -163,14 +183,14 @@ def connected_classes(edges: DataFrame) -> DataFrame:
             return classes
 
 
-def _verified(pairs: DataFrame, multisets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) whose exact multiset Jaccard similarity is ``share`` or more."""
+def _distances(pairs: DataFrame, multisets: DataFrame) -> DataFrame:
+    """(a, b, overlap, total): shingles in common and in either, as multisets."""
     right = multisets.select(F.col("doc_id").alias("b"), F.col("codes").alias("cb"))
     left = multisets.select(F.col("doc_id").alias("_a"), F.col("codes").alias("ca"))
     both = pairs.join(right, "b").join(left, F.col("a") == F.col("_a"))
     overlap = F.size(F.array_intersect("ca", "cb"))
-    union = F.size("ca") + F.size("cb") - F.col("overlap")
-    return both.withColumn("overlap", overlap).filter(F.col("overlap") * share[1] >= union * share[0]).select("a", "b")
+    return both.select("a", "b", overlap.alias("overlap"), (F.size("ca") + F.size("cb")).alias("sizes")) \
+        .select("a", "b", "overlap", (F.col("sizes") - F.col("overlap")).alias("total"))
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -187,11 +207,12 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", share
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    prints = written(rows.mapInArrow(_prints, f"doc_id {kind}, n_words long, d1 long, d2 long, s1 long, s2 long, bands array<long>"), "near-prints")
+    prints = written(rows.mapInArrow(_prints, f"doc_id {kind}, n_words long, d1 long, d2 long, bands array<long>, sketch array<long>"), "near-prints")
     worded = prints.filter("n_words > 0 and doc_id is not null")
-    nodes = written(worded.groupBy("d1", "d2", "s1", "s2").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("rows"), F.any_value("bands").alias("bands")), "near-nodes")
-    banded = nodes.select("node", "s1", "s2", F.explode("bands").alias("bucket"))
+    nodes = written(worded.groupBy("d1", "d2").agg(
+        F.min("doc_id").alias("node"), F.count("*").alias("rows"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")),
+        "near-nodes")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = written(banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n"), "near-buckets")
     members = written(banded.join(shared, "bucket"), "near-members")
     named = members.select(F.col("node").alias("_node")).distinct()
@@ -199,33 +220,50 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", share
         rows.join(named, F.col("doc_id") == F.col("_node"), "left_semi").mapInArrow(_multisets, f"doc_id {kind}, codes array<long>")
         .groupBy("doc_id").agg(F.any_value("codes").alias("codes")), "near-multisets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return written(_verified(pairs, multisets, share), "near-links")
+    def measure(pairs: DataFrame) -> DataFrame:
+        return written(_distances(pairs.distinct(), multisets), "near-links")
 
-    def alike(a1, a2, b1, b2):
-        return F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) + F.bit_count(F.col(a2).bitwiseXOR(F.col(b2))) <= MAX_BITS
+    def near(measured: DataFrame) -> DataFrame:
+        return measured.filter(F.col("overlap") * share[1] >= F.col("total") * share[0]).select("a", "b")
 
-    edges = verify(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    led = measure(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    edges = near(led)
+    far = led.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("overlap") / F.col("total")).alias("far"))
+    # a node that is close to the leaders it has met lies in the middle of its group
+    middle = written(
+        far.select(F.col("_a").alias("_c"), "far").unionByName(far.select(F.col("_b").alias("_c"), "far"))
+        .groupBy("_c").agg(F.avg("far").alias("mean_far")), "near-middle")
+    details = nodes.select(F.col("node").alias("_m"), "sketch", "bands")
     for turn in range(STAR_ROUNDS + 1):
         classes = connected_classes(edges)
-        held = members.join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left") \
-            .select("bucket", "node", "leader", "s1", "s2", F.coalesce("class", "node").alias("class"))
-        held = written(held, "near-held")
+        held = written(
+            members.join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+            .join(middle, F.col("node") == F.col("_c"), "left")
+            .select("band", "bucket", "node", "leader", "mean_far", F.coalesce("class", "node").alias("class")), "near-held")
         still = written(held.groupBy("bucket").agg(
             F.min("class").alias("lo"), F.max("class").alias("hi"),
-            F.min_by(F.struct("node", "class", "s1", "s2"), F.xxhash64("node", F.lit(turn))).alias("star")).filter("lo <> hi"), "near-open")
+            F.min(F.struct("mean_far", "node", "class")).alias("star")).filter("lo <> hi"), "near-open")
         if still.isEmpty():
             break
         mixed = held.join(still.select("bucket", "star"), "bucket")
-        if turn < STAR_ROUNDS:  # another leader for each bucket that holds several classes
-            pairs = mixed.filter(F.col("class") != F.col("star.class")).filter(alike("s1", "s2", "star.s1", "star.s2")) \
-                .select(F.col("star.node").alias("a"), F.col("node").alias("b"))
-        else:  # what is left: members of different classes, as far as their bits allow the similarity
-            left = mixed.select("bucket", *(F.col(c).alias("l_" + c) for c in ("node", "class", "s1", "s2", "leader")))
-            pairs = left.join(mixed, "bucket").filter(F.col("l_class") < F.col("class")) \
-                .filter((F.col("l_node") != F.col("leader")) & (F.col("node") != F.col("leader"))) \
-                .filter(alike("l_s1", "l_s2", "s1", "s2")).select(F.col("l_node").alias("a"), F.col("node").alias("b"))
-        edges = edges.unionByName(verify(pairs.distinct()))
+        if turn < STAR_ROUNDS:  # the middle of each bucket that holds several classes as another leader
+            pairs = mixed.filter(F.col("class") != F.col("star.class")).select(F.col("star.node").alias("a"), F.col("node").alias("b"))
+        else:  # what is left: pairs of different classes that neither distances to the leader nor signatures rule out
+            mixed = written(
+                mixed.filter("node <> leader").drop("star")
+                .join(far, (F.col("leader") == F.col("_a")) & (F.col("node") == F.col("_b")))
+                .join(details, F.col("node") == F.col("_m"))
+                .select("bucket", "band", "node", "class", "far", "sketch", "bands"), "near-mixed")
+            left = mixed.select("bucket", *(F.col(c).alias("l_" + c) for c in ("node", "class", "far", "sketch", "bands")))
+            equal = F.zip_with("l_bands", "bands", lambda x, y: x == y)
+            pairs = left.join(
+                mixed.withColumnRenamed("bucket", "_bucket"),
+                (F.col("bucket") == F.col("_bucket")) & (F.col("l_class") < F.col("class"))
+                & (F.abs(F.col("l_far") - F.col("far")) <= 1 - share[0] / share[1] + 1e-9)
+                & (_differences("l_sketch", "sketch") <= MAX_DIFFERENT)
+                & (F.array_position(equal, F.lit(True)) == F.col("band") + 1),  # once, in the first band they share
+            ).select(F.col("l_node").alias("a"), F.col("node").alias("b"))
+        edges = edges.unionByName(near(measure(pairs)))
     else:
         classes = connected_classes(edges)
     groups = nodes.join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left") \

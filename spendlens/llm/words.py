@@ -91,7 +91,7 @@ class Slice:
         return mix((self._sums[ends] - self._sums[starts]) * back[starts])
 
 
-def slices(texts: pa.Array, fold: np.ndarray = AS_IS, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(texts: pa.Array, fold: np.ndarray = AS_IS, max_bytes: int = SLICE_BYTES, max_docs: int = 1 << 30) -> Iterator[Slice]:
     """Cut a string column into slices; null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -107,7 +107,7 @@ def slices(texts: pa.Array, fold: np.ndarray = AS_IS, max_bytes: int = SLICE_BYT
     at = 0
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + max_bytes, "right")) - 1)
-        end = min(end, n)
+        end = min(end, n, at + max_docs)
         yield Slice(whole[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], at, fold)
         at = end
 
