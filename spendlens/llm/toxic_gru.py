@@ -304,7 +304,7 @@ def _best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-                    max_rows: int = 3000, max_chars: int = 20_000, held_out_of: int = 5) -> tuple[list[str], np.ndarray]:
+                    max_rows: int = 2500, max_chars: int = 10_000, held_out_of: int = 5) -> tuple[list[str], np.ndarray]:
     """At most ``max_rows`` labelled whole texts of at most ``max_chars`` code points, by a hash of the key.
 
     Rows whose crc32(key as text) modulo ``held_out_of`` is 0 are never used. Of rows that share a key, one label
