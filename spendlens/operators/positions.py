@@ -50,9 +50,11 @@ def keyed_positions(df: DataFrame, key: str, order_by: list[str], name: str = "p
     """
     placed = global_positions(df, [key, *order_by], "_at", keep_part=True)
     pieces = placed.groupBy(PART, key).agg(F.min("_at").alias("_lo"))
-    first = pieces.select(PART, key, F.min("_lo").over(Window.partitionBy(key)).alias("_first"))
+    first = pieces.select(F.col(PART).alias("_piece"), F.col(key).alias("_of"),
+                          F.min("_lo").over(Window.partitionBy(key)).alias("_first"))
     return (
-        placed.join(first, [PART, key])
+        # rows without a key are a key of their own
+        placed.join(first, (F.col(PART) == F.col("_piece")) & F.col(key).eqNullSafe(F.col("_of")))
         .withColumn(name, F.col("_at") - F.col("_first"))
-        .drop("_at", "_first", PART)
+        .drop("_at", "_first", "_piece", "_of", PART)
     )

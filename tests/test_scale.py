@@ -123,3 +123,11 @@ def test_hot_key_join_is_split(spark):
     for key, part in pdf.groupby("key"):
         limit = part["x"].mean() + part["x"].std(ddof=0)
         assert got[key] == int((part["x"].abs() >= limit).sum())
+
+
+def test_keyed_positions_keep_rows_without_a_key(spark):
+    from spendlens.operators.positions import keyed_positions
+
+    df = spark.createDataFrame([(None, 3), ("a", 2), (None, 1), ("a", 5)], "k string, v int")
+    got = {tuple(r) for r in keyed_positions(df, "k", ["v"], "at").select("k", "v", "at").collect()}
+    assert got == {(None, 1, 0), (None, 3, 1), ("a", 2, 0), ("a", 5, 1)}
