@@ -8,10 +8,9 @@ from ..frames import (
     MART_SQL, SUMMARY_SQL, SUPPLIER_SQL, customer_series, cycles, mart_rows, summary, supplier_series,
 )
 from .. import plans
-from ..operators.aggregates import duplicate_keys
 from ..plans.anomalies import anomaly_lists
 from ..plans.churn import TYPE_PAIRS, active_rows
-from ..session import cut_lineage
+from ..plans.rollup import ROLLUP_KEYS, ROLLUP_SUMS
 from .joins import CHANGES_SQL, COMMENTS_SQL, EXCLUDED_SQL
 from .reshapes import MONEY_MEAN, ORDERED_SQL, spread_sql
 from . import query
@@ -208,43 +207,54 @@ def c5_comments(spark, sf):
     return _comments(spark, sf)
 
 
-CHURN_MART_SQL = "with " + MART_BASE + f""",
+FULL_MART_SQL = MART_BASE + f""",
 base as (
   select s.csr_year, s.csr_month, s.idcampaign,
     min(case when net_cost + net_cost_adjustment < 0 then 0 else net_cost + net_cost_adjustment end) as spend,
     min(s.idcampaign_master) as idcampaign_master, min(s.idadvertiser) as idadvertiser, min(c.c_name) as advertiser_name,
-    min(n.n_name) as advertiser_state, min(c.c_mktsegment) as business_category, min(s.idoffer) as idoffer,
+    min('City ' || c.c_custkey % 50) as advertiser_city, min(n.n_name) as advertiser_state,
+    min(lpad(cast(c.c_custkey as varchar), 5, '0')) as advertiser_zipcode,
+    min(length(c.c_mktsegment)) as idbusinesscategory, min(c.c_mktsegment) as business_category,
+    min(cast(c.c_nationkey as bigint)) as idbusinesssubcategory,
+    min(c.c_mktsegment || ' in ' || n.n_name) as business_subcategory, min(s.idoffer) as idoffer,
     min(p.s_name) as product, min(h.change_type) as adv_change_type, min(s.campaign_budget) as campaign_budget,
-    min(s.clicks) as clicks, min(s.impressions) as impressions, min(s.calls) as calls
+    min(s.clicks) as clicks, min(s.impressions) as impressions, min(s.calls) as calls,
+    min(s.qualified_calls) as qualified_calls, min(s.emails) as emails, min(s.cvt) as cvt,
+    min(s.qualified_web_events) as qualified_web_events
   from summary s join orders r on r.o_orderkey = s.idcampaign and r.o_orderstatus <> 'P'
   join customer c on c.c_custkey = s.idadvertiser join nation n on n.n_nationkey = c.c_nationkey
   join changes h on h.first_aid = s.idadvertiser_master and h.y = s.csr_year and h.m = s.csr_month
   join supplier p on p.s_suppkey = s.idoffer
   where s.csr_year >= {FIRST_YEAR} and s.idcampaign_master in (select idcampaign_master from masters)
-  group by 1, 2, 3)
-select b.*, coalesce(n.stop_request, -1) as stop_request, coalesce(n.businessuser, -1) as businessuser,
-  coalesce(n.system, -1) as system, cast(exists (select 1 from lineitem l where l.l_returnflag = 'R' and l.l_orderkey = b.idcampaign
-    and year(l.l_shipdate) = b.csr_year and month(l.l_shipdate) = b.csr_month) as int) as advtrans
-from base b left join notes n on n.cc_year = b.csr_year and n.cc_month = b.csr_month and n.cid = b.idcampaign"""
+  group by 1, 2, 3),
+churn_mart as (
+  select b.*, n.stop_request, n.businessuser, n.system, cast(exists (select 1 from lineitem l where l.l_returnflag = 'R'
+    and l.l_orderkey = b.idcampaign and year(l.l_shipdate) = b.csr_year and month(l.l_shipdate) = b.csr_month) as int) as advtrans
+  from base b left join notes n on n.cc_year = b.csr_year and n.cc_month = b.csr_month and n.cid = b.idcampaign)"""
 
 
 def _mart(spark, sf):
-    masters = cut_lineage(_masters(spark, sf))  # used twice: stored once, as a plain list of ids
+    masters = _masters(spark, sf)
     return plans.build_churn_mart(
         summary(spark, sf), masters, frames.report(spark, sf), frames.advertisers(spark, sf),
         frames.changes(spark, sf), frames.offers(spark, sf), _comments(spark, sf, masters),
         plans.transfer_keys(frames.transfer_log(spark, sf), FIRST_YEAR), FIRST_YEAR)
 
 
-@query("C5_churn_mart", CHURN_MART_SQL)
+@query("C5_churn_mart", "with " + FULL_MART_SQL + """
+select * replace (coalesce(stop_request, -1) as stop_request, coalesce(businessuser, -1) as businessuser,
+  coalesce(system, -1) as system) from churn_mart""")
 def c5(spark, sf):
     # missing comment counts are shown as -1, so that both engines return whole numbers
     return _mart(spark, sf).na.fill({"stop_request": -1, "businessuser": -1, "system": -1})
 
 
-@query("C5_mart_key_violations", "select 0 as csr_year, 0 as csr_month, 0::bigint as idcampaign, 0::bigint as n where false")
+@query("C5_mart_key_violations", "with " + FULL_MART_SQL + """
+select cast(sum(n) as bigint) as mart_rows, count(*) as keys, count(*) filter (n > 1) as violations
+from (select count(*) as n from churn_mart group by csr_year, csr_month, idcampaign)""")
 def c5_keys(spark, sf):
-    return duplicate_keys(_mart(spark, sf), ["csr_year", "csr_month", "idcampaign"])
+    keys = _mart(spark, sf).groupBy("csr_year", "csr_month", "idcampaign").agg(F.count("*").alias("n"))
+    return keys.agg(F.sum("n").alias("mart_rows"), F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("violations"))
 
 
 ROLL_KEYS = ("idadvertiser", "idcampaign_master", "idcampaign", "advertiser_state")
@@ -288,6 +298,26 @@ def c6_join(spark, sf):
         F.coalesce("impressions", F.lit(-1)).alias("impressions"))
 
 
+FULL_ROLLED_SQL = "rolled as (select " + ", ".join(ROLLUP_KEYS) + ", " + ", ".join(
+    f"cast(coalesce(sum({c}), 0) as bigint) as {c}" for c in ROLLUP_SUMS) + ", max(advtrans) as advtrans from churn_mart group by all)"
+
+
+@query("C6_rollup_of_mart", "with " + FULL_MART_SQL + ", " + FULL_ROLLED_SQL + " select * from rolled")
+def c6_mart_rollup(spark, sf):
+    return plans.campaign_rollup(_mart(spark, sf))
+
+
+@query("C6_cycles_with_rollup_of_mart", "with " + CYCLES_SQL + ", " + FULL_MART_SQL + ", " + FULL_ROLLED_SQL + """
+select c.cycle_id, c.budget, coalesce(r.product, '') as product, coalesce(r.qualified_calls, -1) as qualified_calls,
+  coalesce(r.businessuser, -1) as businessuser
+from (select * from cycles where budget <> 0) c left join rolled r using (idadvertiser, idcampaign_master, idcampaign)""")
+def c6_mart_join(spark, sf):
+    return plans.join_rollup(cycles(spark, sf), plans.campaign_rollup(_mart(spark, sf))).select(
+        "cycle_id", "budget", F.coalesce("product", F.lit("")).alias("product"),
+        F.coalesce("qualified_calls", F.lit(-1)).alias("qualified_calls"),
+        F.coalesce("businessuser", F.lit(-1)).alias("businessuser"))
+
+
 def _profile_sql():
     gone = "gone as (select * from mart where idadvertiser in (select idadvertiser from mart where adv_change_type = 'Churn'))"
     sets = "sets as (select idadvertiser, list(distinct adv_change_type) as ts from gone group by 1)"
@@ -319,8 +349,8 @@ zero as (select distinct master_id from cycles where budget = 0 and master_id no
 s as (select master_id as key, cycle_id, budget as x from cycles where master_id in (select master_id from zero)),
 series as (select key, row_number() over (partition by key order by cycle_id) - 1 as t, x from s),
 c as (select key, t, x - avg(x) over (partition by key) as c, count(*) over (partition by key) as n from series),
-r as (select a.key, k.lag, any_value(a.n) as n, sum(a.c * b.c) as num
-  from (select unnest(range(0, 25)) as lag) k cross join c a join c b on b.key = a.key and b.t = a.t + k.lag group by 1, 2),
+r as (select a.key, a.lag, any_value(a.n) as n, sum(a.c * b.c) as num
+  from (select *, unnest(range(0, n)) as lag from c) a join c b on b.key = a.key and b.t = a.t + a.lag group by 1, 2),
 f as (select key, lag, n, case when max(num) filter (lag = 0) over (partition by key) > 0
   then num / max(num) filter (lag = 0) over (partition by key) end as r from r),
 q as (select *, sqrt((1 + 2 * coalesce(sum(case when lag > 0 then r * r end) over (partition by key order by lag

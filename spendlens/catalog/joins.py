@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import frames
 from ..frames import CYCLES_SQL, MART_SQL, SUMMARY_SQL, cycles, mart_rows, summary, table
 from ..operators import joins as J
+from ..operators.keyed import aggregate_apart
 from . import query
 
 COMMENTS_SQL = """comments as (
@@ -29,7 +30,7 @@ select c.cycle_id, t.n from cycles c left join (select category, offer_name, cou
   on c.category is not distinct from t.category and c.offer_name is not distinct from t.offer_name""")
 def j1_null_safe(spark, sf):
     rows = cycles(spark, sf).select("cycle_id", "category", "offer_name")
-    sizes = rows.groupBy("category", "offer_name").agg(F.count("*").alias("n"))
+    sizes = aggregate_apart(rows, ["category", "offer_name"], F.count("*").alias("n"))
     return J.left_join(rows, sizes, ["category", "offer_name"], null_safe=True).select("cycle_id", "n")
 
 
@@ -128,7 +129,7 @@ select event_id, user_id, value - m as over_mean_cents from (select event_id, us
     / cast(count(*) over (partition by user_id) as double)) as bigint) as m from events)""")
 def j13(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "user_id", F.floor(F.col("value") * 100 + 0.5).alias("v"))
-    per = rows.groupBy("user_id").agg(F.floor(F.sum("v") / F.count("*").cast("double")).alias("m"))
+    per = aggregate_apart(rows, ["user_id"], F.floor(F.sum("v") / F.count("*").cast("double")).alias("m"))
     return rows.join(per, "user_id").select("event_id", "user_id", (F.col("v") - F.col("m")).alias("over_mean_cents"))
 
 

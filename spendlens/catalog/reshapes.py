@@ -106,11 +106,11 @@ def r2(spark, sf):
 @query("R3_quarter_profile", "with " + ORDERED_SQL + f""",
 y as (select category, year(s) as y, quarter(s) as q, {MONEY_MEAN} as m from ordered
   where date_trunc('quarter', s) = date_trunc('quarter', e) group by all)
-select category, """ + ", ".join(f"round(coalesce(sum(m) filter (q = {q}), 0.0) + 0.0000137, 4) as q{q}" for q in range(1, 5))
+select category, """ + ", ".join(
+    f"coalesce(list_reduce(list(m order by y) filter (q = {q}), lambda a, b: a + b), 0.0) as q{q}" for q in range(1, 5))
        + " from y group by 1")
 def r3(spark, sf):
-    out = B.quarter_profile(ordered_cycles(spark, sf), "category", "budget", "started", "short_end")
-    return out.select("category", *[F.round(F.col(f"q{q}") + 0.0000137, 4).alias(f"q{q}") for q in range(1, 5)])
+    return B.quarter_profile(ordered_cycles(spark, sf), "category", "budget", "started", "short_end")
 
 
 @query("R4_one_hot", """
@@ -141,12 +141,27 @@ def r6(spark, sf):
     return long.groupBy("measure").pivot("column", cols).agg(F.first("value"))
 
 
-@query("R7_index_as_column", "with " + SEGMENT_SQL + """
-select key as idadvertiser_master, max(x) filter (t = 0) as "1995-Q1", max(x) filter (t = 1) as "1995-Q2" from series group by 1""")
+QUARTER_NAMES = [f"{b // 4}-Q{b % 4 + 1}" for b in range(FIRST_QUARTER, LAST_QUARTER + 1)]
+
+
+@query("R7_index_as_column", "with " + SEGMENT_SQL + " select key as idadvertiser_master, "
+       + ", ".join(f'max(x) filter (t = {i}) as "{name}"' for i, name in enumerate(QUARTER_NAMES))
+       + " from series group by 1")
 def r7(spark, sf):
-    booked = segment_series(spark, sf).select("key", (F.col("t") + FIRST_QUARTER).alias("bucket_idx"), F.col("x").alias("value"))
-    return B.to_matrix(booked, "key", "quarter", FIRST_QUARTER, FIRST_QUARTER + 1).withColumnRenamed(
-        "key", "idadvertiser_master")
+    return _segment_matrix(spark, sf).withColumnRenamed("key", "idadvertiser_master")
+
+
+@query("R7_column_as_index", "with " + SEGMENT_SQL
+       + f" select key, {QUARTER_NAMES}[t + 1] as quarter, x from series")
+def r7_back(spark, sf):
+    labelled = r7(spark, sf).withColumnRenamed("idadvertiser_master", "key")
+    return B.melt(labelled, ["key"], QUARTER_NAMES, "quarter", "x")
+
+
+def _segment_matrix(spark, sf):
+    booked = segment_series(spark, sf).select(
+        "key", (F.col("t") + FIRST_QUARTER).alias("bucket_idx"), F.col("x").alias("value"))
+    return B.to_matrix(booked, "key", "quarter", FIRST_QUARTER, LAST_QUARTER)
 
 
 METRICS = ["clicks", "impressions", "calls"]

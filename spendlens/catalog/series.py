@@ -308,15 +308,15 @@ def t22(spark, sf):
 
 
 ACF_SQL = SUP + """, c as (select key, t, x - avg(x) over (partition by key) as c, count(*) over (partition by key) as n from series),
-r as (select a.key, k.lag, any_value(a.n) as n, sum(a.c * b.c) as num
-  from (select unnest(range(0, 25)) as lag) k cross join c a join c b on b.key = a.key and b.t = a.t + k.lag group by 1, 2),
+r as (select a.key, a.lag, any_value(a.n) as n, sum(a.c * b.c) as num
+  from (select *, unnest(range(0, n)) as lag from c) a join c b on b.key = a.key and b.t = a.t + a.lag group by 1, 2),
 f as (select key, lag, n, num / max(num) filter (lag = 0) over (partition by key) as r from r),
 s as (select *, case when lag = 0 then 0 else sqrt((1 + 2 * coalesce(sum(case when lag > 0 then r * r end) over (partition by key order by lag
   rows between unbounded preceding and 1 preceding), 0)) / n) end as se from f)"""
 
 
 def acf_rows(spark, sf):
-    return S.acf(supplier_series(spark, sf), "key", nlags=24)
+    return S.acf(supplier_series(spark, sf), "key")
 
 
 @query("T23_autocorrelation", ACF_SQL + """

@@ -32,11 +32,14 @@ def s1(spark, sf):
         F.col("category").alias("BusinessCategory"), F.col("budget").alias("campaign_budget"),
         F.col("started").cast("string").alias("Cycle_Started"), F.col("ended").cast("string").alias("Cycle_Ended"),
     )
+    # the files have a row label in front, another order, and columns outside the schema
+    shuffled = source.select(
+        F.lit(0).alias("Unnamed: 0"), "Cycle_Ended", "campaign_budget", "idcampaign", F.lit("x").alias("region"),
+        "BusinessCategory", "Cycle_Started", "idadvertiser_master",
+    )
     path = scratch_path(spark, "cycles-csv")
-    write_csv(source, path)
-    schema = schemas.CYCLES
-    known = type(schema)([f for c in source.columns for f in schema.fields if f.name == c])
-    return read_cycles(spark, path, known)
+    write_csv(shuffled, path)
+    return read_cycles(spark, path).select(*source.columns)
 
 
 def _export(spark, sf):

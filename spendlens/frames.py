@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions.dates import bucket_index
 from .functions.numbers import exact_sum
 from .operators.buckets import densify
+from .plans.churn import CHANGE_TYPES
 
 # fixed values: calendar of the given tables
 FIRST_QUARTER, LAST_QUARTER = 1995 * 4, 2001 * 4 + 2
@@ -20,8 +21,6 @@ LAST_SHIP_MONTH = 2001 * 12 + 10
 CUTOFF = "1996-12-31"
 FIRST_YEAR = 1996
 
-CHANGE_TYPES = ["Change down", "Change up", "Churn", "Idle down", "Idle up", "New", "No change"]
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -85,6 +84,10 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
         F.count("*").alias("clicks"),
         F.sum(F.col("l_quantity").cast("long")).alias("impressions"),
         F.count_if(F.col("l_returnflag") == "R").alias("calls"),
+        F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25)).alias("qualified_calls"),
+        F.count_if(F.col("l_linestatus") == "O").alias("emails"),
+        F.count_if(F.col("l_quantity") < 10).alias("cvt"),
+        F.count_if((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 40)).alias("qualified_web_events"),
     )
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("idcampaign"), campaign_master().alias("idcampaign_master"),
@@ -103,7 +106,12 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
 def advertisers(spark: SparkSession, sf: str) -> DataFrame:
     return customers(spark, sf).select(
         F.col("c_custkey").alias("idadvertiser"), F.col("c_name").alias("advertiser_name"),
-        F.col("state").alias("advertiser_state"), F.col("c_mktsegment").alias("business_category"),
+        F.concat(F.lit("City "), F.col("c_custkey") % 50).alias("advertiser_city"),
+        F.col("state").alias("advertiser_state"), F.lpad(F.col("c_custkey").cast("string"), 5, "0").alias("advertiser_zipcode"),
+        F.length("c_mktsegment").cast("long").alias("idbusinesscategory"),
+        F.col("c_mktsegment").alias("business_category"),
+        F.col("c_nationkey").cast("long").alias("idbusinesssubcategory"),
+        F.concat("c_mktsegment", F.lit(" in "), "state").alias("business_subcategory"),
     )
 
 
@@ -239,7 +247,10 @@ SUMMARY_SQL = f"""summary as (
           sum(cast(l_quantity as bigint)) * -1000.0 as net_cost_adjustment,
           min(l_suppkey) as idoffer, count(*) as clicks,
           cast(sum(cast(l_quantity as bigint)) as bigint) as impressions,
-          count(*) filter (l_returnflag = 'R') as calls
+          count(*) filter (l_returnflag = 'R') as calls,
+          count(*) filter (l_returnflag = 'R' and l_quantity > 25) as qualified_calls,
+          count(*) filter (l_linestatus = 'O') as emails, count(*) filter (l_quantity < 10) as cvt,
+          count(*) filter (l_linestatus = 'O' and l_quantity > 40) as qualified_web_events
         from lineitem group by all) m
   join orders o on o.o_orderkey = m.idcampaign join customer c on c.c_custkey = o.o_custkey)"""
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import exact_sum
+from ..functions.numbers import exact_avg, exact_sum
 from .keyed import aggregate_apart
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -27,10 +27,12 @@ def sum_by(df: DataFrame, keys: list[str], col: str, name: str) -> DataFrame:
     return df.dropna(subset=keys).groupBy(*keys).agg(exact_sum(F.col(col)).alias(name))
 
 
-def mean_all(df: DataFrame, key: str) -> DataFrame:
-    """Mean of every numeric column per key."""
+def mean_all(df: DataFrame, key: str, money: tuple = ()) -> DataFrame:
+    """Mean of every numeric column per key; ``money`` columns are added as whole cents."""
     cols = numeric_names(df, (key,))
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.avg(c).alias(c) for c in cols])
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[
+        (exact_avg(F.col(c)) if c in money else F.avg(c)).alias(c) for c in cols
+    ])
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -104,14 +106,19 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: tuple = QUARTILES,
     return found.select("column", "prob", value.alias("value"))
 
 
-def profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Count, mean, deviation, minimum, quartiles and maximum, one row per column."""
+def profile(df: DataFrame, cols: list[str] | None = None, money: tuple = ()) -> DataFrame:
+    """Count, mean, deviation, minimum, quartiles and maximum, one row per column.
+
+    Means of ``money`` columns are taken from totals in whole cents.
+    """
     cols = cols or numeric_names(df)
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
     ])).alias("e")).select("e.*")
+    plain = F.avg("value")
     basic = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
+        F.count("value").alias("count"),
+        (F.coalesce(exact_avg(F.when(F.col("column").isin(*money), F.col("value"))), plain) if money else plain).alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
     marks = exact_quantiles(df, cols).groupBy("column").agg(*[

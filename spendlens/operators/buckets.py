@@ -118,12 +118,15 @@ def to_series(df: DataFrame, key: str, columns: list[str], t: str = "t", x: str
 
 def quarter_profile(df: DataFrame, key: str, value: str = "budget", start: str = "started",
                     end: str = "ended") -> DataFrame:
-    """Four columns per key: for every quarter of the year, the yearly means added up."""
+    """Four columns per key: for every quarter of the year, the yearly means added up in time order."""
     yearly = bucket_values(bucket_contained(df, "quarter", start, end), [key], value, "mean")
     quarter = F.col("bucket_idx") % 4 + 1
-    return yearly.groupBy(key).agg(*[
-        F.coalesce(F.sum(F.when(quarter == q, F.col("value"))), F.lit(0.0)).alias(f"q{q}") for q in range(1, 5)
-    ])
+    # at most one value per year: sorted first, so that the total does not depend on arrival
+    dated = F.struct("bucket_idx", F.coalesce("value", F.lit(0.0)).alias("value"))
+    total = lambda q: F.aggregate(
+        F.array_sort(F.collect_list(F.when(quarter == q, dated))), F.lit(0.0), lambda acc, e: acc + e["value"]
+    )
+    return yearly.groupBy(key).agg(*[total(q).alias(f"q{q}") for q in range(1, 5)])
 
 
 def one_hot(df: DataFrame, col: str, values: list[str]) -> DataFrame:

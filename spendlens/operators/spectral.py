@@ -19,6 +19,7 @@ from ..functions.numbers import bin_frequency, bin_period, dominant, next_pow2
 from .keyed import aggregate_apart
 from .windows import along, cycle_steps, whole
 
+CELLS = 1 << 20  # values that one stack of transforms may hold
 TIE_DIGITS = 9  # powers that agree to this many places count as equal; the lower bin wins
 
 
@@ -288,43 +289,99 @@ def detrended_spectrum(df: DataFrame, key: str, t: str = "t", x: str = "x", w: i
     return power_spectrum(df, key, t, x, w=w)
 
 
-def acf(df: DataFrame, key: str, t: str = "t", x: str = "x", nlags: int = 24, z: float = 1.959963984540054,
-        block: int = 4096) -> DataFrame:
-    """Autocorrelation at lags 0 .. nlags with Bartlett's standard error and a flag.
+def _lag_sums(at: pd.Series, c: pd.Series, i: pd.Series, j: pd.Series, block: int, cells: int) -> pd.DataFrame:
+    """Per pair of blocks: first lag, and the sums of products at that lag and those after it.
 
-    ``t`` must count the rows of a key from 0. Keys are cut into blocks of time; each block
-    also receives the ``nlags`` rows that follow it, so a key of any length is spread over
-    tasks and every product of two rows is formed exactly once.
+    Pairs of one transform length are stacked, at most ``cells`` values at a time.
     """
-    stats = aggregate_apart(df, [key], F.avg(x).alias("_m"), F.count("*").alias("n"))
+    heads, tails, first, size = [], [], [], []
+    for ts, cs, left, right in zip(at, c, i, j):
+        ts, cs = np.asarray(ts, dtype="int64"), np.asarray(cs, dtype="float64")
+        pair = []
+        for b in (left, right):
+            mine = ts // block == b
+            spread = np.zeros(int(ts[mine].max()) - b * block + 1 if mine.any() else 1)
+            spread[ts[mine] - b * block] = cs[mine]
+            pair.append(spread)
+        heads.append(pair[0])
+        tails.append(pair[1])
+        back = 0 if left == right else len(pair[0]) - 1
+        first.append(int((right - left) * block - back))
+        size.append(back + len(pair[1]))
+    width = [1 << (len(a) + len(b) - 2).bit_length() for a, b in zip(heads, tails)]
+    sums: list = [None] * len(heads)
+    for length in sorted(set(width)):
+        rows = [r for r, w in enumerate(width) if w == length]
+        step = max(1, cells // length)
+        for lo in range(0, len(rows), step):
+            part = rows[lo:lo + step]
+            a, b = np.zeros((len(part), length)), np.zeros((len(part), length))
+            for slot, r in enumerate(part):
+                a[slot, :len(heads[r])], b[slot, :len(tails[r])] = heads[r], tails[r]
+            met = np.fft.irfft(np.conj(np.fft.rfft(a)) * np.fft.rfft(b), length)
+            for slot, r in enumerate(part):
+                back = size[r] - len(tails[r])
+                sums[r] = np.concatenate([met[slot, length - back:], met[slot, :len(tails[r])]])
+    return pd.DataFrame({"first": first, "sums": sums})
+
+
+def acf(df: DataFrame, key: str, t: str = "t", x: str = "x", nlags: int | None = None,
+        z: float = 1.959963984540054, block: int = 4096) -> DataFrame:
+    """Autocorrelation with Bartlett's standard error and a flag, at lags 0 .. n - 1, or 0 .. ``nlags``.
+
+    ``t`` must count the rows of a key from 0. A key is cut into blocks of time, and every
+    pair of blocks no further apart than the largest lag is correlated by a Fourier
+    transform in an Arrow batch; sums of equal lags are then added. A key of any length is
+    spread over tasks, and an ordinary key is a single block. Rows without a key belong to
+    no series and are left out.
+    """
+    stats = aggregate_apart(
+        df.where(F.col(key).isNotNull()), [key], F.avg(x).alias("_m"), F.count("*").alias("n"), F.max(t).alias("_last")
+    )
+    own, last = F.floor(F.col("_t") / block), F.floor(F.col("_last") / block)
+    lo, hi = F.lit(0).cast("long"), last
+    if nlags is not None:
+        reach = -(-nlags // block)
+        lo, hi = F.greatest(lo, own - reach), F.least(hi, own + reach)
     centred = df.join(stats, key).select(
-        key, F.col(t).cast("long").alias("_t"), (F.col(x) - F.col("_m")).alias("_c"), "n"
+        key, "n", "_last", F.col(t).cast("long").alias("_t"), (F.col(x) - F.col("_m")).alias("_c")
+    )
+    placed = centred.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(lo, hi)))
+    pairs = placed.groupBy(
+        key, "n", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j")
+    ).agg(F.collect_list(F.struct("_t", F.coalesce("_c", F.lit(0.0)).alias("_c"))).alias("_rows"))
+
+    @F.pandas_udf("first long, sums array<double>")
+    def lag_sums(at: pd.Series, c: pd.Series, i: pd.Series, j: pd.Series) -> pd.DataFrame:
+        return _lag_sums(at, c, i, j, block, CELLS)
+
+    met = pairs.select(key, "n", lag_sums(F.col("_rows._t"), F.col("_rows._c"), "_i", "_j").alias("_s"))
+    lags = met.select(key, "n", F.col("_s.first").alias("_first"), F.posexplode("_s.sums").alias("_at", "_num")).select(
+        key, "n", (F.col("_first") + F.col("_at")).alias("lag"), "_num"
     )
-    own = F.floor(F.col("_t") / block)
-    halo = (F.col("_t") % block < nlags) & (own > 0)
-    placed = centred.withColumn(
-        "_block", F.explode(F.when(halo, F.array(own, own - 1)).otherwise(F.array(own)))
-    ).repartition(key, "_block")  # else the window would keep the join's partitions, one per key
-    w = along([key, "_block"], "_t")
-    is_own = F.floor(F.col("_t") / block) == F.col("_block")
-    products = placed.select(
-        key, "n", is_own.alias("_own"),
-        *[(F.col("_c") * F.lead("_c", k).over(w)).alias(f"_p{k}") for k in range(1, nlags + 1)],
-        (F.col("_c") * F.col("_c")).alias("_p0"),
-    ).where("_own")
-    sums = products.groupBy(key, "n").agg(
-        F.array(*[F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)) for k in range(nlags + 1)]).alias("_s")
+    top = F.col("n") - 1 if nlags is None else F.least(F.col("n") - 1, F.lit(nlags))
+    sums = lags.where(F.col("lag").between(0, top)).groupBy(
+        key, F.floor(F.col("lag") / block).alias("_part"), "lag", "n"
+    ).agg(F.sum("_num").alias("_num"))
+    # the error of a lag needs the squares of all lags before it: totals of whole parts, then
+    # the running sum inside a part
+    square = F.when(F.col("lag") > 0, F.col("_num") * F.col("_num")).otherwise(0.0)
+    parts = sums.groupBy(F.col(key).alias("_of"), F.col("_part").alias("_piece")).agg(
+        F.sum(square).alias("_squares"), F.max(F.when(F.col("lag") == 0, F.col("_num"))).alias("_zero")
     )
-    lags = sums.select(key, "n", F.posexplode("_s").alias("lag", "_num"), F.col("_s")[0].alias("_den")).where(
-        F.col("lag") < F.col("n")
+    ahead = along("_of", "_piece")
+    heads = parts.select(
+        "_of", "_piece", F.max("_zero").over(ahead).alias("_den"),
+        F.coalesce(F.sum("_squares").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"),
     )
-    r = F.when(F.col("_den") > 0, F.col("_num") / F.col("_den"))
-    before = along(key, "lag").rowsBetween(Window.unboundedPreceding, -1)
-    squares = F.sum(F.when(F.col("lag") > 0, F.col("r") * F.col("r"))).over(before)
-    se = F.when(F.col("lag") == 0, F.lit(0.0)).otherwise(
-        F.sqrt((1 + 2 * F.coalesce(squares, F.lit(0.0))) / F.col("n"))
+    inside = F.sum(square).over(along([key, "_part"], "lag").rowsBetween(Window.unboundedPreceding, -1))
+    out = sums.withColumn("_inside", F.coalesce(inside, F.lit(0.0))).join(
+        heads, (F.col(key) == F.col("_of")) & (F.col("_part") == F.col("_piece"))
     )
-    out = lags.select(key, "n", "lag", r.alias("r")).withColumn("se", se)
+    varies = F.col("_den") > 0
+    squares = F.when(varies, (F.col("_before") + F.col("_inside")) / F.col("_den") / F.col("_den")).otherwise(0.0)
+    se = F.when(F.col("lag") == 0, 0.0).otherwise(F.sqrt((1 + 2 * squares) / F.col("n")))
+    out = out.select(key, "n", "lag", F.when(varies, F.col("_num") / F.col("_den")).alias("r"), se.alias("se"))
     flag = ((F.col("lag") > 0) & (F.abs("r") > z * F.col("se"))).cast("int")
     return out.withColumn("significant", F.coalesce(flag, F.lit(0)))
 

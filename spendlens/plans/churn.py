@@ -11,6 +11,7 @@ from ..operators.joins import keep_keys
 from ..operators.positions import keyed_positions
 from ..operators.spectral import acf, acf_flag
 
+# fixed values: labels of the budget changes of a month
 CHANGE_TYPES = ("Change down", "Change up", "Churn", "Idle down", "Idle up", "New", "No change")
 TYPE_PAIRS = (
     ("Idle down", "Idle up"), ("Change up", "Change down"), ("Change down", "Idle down"),
@@ -57,10 +58,10 @@ def churn_profile(df: DataFrame, key: str = "idadvertiser", change: str = "adv_c
     return out
 
 
-def zero_budget_profile(df: DataFrame, key: str, budget: str, order: list[str], nlags: int = 24,
-                        mode: str = "band") -> DataFrame:
+def zero_budget_profile(df: DataFrame, key: str, budget: str, order: list[str],
+                        nlags: int | None = None, mode: str = "band") -> DataFrame:
     """Rows (key, n, lags, flag): advertisers with a zero budget somewhere, but not in total,
-    and whether their budgets repeat by autocorrelation.
+    and whether their budgets repeat by autocorrelation, at any lag unless ``nlags`` is given.
 
     Cycles are numbered across the whole table and cut into blocks of time, so an
     advertiser with any number of cycles is spread over tasks.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.numbers import clamp0
 from ..operators.joins import drop_keys, flag_exists, join_on_month
 
@@ -58,7 +59,7 @@ def transfer_keys(log: DataFrame, first_year: int = FIRST_YEAR) -> DataFrame:
 def build_churn_mart(summary: DataFrame, masters: DataFrame, report: DataFrame, advertisers: DataFrame,
                      changes: DataFrame, offers: DataFrame, comments: DataFrame, transfers: DataFrame,
                      first_year: int = FIRST_YEAR) -> DataFrame:
-    """One row per campaign and month.
+    """One row per campaign and month, with the columns of ``schemas.MART``.
 
     The published loop over master campaigns is one set-based query here. Columns outside
     the grouping key take their smallest value, which makes the result repeatable.
@@ -69,19 +70,16 @@ def build_churn_mart(summary: DataFrame, masters: DataFrame, report: DataFrame,
     base = join_on_month(base, changed, ["idadvertiser_master"], "reporting_date")
     base = base.join(offers, "idoffer")
     cost = clamp0(F.col("net_cost") + F.col("net_cost_adjustment"))
-    carried = {
-        "idcampaign_master": "idcampaign_master", "idadvertiser": "idadvertiser",
-        "advertiser_name": "advertiser_name", "advertiser_state": "advertiser_state",
-        "business_category": "business_category", "idoffer": "idoffer", "product": "product",
-        "change_type": "adv_change_type", "campaign_budget": "campaign_budget", "clicks": "clicks",
-        "impressions": "impressions", "calls": "calls",
-    }
+    base = base.withColumnRenamed("change_type", "adv_change_type")
+    keys = ["csr_year", "csr_month", "idcampaign"]
+    made = {*keys, "spend", "stop_request", "businessuser", "system", "advtrans"}
+    carried = [name for name in schemas.MART.fieldNames() if name not in made]
     folded = base.groupBy("csr_year", "csr_month", "idcampaign").agg(
-        F.min(cost).alias("spend"), *[F.min(c).alias(name) for c, name in carried.items()]
+        F.min(cost).alias("spend"), *[F.min(name).alias(name) for name in carried]
     )
     notes = comments.select(
         F.col("cc_year").alias("csr_year"), F.col("cc_month").alias("csr_month"),
         F.col("cid").alias("idcampaign"), "stop_request", "businessuser", "system",
     )
-    keys = ["csr_year", "csr_month", "idcampaign"]
-    return flag_exists(folded.join(notes, keys, "left"), transfers, keys, "advtrans")
+    marked = flag_exists(folded.join(notes, keys, "left"), transfers, keys, "advtrans")
+    return marked.select(*schemas.MART.fieldNames())

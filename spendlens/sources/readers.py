@@ -1,4 +1,4 @@
-"""Readers with fixed schemas."""
+"""Readers with known schemas."""
 
 from __future__ import annotations
 
@@ -14,10 +14,29 @@ FIELD_MARK = "\u0001"  # fixed value: separator of the mart export
 
 
 def read_cycles(spark: SparkSession, path: str, schema: T.StructType = schemas.CYCLES) -> DataFrame:
-    """Cycle table from parquet, or from text with a header line."""
+    """Cycle table from parquet, or from text whose header line says which column is which.
+
+    Columns of ``schema`` come first, in its order and types; those the files lack are null.
+    Further named columns follow as text, columns without a name are dropped. Files of one
+    folder must share a header: another one raises an error instead of shifting values.
+    """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.schema(schema).option("header", True).csv(path)
+    header = spark.read.option("header", True).csv(path).columns  # reads one line
+    known = {f.name.lower(): f for f in schema.fields}
+    found = T.StructType([
+        T.StructField(name, known[name.lower()].dataType if name.lower() in known else T.StringType(), True)
+        for name in header
+    ])
+    rows = spark.read.schema(found).option("header", True).option("enforceSchema", False).csv(path)
+    present = {name.lower() for name in header}
+    columns = [
+        F.col(f"`{f.name}`").alias(f.name) if f.name.lower() in present else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in schema.fields
+    ]
+    # an empty name in the header reads as _c and the position
+    extra = [name for i, name in enumerate(header) if name.lower() not in known and name != f"_c{i}"]
+    return rows.select(*columns, *[F.col(f"`{name}`") for name in extra])
 
 
 def header_names(spark: SparkSession, header_path: str) -> list[str]:

@@ -72,17 +72,28 @@ def test_decomposition(spark, period):
             assert np.allclose([v[2] for v in got[k]], want)
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_autocorrelation(spark, block):
-    got = by_key(spectral.acf(series(spark, *SERIES), "key", nlags=6, block=block), "lag", "r", "se", "significant")
+@pytest.mark.parametrize("nlags,block", [(6, 7), (6, 4096), (20, 7), (7, 7), (8, 7), (None, 7), (None, 4096)])
+def test_autocorrelation(spark, nlags, block):
+    df = series(spark, *SERIES)
+    got = by_key(spectral.acf(df, "key", nlags=nlags, block=block), "lag", "r", "se", "significant")
     for k, x in enumerate(SERIES):
         c = x - x.mean()
-        want = [(c[: len(c) - j] * c[j:]).sum() / (c * c).sum() for j in range(min(7, len(x)))]
+        top = len(x) if nlags is None else min(nlags + 1, len(x))
+        want = [(c[: len(c) - j] * c[j:]).sum() / (c * c).sum() for j in range(top)]
+        assert [v[0] for v in got[k]] == list(range(top))
         assert np.allclose([v[1] for v in got[k]], want)
         se = [0.0] + [np.sqrt((1 + 2 * sum(r * r for r in want[1:j])) / len(x)) for j in range(1, len(want))]
         assert np.allclose([v[2] for v in got[k]], se)
 
 
+def test_a_period_beyond_the_usual_lags_is_found(spark):
+    from spendlens.plans import zero_budget_profile
+    rows = [(1, i, 0.0 if i % 30 == 0 else 50.0) for i in range(300)] + [(None, 0, 0.0), (None, 1, 5.0)]
+    df = spark.createDataFrame(rows, "key int, i int, budget double")
+    got = {r["key"]: r for r in zero_budget_profile(df, "key", "budget", ["i"]).collect()}
+    assert list(got) == [1] and got[1]["n"] == 300 and got[1]["lags"] > 0 and got[1]["flag"] == 1
+
+
 def test_autocorrelation_of_a_constant(spark):
     rows = spectral.acf(series(spark, [3.0] * 6), "key", nlags=3)
     assert all(r["r"] is None and r["significant"] == 0 for r in rows.collect())
