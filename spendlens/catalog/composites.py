@@ -11,6 +11,7 @@ from .. import plans
 from ..plans.anomalies import anomaly_lists
 from ..plans.churn import TYPE_PAIRS, active_rows
 from ..plans.rollup import ROLLUP_KEYS, ROLLUP_SUMS
+from ..session import cut_lineage
 from .joins import CHANGES_SQL, COMMENTS_SQL, EXCLUDED_SQL
 from .reshapes import MONEY_MEAN, ORDERED_SQL, spread_sql
 from . import query
@@ -136,11 +137,16 @@ def c4_suppliers(spark, sf):
 
 @query("C4_anomaly_lists", Q.whole_detector(SUPPLIER_SQL) + """
 select p.key, p.period, array_to_string(list(r.idx order by r.idx), ',') as flags,
-  array_to_string(list(r.type order by r.idx), ',') as types from periods p join runs r on r.key = p.key group by 1, 2""")
+  array_to_string(list(r.type order by r.idx), ',') as types,
+  array_to_string(list(case when isinf(r.ratio) then -1 else cast(round(r.ratio * 1000) as bigint) end order by r.idx), ',') as ratios
+from periods p join runs r on r.key = p.key group by 1, 2""")
 def c4_lists(spark, sf):
     found = anomaly_lists(plans.detect_anomalies(supplier_series(spark, sf), "key"), "key")
     joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
-    return found.select("key", "period", joined("flags"), joined("types"))
+    # ratios as thousandths, infinite ones as -1
+    whole = lambda r: F.when(r == float("inf"), F.lit(-1)).otherwise(F.round(r * 1000)).cast("long")
+    return found.withColumn("ratios", F.transform("ratios", whole)).select(
+        "key", "period", joined("flags"), joined("types"), joined("ratios"))
 
 
 @query("C4_anomalies_adjacent_runs", Q.whole_detector(CUSTOMER_SQL) + """,
@@ -234,7 +240,7 @@ churn_mart as (
 
 
 def _mart(spark, sf):
-    masters = _masters(spark, sf)
+    masters = cut_lineage(_masters(spark, sf))  # used twice: stored once, as a plain list of ids
     return plans.build_churn_mart(
         summary(spark, sf), masters, frames.report(spark, sf), frames.advertisers(spark, sf),
         frames.changes(spark, sf), frames.offers(spark, sf), _comments(spark, sf, masters),

@@ -341,8 +341,9 @@ def t24(spark, sf):
 @query("T25_unit_root")
 def t25(spark, sf):
     diffed = W.difference(supplier_series(spark, sf), "key", "t", "x", d=1, seasonal_d=1, s=12)
-    return G.adf(diffed, "key", "t", "diff", lags=2).select(
-        "key", "n_obs", F.round("statistic", 4).alias("statistic"), F.round("crit_5", 4).alias("crit_5"), "stationary")
+    return G.adf(diffed, "key", "t", "diff").select(
+        "key", "n_obs", "lags", F.round("statistic", 4).alias("statistic"), F.round("p_value", 6).alias("p_value"),
+        F.round("crit_5", 4).alias("crit_5"), "stationary")
 
 
 @query("T26_ks_uniform", SPEC_SQL + f""", {Q.best_bin('spec', 'best')},
@@ -364,7 +365,7 @@ def t26(spark, sf):
 @query("T27_seasonal_forecast")
 def t27(spark, sf):
     return G.seasonal_forecast(supplier_series(spark, sf), "key", s=12, h=12).select(
-        "key", "t", "kind", F.round("value", 2).alias("value"))
+        "key", "t", "kind", F.round("value", 2).alias("value"), "status")
 
 
 @query("T28_spectral_peaks", SPEC_SQL + """

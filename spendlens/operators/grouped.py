@@ -7,6 +7,8 @@ kernels on one series. A series is first reduced to (key, t), so no key is long.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -133,42 +135,76 @@ UNIT_ROOT_POINTS = {
 }
 
 
-def unit_root_statistic(x: np.ndarray, lags: int) -> tuple[float, int]:
-    """t statistic of the level in a regression of the change on level, changes and constant."""
+# fixed values: published response surface of the p-value of that statistic: lower and upper end, the
+# point where the polynomial changes, and its coefficients below and above (constant term first)
+UNIT_ROOT_RANGE = (-18.83, -1.61, 2.74)
+UNIT_ROOT_LOW = (2.1659, 1.4412, 0.038269)
+UNIT_ROOT_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def unit_root_p(stat: float) -> float:
+    """p-value of the unit-root t statistic with a constant."""
+    lowest, turn, highest = UNIT_ROOT_RANGE
+    if not np.isfinite(stat):
+        return float("nan")
+    if stat < lowest or stat > highest:
+        return float(stat > highest)
+    at = sum(c * stat**i for i, c in enumerate(UNIT_ROOT_LOW if stat <= turn else UNIT_ROOT_HIGH))
+    return 0.5 * math.erfc(-at / math.sqrt(2.0))
+
+
+def unit_root_fit(x: np.ndarray, lags: int, skip: int) -> tuple[float, int, float]:
+    """t statistic of the level in a regression of the change on level, ``lags`` earlier changes and
+    a constant, number of observations, and Akaike's criterion; the first ``skip`` changes are left out."""
     dx = np.diff(x)
-    n = len(dx) - lags
+    n = len(dx) - skip
+    missing = float("nan"), max(n, 0), float("inf")
     if n <= lags + 3:
-        return float("nan"), max(n, 0)
-    cols = [x[lags:-1], *[dx[lags - k: len(dx) - k] for k in range(1, lags + 1)], np.ones(n)]
-    design, target = np.column_stack(cols), dx[lags:]
+        return missing
+    cols = [x[skip:-1], *[dx[skip - k: len(dx) - k] for k in range(1, lags + 1)], np.ones(n)]
+    design, target = np.column_stack(cols), dx[skip:]
     coef, _, rank, _ = np.linalg.lstsq(design, target, rcond=None)
     if rank < design.shape[1]:
-        return float("nan"), n
+        return missing
     resid = target - design @ coef
-    var = resid @ resid / (n - design.shape[1])
-    cov = var * np.linalg.inv(design.T @ design)
-    return float(coef[0] / np.sqrt(cov[0, 0])) if cov[0, 0] > 0 else float("nan"), n
+    square = float(resid @ resid)
+    cov = square / (n - design.shape[1]) * np.linalg.inv(design.T @ design)
+    if square <= 0 or cov[0, 0] <= 0:
+        return missing
+    return float(coef[0] / np.sqrt(cov[0, 0])), n, n * math.log(square / n) + 2 * design.shape[1]
+
 
+def unit_root_lags(x: np.ndarray) -> int:
+    """Number of lags with the least criterion among 0 .. n/2 - 3, the most that leave enough
+    observations, all compared on the same rows."""
+    top = max(0, len(x) // 2 - 3)
+    return min(range(top + 1), key=lambda lags: (unit_root_fit(x, lags, top)[2], lags))
 
-def adf(df: DataFrame, key: str, t: str = "t", x: str = "x", lags: int = 1) -> DataFrame:
-    """Augmented unit-root test with a fixed number of lags: statistic, published critical
-    values, and whether a unit root is rejected at 5 percent."""
+
+def adf(df: DataFrame, key: str, t: str = "t", x: str = "x", lags: int | None = None) -> DataFrame:
+    """Augmented unit-root test with a constant: number of lags, statistic, p-value, published
+    critical values, and whether a unit root is rejected at 5 percent.
+
+    Without ``lags`` each series takes the number with the least criterion.
+    """
     key_type = df.schema[key].dataType.simpleString()
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        stat, n = unit_root_statistic(pdf.sort_values("t")["x"].to_numpy(), lags)
+        values = pdf.sort_values("t")["x"].to_numpy()
+        used = unit_root_lags(values) if lags is None else lags
+        stat, n, _ = unit_root_fit(values, used, used)
         size = max(n, 1)
         crit = {name: sum(c / size**i for i, c in enumerate(cs)) for name, cs in UNIT_ROOT_POINTS.items()}
         return pd.DataFrame([{
-            key: pdf[key].iloc[0], "n_obs": n, "statistic": stat, **crit,
+            key: pdf[key].iloc[0], "n_obs": n, "lags": used, "statistic": stat, "p_value": unit_root_p(stat), **crit,
             "stationary": int(np.isfinite(stat) and stat < crit["crit_5"]),
         }])
 
     rows = df.select(key, F.col(t).cast("long").alias("t"), F.col(x).cast("double").alias("x"))
     return rows.groupBy(key).applyInPandas(
         test,
-        f"`{key}` {key_type}, n_obs long, statistic double, crit_1 double, crit_5 double, crit_10 double, "
-        "stationary int",
+        f"`{key}` {key_type}, n_obs long, lags int, statistic double, p_value double, crit_1 double, crit_5 double, "
+        "crit_10 double, stationary int",
     )
 
 
@@ -179,7 +215,8 @@ def ar_lags(p: int, seasonal_p: int, s: int) -> list[int]:
 
 def forecast_series(x: np.ndarray, p: int, d: int, seasonal_p: int, seasonal_d: int, s: int,
                     h: int) -> tuple[np.ndarray, np.ndarray]:
-    """In-sample one-step predictions (NaN where history is missing) and ``h`` forecasts."""
+    """In-sample one-step predictions (NaN where history is missing) and ``h`` forecasts, which
+    are NaN if the history is too short for a fit."""
     steps = [1] * d + [s] * seasonal_d
     poly = np.array([1.0])
     for lag in steps:
@@ -192,7 +229,7 @@ def forecast_series(x: np.ndarray, p: int, d: int, seasonal_p: int, seasonal_d:
     deep = max(lags, default=0)
     fitted = np.full(n, np.nan)
     if n - lost - deep <= len(lags) + 1:
-        return fitted, np.full(h, x[-1] if n else np.nan)
+        return fitted, np.full(h, np.nan)
     z = np.convolve(x, poly)[lost:n]
     design = np.column_stack([z[deep - k: len(z) - k] for k in lags] + [np.ones(len(z) - deep)])
     coef = np.linalg.lstsq(design, z[deep:], rcond=None)[0]
@@ -209,8 +246,9 @@ def seasonal_forecast(df: DataFrame, key: str, t: str = "t", x: str = "x", p: in
                       seasonal_p: int = 1, seasonal_d: int = 1, s: int = 12, h: int = 12) -> DataFrame:
     """Seasonal autoregression on the differenced series by conditional least squares.
 
-    Rows (key, t, kind, value): ``fitted`` in the sample, then ``h`` ``forecast`` rows, and
-    ``joined``, the forecast shifted so that it continues the last prediction.
+    Rows (key, t, kind, value, status): ``fitted`` in the sample, then ``h`` ``forecast`` rows, and
+    ``joined``, the forecast shifted so that it continues the last prediction. A series too
+    short for a fit has status ``short`` and null forecasts, any other ``ok``.
     """
     key_type = df.schema[key].dataType.simpleString()
 
@@ -227,7 +265,10 @@ def seasonal_forecast(df: DataFrame, key: str, t: str = "t", x: str = "x", p: in
             "t": np.concatenate([pdf["t"].to_numpy()[inside], future, future]),
             "kind": ["fitted"] * int(inside.sum()) + ["forecast"] * h + ["joined"] * h,
             "value": np.concatenate([fitted[inside], ahead, joined]),
+            "status": "ok" if inside.any() else "short",
         })
 
     rows = df.select(key, F.col(t).cast("long").alias("t"), F.col(x).cast("double").alias("x"))
-    return rows.groupBy(key).applyInPandas(run, f"`{key}` {key_type}, t long, kind string, value double")
+    return rows.groupBy(key).applyInPandas(
+        run, f"`{key}` {key_type}, t long, kind string, value double, status string"
+    )

@@ -50,7 +50,7 @@ def detect_anomalies(df: DataFrame, key: str, t: str = "t", x: str = "x", w: int
     ``decomposition`` is the current detector. ``adjacent`` is its predecessor, which joins
     neighbouring flags of one type whatever their distance. ``lowess`` and
     ``lowess_signal`` are the first generation: long pauses between peaks (also at the end)
-    and a local regression of the trend.
+    and a local regression of the trend; ``lowess_signal`` keeps the first of consecutive points.
     """
     series = trimmed_with_period(df, key, t, x, w)
     if method.startswith("lowess"):
@@ -69,10 +69,11 @@ def _lowess_flags(series: DataFrame, key: str, threshold: float, against: str) -
     marked = mark_pauses(series, key, "period", "idx", "x", k=k, tail=True)
     off = lowess_deviation(marked, key, "period", "idx", "x", threshold=threshold, against=against,
                            keep=("period", "is_late"))
-    return off.where((F.col("flag") == 1) | F.col("is_late")).select(
+    flags = off.where((F.col("flag") == 1) | F.col("is_late")).select(
         key, "period", F.col("t").cast("int").alias("idx"), F.lit("deviation").alias("type"),
         F.lit(0.0).alias("ratio"),
     )
+    return collapse_in_place(flags, key, "idx") if against == "signal" else flags
 
 
 def anomaly_lists(anomalies: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_sum, unless
-from ..operators.aggregates import ambiguous_keys, cooccurrence, ever_counts, keys_per_dim
 from ..operators.joins import keep_keys
 from ..operators.positions import keyed_positions
 from ..operators.spectral import acf, acf_flag
@@ -36,26 +35,28 @@ def churn_profile(df: DataFrame, key: str = "idadvertiser", change: str = "adv_c
     """Long table (section, item, keys) about the advertisers that left: how many ever had
     each change type, pairs of types (both, either), their spread over the dimensions, and
     how many keys have more than one value of a dimension."""
-    # all sections count keys, so the rows shrink to their distinct values first; the
-    # branches below share that one shuffle
-    facts = active_rows(df).select(
-        key, change, *[F.coalesce(F.col(d), F.lit("Other")).alias(d) for d in dims]
-    ).distinct()
-    gone = churned_rows(facts, key, change)
-    out = ever_counts(gone, key, change, list(CHANGE_TYPES)).select(
-        F.lit("ever").alias("section"), F.col(change).alias("item"), F.col("keys").cast("long").alias("keys")
+    # all sections count keys, so one aggregate per key answers them; its sets hold at most the
+    # values of a dimension
+    per_key = active_rows(df).where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.max(F.lower(change) == "churn").alias("_gone"), F.collect_set(change).alias("_types"),
+        *[F.collect_set(F.coalesce(F.col(d), F.lit("Other"))).alias(d) for d in dims],
+    ).where("_gone")
+    had = lambda v: F.array_contains("_types", v)
+    tests = [("ever", v, had(v)) for v in CHANGE_TYPES]
+    tests += [("both", f"{a} + {b}", had(a) & had(b)) for a, b in pairs]
+    tests += [("either", f"{a} + {b}", had(a) | had(b)) for a, b in pairs]
+    tests += [("ambiguous", d, F.size(d) > 1) for d in dims]
+    line = lambda section, item, n: F.struct(
+        F.lit(section).alias("section"), item.alias("item"), n.cast("long").alias("n")
     )
-    pair = F.concat_ws(" + ", "first", "second")
-    met = cooccurrence(gone, key, change, list(pairs)).withColumn("item", pair)
-    out = out.unionByName(met.unpivot("item", ["both", "either"], "section", "keys"))
-    for dim in dims:
-        out = out.unionByName(keys_per_dim(gone, key, dim).select(
-            F.lit(dim).alias("section"), F.col(dim).alias("item"), "keys"
-        ))
-        out = out.unionByName(ambiguous_keys(gone, key, dim).agg(F.count("*").alias("keys")).select(
-            F.lit("ambiguous").alias("section"), F.lit(dim).alias("item"), "keys"
-        ))
-    return out
+    flags = F.array(*[line(section, F.lit(item), test) for section, item, test in tests])
+    spread_of = lambda d: F.transform(d, lambda v: line(d, v, F.lit(1)))
+    found = per_key.select(F.inline(F.concat(flags, *[spread_of(d) for d in dims])))
+    # the fixed items are listed even if there is no key at all
+    zeros = df.sparkSession.range(1).select(
+        F.inline(F.array(*[line(section, F.lit(item), F.lit(0)) for section, item, _ in tests]))
+    )
+    return found.unionByName(zeros).groupBy("section", "item").agg(F.sum("n").alias("keys"))
 
 
 def zero_budget_profile(df: DataFrame, key: str, budget: str, order: list[str],

@@ -220,3 +220,35 @@ def test_zero_budget_profile(spark):
     got = {r["key"]: r for r in zero_budget_profile(df, "key", "budget", ["cycle"]).collect()}
     assert set(got) == {2}
     assert got[2]["n"] == 60 and got[2]["flag"] == 1
+
+
+def test_short_series_get_no_forecast(spark):
+    out = grouped.seasonal_forecast(series(spark, np.arange(10.0)), "key", s=12, h=3).collect()
+    assert len(out) == 6 and all(r["value"] is None and r["status"] == "short" for r in out)
+
+
+def test_unit_root_p_value_and_lags(spark):
+    # published 5 percent point of the limit law, and continuity where the polynomial changes
+    assert grouped.unit_root_p(-2.86154) == pytest.approx(0.05, abs=5e-4)
+    assert grouped.unit_root_p(-1.61) == pytest.approx(grouped.unit_root_p(-1.609999), abs=2e-3)
+    assert grouped.unit_root_p(-30.0) == 0.0 and grouped.unit_root_p(5.0) == 1.0
+    rng = np.random.default_rng(4)
+    noise = rng.normal(size=120)
+    echo = np.zeros(120)
+    for i in range(120):
+        echo[i] = noise[i] + (0.8 * echo[i - 5] if i >= 5 else 0.0)
+    df = series(spark, noise, echo, noise[:4])
+    rows = {r["key"]: r for r in grouped.adf(df, "key").collect()}
+    # the least criterion, by hand on one common set of rows
+    for k, x in enumerate((noise, echo)):
+        dx, top = np.diff(x), len(x) // 2 - 3
+        score = []
+        for lags in range(top + 1):
+            cols = [x[top:-1]] + [dx[top - j:len(dx) - j] for j in range(1, lags + 1)] + [np.ones(len(dx) - top)]
+            rss = np.linalg.lstsq(np.column_stack(cols), dx[top:], rcond=None)[1][0]
+            score.append((len(dx) - top) * np.log(rss / (len(dx) - top)) + 2 * (lags + 2))
+        assert rows[k]["lags"] == int(np.argmin(score))
+    assert rows[1]["lags"] >= 4
+    assert rows[2]["statistic"] is None and rows[2]["p_value"] is None
+    fixed = {r["key"]: r for r in grouped.adf(df, "key", lags=1).collect()}
+    assert fixed[0]["lags"] == 1 and fixed[0]["stationary"] == 1 and fixed[0]["p_value"] < 0.01
