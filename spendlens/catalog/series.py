@@ -223,17 +223,22 @@ def t13(spark, sf):
     return N.extrema(supplier_series(spark, sf), "key").select("key", "t", "x", F.col("ordinal").cast("long"))
 
 
+def thousandths(value: str) -> str:
+    return f"cast(round(cast({value} as decimal(38,9)), 3) as double)"
+
+
 @query("T14_decomposition", SEG + WITH_PERIOD + f""", {Q.trend('withp', 'tr')},
 ph as (select m.*, p.p, m.t % p.p as phase from tr_m m join (select key, any_value(p) as p from tr_p group by 1) p on p.key = m.key),
 av as (select key, phase, avg(x - raw) as m from ph group by 1, 2),
 ce as (select key, phase, m - avg(m) over (partition by key) as seasonal from av)
-select ph.key, ph.t, coalesce(round(raw + 0.00001, 3), -1) as trend, round(seasonal + 0.00001, 3) as seasonal,
-  coalesce(round(x - raw - seasonal + 0.00001, 3), -1) as resid from ph join ce on ce.key = ph.key and ce.phase = ph.phase""")
+select ph.key, ph.t, coalesce({thousandths('raw')}, -1) as trend, {thousandths('seasonal')} as seasonal,
+  coalesce({thousandths('x - raw - seasonal')}, -1) as resid from ph join ce on ce.key = ph.key and ce.phase = ph.phase""")
 def t14(spark, sf):
-    # the offset keeps exact halves, which are frequent here, away from the rounding edge
     out = N.decompose(with_period(segment_series(spark, sf)), "key")
-    missing = lambda c: F.coalesce(F.round(F.col(c) + 0.00001, 3), F.lit(-1.0)).alias(c)
-    return out.select("key", "t", missing("trend"), F.round(F.col("seasonal") + 0.00001, 3).alias("seasonal"), missing("resid"))
+    # exact halves are frequent here: as decimals they are rounded without the noise of the last binary place
+    exact = lambda c: F.round(F.col(c).cast("decimal(38,9)"), 3).cast("double")
+    missing = lambda c: F.coalesce(exact(c), F.lit(-1.0)).alias(c)
+    return out.select("key", "t", missing("trend"), exact("seasonal").alias("seasonal"), missing("resid"))
 
 
 @query("T15_trend_deviation", SUP + WITH_PERIOD + f", {Q.trend('withp', 'tr')} select key, t, type, round(ratio, 4) as ratio from ({Q.deviations('tr', 1.5)})")

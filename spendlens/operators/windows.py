@@ -33,7 +33,8 @@ def cycle_steps(df: DataFrame, key: str, start: str, end: str, id_: str) -> Data
 
     In the order (start, end, id) only the first copy of a pair of dates can follow another
     pair; the others follow a copy of themselves. So one row per pair carries the whole
-    answer, and its number per key is bounded by the calendar.
+    answer. A key has at most one row per pair of calendar dates, so their number is bounded
+    by the square of the calendar, whatever the number of cycles.
     """
     steps = (
         df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
