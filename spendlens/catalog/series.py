@@ -224,7 +224,7 @@ def t13(spark, sf):
 
 
 def thousandths(value: str) -> str:
-    return f"cast(round(cast({value} as decimal(38,9)), 3) as double)"
+    return f"cast(round(cast({value} as decimal(38,6)), 3) as double)"
 
 
 @query("T14_decomposition", SEG + WITH_PERIOD + f""", {Q.trend('withp', 'tr')},
@@ -235,8 +235,8 @@ select ph.key, ph.t, coalesce({thousandths('raw')}, -1) as trend, {thousandths('
   coalesce({thousandths('x - raw - seasonal')}, -1) as resid from ph join ce on ce.key = ph.key and ce.phase = ph.phase""")
 def t14(spark, sf):
     out = N.decompose(with_period(segment_series(spark, sf)), "key")
-    # exact halves are frequent here: as decimals they are rounded without the noise of the last binary place
-    exact = lambda c: F.round(F.col(c).cast("decimal(38,9)"), 3).cast("double")
+    # exact halves are frequent here: six places are free of the noise that decides how a half is rounded
+    exact = lambda c: F.round(F.col(c).cast("decimal(38,6)"), 3).cast("double")
     missing = lambda c: F.coalesce(exact(c), F.lit(-1.0)).alias(c)
     return out.select("key", "t", missing("trend"), exact("seasonal").alias("seasonal"), missing("resid"))
 
