@@ -14,10 +14,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_KNOWN = 10_000
-COPYRIGHT_LINE = r"^[ \t#*/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: What follows "copyright" in licence sentences; anything else behind it is a holder.
+NOT_HOLDERS = (
+    "a", "act", "acts", "an", "and", "any", "applicable", "are", "as", "assignment", "at", "attribution", "be", "been", "but",
+    "claim", "claims", "conditions", "date", "dates", "disclaimer", "disclaimers", "doctrine", "doctrines", "exceptions", "file",
+    "for", "from", "grant", "granted", "has", "have", "header", "headers", "held", "holder", "holders", "if", "in", "info",
+    "information", "infringement", "interest", "interests", "is", "it", "its", "law", "laws", "legend", "legends", "licence",
+    "licences", "licensable", "license", "licensed", "licenses", "licensing", "line", "lines", "management", "mark", "marks", "may",
+    "message", "must", "nor", "not", "notation", "notice", "noticed", "notices", "of", "on", "or", "other", "owned", "owner",
+    "owners", "ownership", "page", "patent", "patents", "permission", "permissions", "permitted", "protected", "protection",
+    "protections", "provisions", "registration", "relicensing", "resulting", "right", "rights", "shall", "similar", "statement",
+    "statements", "status", "such", "term", "terms", "than", "that", "the above", "the code", "the documentation", "the following",
+    "the library", "the licensed", "the material", "the materials", "the program", "the software", "the source", "the work",
+    "their", "then", "these", "this", "those", "to", "trademark", "trademarks", "treaties", "treaty", "under", "unless", "was",
+    "were", "when", "where", "which", "will", "with", "within", "without", "work", "works", "you", "your",
+)
+
+
+def _no_phrase(phrases: list[str], first: bool = True) -> str:
+    """Pattern of the rest of a line that begins with none of the phrases as whole words.
+
+    Spelled out character by character: the SQL engine's patterns have no negative lookahead."""
+    branches: dict[str, list[str]] = {}
+    for phrase in phrases:
+        if phrase:
+            branches.setdefault(phrase[0], []).append(phrase[1:])
+    next_ones = "".join(sorted(branches))
+    ways = [c + _no_phrase(rest, False) for c, rest in sorted(branches.items())]
+    if first or "" in phrases:  # a word begins, or goes on behind a phrase
+        ways.append(rf"[^\x00-\x2F\x3A-\x60\x7B-\x7F{next_ones}][^\n]*")
+    else:
+        ways.append(rf"[^\n{next_ones}][^\n]*|$")
+    return f"(?:{'|'.join(ways)})"
+
+
+_YEAR = r"[\[<{(]*(?:[12][0-9]{3}|year|yyyy|xxxx)"
+_SIGN = r"(?:\(c\)|©|&copy;)"
+_NAMED = r"(?:copyright|\(?copr\.?\)?)"
+#: A line that is a notice: the word or sign, then a year, a sign or a holder; or nothing but the reservation of rights.
+#: A line of a licence sentence that merely begins with the word is none.
+COPYRIGHT_LINE = (
+    rf"^[ \t#*/;-]*(?:{_NAMED}[ \t:,]*(?:{_SIGN}|{_YEAR})[^\n]*|\(c\)[ \t:,]*(?:{_NAMED}[ \t]|©|&copy;|{_YEAR})[^\n]*|(?:©|&copy;)[^\n]*"
+    rf"|{_NAMED}[ \t]*[ \t:][ \t]*{_no_phrase(sorted(NOT_HOLDERS))}|all rights reserved[ \t\r.,;!#*/-]*$)"
+)
+
 #: Spellings that mean the same in a licence.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "licencee": "licensee", "licencor": "licensor",

@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import random
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -266,6 +268,29 @@ def test_licenses(spark):
     assert license_digests.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_wrapped_licenses_keep_their_lines(spark):
+    """Wherever a wrap puts 'copyright' first on a line, the line stays; notices go."""
+    head = "Copyright (c) 2020, Some One\nCopyright Joyent, Inc. and others\n(c) 2021 Other\n© Third\nCopr. 1999 Fourth\nAll rights reserved.\n\n"
+    rows, want = [], []
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC"):
+        words = license_digests.KNOWN[name].split()
+        wraps = [textwrap.fill(" ".join(words), w) for w in range(40, 90)]
+        # every 'copyright' first on a line of its own
+        wraps.append(re.sub(r"(?i) (?=copyright)", "\n", " ".join(words)))
+        for text in wraps:
+            rows.append((len(rows), head + text))
+            want.append(name)
+    assert sum(bool(re.search("(?mi)^copyright (notice|holders)", t)) for _, t in rows) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_digests.scan_licenses(docs).collect()}
+    assert [got[i]["license"] for i, _ in rows] == want
+    import duckdb
+
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    sql = duckdb.sql(entry.oracle_sql()["op6_license_scans"]).fetchall()
+    assert sorted(sql) == sorted(tuple(got[i]) for i, _ in rows)
+
+
 # --- op7
 
 
