@@ -7,12 +7,15 @@ lines are looked up in the same way, for files that only carry a notice. DataFra
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import full_texts
+
 MAX_KNOWN = 10_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -148,19 +151,28 @@ def canonical_text(text: str | None) -> str:
     return out.replace("  ", " ").strip(" ")
 
 
-def known_digests(known: dict[str, str] | None = None) -> list[tuple[str, str]]:
-    """(digest, licence), the first by name where texts have the same canonical form."""
-    known = KNOWN if known is None else known
-    if len(known) > MAX_KNOWN:
+def _digests(texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    if len(texts) > MAX_KNOWN:
         raise ValueError(f"more than {MAX_KNOWN} known licences")
     out: dict[str, str] = {}
-    for name in sorted(known):
-        form = canonical_text(known[name])
+    for name, text in sorted(texts):
+        form = canonical_text(text)
         if form:
             out.setdefault(hashlib.sha256(form.encode()).hexdigest(), name)
     return sorted(out.items())
 
 
+@functools.cache
+def _common_digests() -> tuple[tuple[str, str], ...]:
+    return tuple(_digests([*KNOWN.items(), *full_texts(KNOWN)]))
+
+
+def known_digests(known: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(digest, licence), the first by name where texts have the same canonical form. Without ``known``, the texts of
+    ``KNOWN`` and their usual variants, and the longer licences of ``license_texts``."""
+    return list(_common_digests()) if known is None else _digests(list(known.items()))
+
+
 def scan_licenses(docs: DataFrame, known: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, ``canonical_sha256`` of the whole text, ``license`` it is a copy of (null: none), and
     ``n_notice_lines``, the number of its lines that are a known text by themselves.
@@ -177,7 +189,8 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] | None = None, key: str
     # a line of a single-line text is the text itself: its digest is not made again
     lines = F.when(F.instr("_text", "\n") > 0, F.transform(F.split("_text", "\n", -1), lambda x: F.sha2(canonical(x), 256))) \
         .otherwise(F.array("canonical_sha256"))
-    digests = F.array(*(F.lit(d) for d, _ in known_digests(known)))
-    counted = rows.withColumn("n_notice_lines", F.size(F.filter(lines, lambda d: F.array_contains(digests, d))).cast("long"))
+    digests = ", ".join(f"'{d}'" for d, _ in known_digests(known))  # hexadecimal constants, which the engine looks up by hash
+    found = F.size(F.expr(f"filter(_lines, d -> d in ({digests}))")).cast("long") if digests else F.lit(0).cast("long")
+    counted = rows.withColumn("_lines", lines).withColumn("n_notice_lines", found)
     return counted.join(F.broadcast(table), F.col("canonical_sha256") == F.col("_digest"), "left") \
         .select(key, "canonical_sha256", "license", "n_notice_lines")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
 import textwrap
@@ -291,6 +292,25 @@ def test_wrapped_licenses_keep_their_lines(spark):
     assert sorted(sql) == sorted(tuple(got[i]) for i, _ in rows)
 
 
+def test_full_licenses_and_their_variants(spark):
+    bsd, mit, isc = (license_digests.KNOWN[k] for k in ("BSD-3-Clause", "MIT", "ISC"))
+    starred = re.sub(r"\b[123]\. ", "* ", bsd)
+    folder = pathlib.Path(license_digests.__file__).parent / "licenses"
+    long = {p.stem: p.read_text() for p in sorted(folder.glob("*.txt")) if not p.stem.endswith(".b")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"} <= set(long)
+    cases = [("MIT", mit.split("\n\n", 1)[1]), ("MIT", mit.replace("MIT License", "The MIT License (MIT)\n\nCopyright (c) 2020 A")),
+             ("ISC", isc.split("\n\n", 1)[1]), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, A\n\n" + bsd),
+             ("BSD-3-Clause", "BSD 3-Clause License\n\n" + starred), ("BSD-3-Clause", starred.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")),
+             ("GPL-2.0", long["GPL-2.0"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301", "59 Temple Place, Suite 330, Boston, MA 02111-1307")),
+             ("GPL-3.0", long["GPL-3.0"].split("END OF TERMS")[0]), ("Apache-2.0", long["Apache-2.0"].split("APPENDIX:")[0]),
+             *long.items(), *((n, re.sub(r"(?m)^", " * ", t)) for n, t in long.items()), (None, long["GPL-3.0"] + "more"), (None, mit[:-40])]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = dict(license_digests.scan_licenses(docs).select("doc_id", "license").collect())
+    assert [got[i] for i in range(len(cases))] == [n for n, _ in cases]
+    assert len(license_digests.known_digests()) <= license_digests.MAX_KNOWN
+    assert license_digests.scan_licenses(docs, {}).filter("license is not null or n_notice_lines > 0").count() == 0
+
+
 # --- op7
 
 
