@@ -4,7 +4,8 @@ A text's words are cut into overlapping windows. Each word enters as a word inpu
 stands in toxic than in other labelled documents) and a character input (the mean of learned vectors of
 its character trigrams). Two gated recurrent passes, one in each direction, read a window; attention pools their
 states into one score. A document's score is that of its most toxic window. The network is trained in numpy on a
-bounded sample of labelled rows, each step on the window that decides a document, and applied to whole texts.
+bounded sample of labelled rows, each step on the window that decides a document, and applied to whole texts. The score
+from which a text is toxic is set on all labelled rows outside the held-out fold, whole.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ HIDDEN = 6
 CHARS, CHAR_DIM = 4096, 4  # hashed trigrams, size of their vectors
 WORD_DIM = 2
 SCORE_BYTES = 1 << 18
+BINS, BIN_SPAN = 64, 32  # bins per unit of logit, and the largest logit told apart
+PIECES = 10  # passages that stand for a long text in training
 
 
 def trigram_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -215,12 +218,17 @@ def _adam(p, g, state, rate):
 def train(texts: list[str], toxic: np.ndarray, epochs: int = 6, batch: int = 256, folds: int = 4, seed: int = 7) -> ToxicModel:
     """Fit to whole labelled texts. Word weights used in training come from the other folds' documents, so that the
     network learns to rely on words as far as they hold for unseen documents."""
+    return _train(texts, toxic, epochs, batch, folds, seed)[0]
+
+
+def _train(texts, toxic, epochs=6, batch=256, folds=4, seed=7) -> tuple[ToxicModel, np.ndarray, np.ndarray]:
+    """The model, and the deciding logits of the texts with words, as of unseen documents, and their numbers."""
     rng = np.random.default_rng(seed)
     toxic = np.asarray(toxic, np.float32)
     network = Network(seed)
     if not len(texts) or toxic.min() == toxic.max():  # nothing to learn from: never toxic
         network.shift = 1e3
-        return ToxicModel(np.zeros(0, np.uint64), np.zeros(0, np.float32), network)
+        return ToxicModel(np.zeros(0, np.uint64), np.zeros(0, np.float32), network), np.zeros(0), np.zeros(0, np.int64)
     words = Inputs(slices(pa.array(texts), LOWER))
     doc = doc_of(words.first)
     order = np.lexsort((doc, words.hashes))
@@ -270,7 +278,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 6, batch: int = 256
         worth = np.concatenate([network.forward(x, start[i : i + 8192], end[i : i + 8192]) for i in range(0, len(start), 8192)])
     decided = np.maximum.reduceat(worth, heads)
     network.shift = _best_cut(decided, toxic[present])
-    return ToxicModel(*word_weights(pairs, toxic), network)
+    return ToxicModel(*word_weights(pairs, toxic), network), decided, present
 
 
 def _flat(part) -> tuple[np.ndarray, np.ndarray]:
@@ -303,31 +311,98 @@ def _best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(here - 1.0 if at + 1 == len(order) else (here + logits[order][at + 1]) / 2)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-                    max_rows: int = 2500, max_chars: int = 10_000, held_out_of: int = 5) -> tuple[list[str], np.ndarray]:
-    """At most ``max_rows`` labelled whole texts of at most ``max_chars`` code points, by a hash of the key.
-
-    Rows whose crc32(key as text) modulo ``held_out_of`` is 0 are never used. Of rows that share a key, one label
-    (the larger) and one text (the smallest) count; null keys, labels and texts are not used."""
+def _known_labels(labels: DataFrame, key: str, label: str, held_out_of: int) -> DataFrame:
     name = F.col(key).cast("string")
-    ids = (
+    return (
         labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (F.crc32(name.cast("binary")) % held_out_of != 0))
         .groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
-        .orderBy(F.xxhash64("_key"), "_key").limit(max_rows)
     )
-    rows = (
-        docs.select(F.col(key).alias("_of"), F.col(text).alias("_text"))
-        .join(F.broadcast(ids), F.col("_of") == F.col("_key"))  # at most max_rows rows
-        .filter(F.length("_text") <= max_chars)
-        .groupBy("_key", "_label").agg(F.min("_text").alias("_text")).collect()
+
+
+def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int, max_chars: int,
+            held_out_of: int) -> list:
+    """Rows (_key, _label, _text, _whole) of the training sample, by key."""
+    spark, room = docs.sparkSession, max_rows * max_chars
+    rows = docs.select(F.col(key).alias("_of"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    sizes = rows.select("_of", F.length("_text").alias("_n")).join(_known_labels(labels, key, label, held_out_of), F.col("_of") == F.col("_key")) \
+        .groupBy("_key", "_label").agg(F.max("_n").alias("_n")).orderBy(F.xxhash64("_key"), "_key").limit(max_rows)
+    chosen = []
+    for k, y, n in sizes.collect():
+        size = n if y > 0 else min(n, max_chars)
+        if size <= room:
+            chosen.append((k, y))
+            room -= size
+    if not chosen:
+        return []
+    ids = spark.createDataFrame(chosen, sizes.drop("_n").schema)
+    size, n = max(1, max_chars // PIECES), F.length("_text")
+    pieces = [F.substring("_text", (F.lit(1) + F.floor((n - size) * i / (PIECES - 1))).cast("int"), F.lit(size)) for i in range(PIECES)]
+    whole = (F.col("_label") > 0) | (n <= max_chars)
+    found = (
+        rows.join(F.broadcast(ids), F.col("_of") == F.col("_key"))  # at most max_rows rows
+        .select("_key", "_label", F.when(whole, F.col("_text")).otherwise(F.concat_ws(" ", *pieces)).alias("_text"), whole.alias("_whole"))
+        .groupBy("_key", "_label").agg(F.min(F.struct("_text", "_whole")).alias("_one")).select("_key", "_label", "_one.*").collect()
     )
-    rows = sorted(rows, key=lambda r: r["_key"])
+    return sorted(found, key=lambda r: r["_key"])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+                    max_rows: int = 2500, max_chars: int = 10_000, held_out_of: int = 5) -> tuple[list[str], np.ndarray]:
+    """At most ``max_rows`` labelled texts, by a hash of the key, of ``max_rows * max_chars`` code points together.
+
+    A longer text than ``max_chars`` that is not toxic is represented by ``PIECES`` passages spread over it, for which the
+    label holds as well; a toxic one is taken whole, unless the total is used up. Rows whose crc32(key as text) modulo
+    ``held_out_of`` is 0 are never used. Of rows that share a key, one label (the larger) and one text (the smallest)
+    count; null keys, labels and texts are not used."""
+    rows = _sample(docs, labels, key, text, label, max_rows, max_chars, held_out_of)
     return [r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.float32)
 
 
+def score_bins(docs: DataFrame, labels: DataFrame, model: ToxicModel, trained: list, key: str = "doc_id", text: str = "text",
+               label: str = "toxic", held_out_of: int = 5) -> dict[tuple[int, int], int]:
+    """{(bin of the logit above the model's threshold, label 0/1): rows} of all labelled rows with words, whole, without the
+    held-out fold and the keys in ``trained``. Only scores are shuffled; one count per bin and label comes to the driver."""
+    rows = docs.select(F.col(key).alias("_of"), F.col(text).alias("_text"))
+    known = _known_labels(labels, key, label, held_out_of)
+    if trained:
+        known = known.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in trained], known.select("_key").schema)), "_key", "left_anti")
+    score = F.col("_score")
+    logit = F.when(score >= 1, F.lit(float(BIN_SPAN))).otherwise(F.ln(score) - F.ln(1 - score))
+    bin_ = F.least(F.greatest(F.floor(logit * BINS), F.lit(-BIN_SPAN * BINS)), F.lit(BIN_SPAN * BINS - 1)).cast("int")
+    found = score_toxicity(rows, model, "_text", keep=["_of"]).filter(score > 0).join(known, F.col("_of") == F.col("_key")) \
+        .groupBy(bin_.alias("bin"), (F.col("_label") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()
+    return {(r["bin"], r["toxic"]): r["n"] for r in found}
+
+
+def _best_bin(counts: dict[tuple[int, int], int]) -> float:
+    """Threshold of the best F1 over binned logits, in the middle of the empty bins below it."""
+    at = np.array(sorted({b for b, _ in counts}, reverse=True))
+    right, wrong = (np.cumsum([counts.get((int(b), y), 0) for b in at]) for y in (1, 0))
+    best = int(np.argmax(2 * right / (right + wrong + right[-1])))
+    below = at[best + 1] + 1 if best + 1 < len(at) else at[best]
+    return float(at[best] + below) / 2 / BINS
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-                 **settings) -> ToxicModel:
-    return train(*labelled_sample(docs, labels, key, text, label, **settings))
+                 max_rows: int = 2500, max_chars: int = 10_000, held_out_of: int = 5) -> ToxicModel:
+    """Network from ``labelled_sample``, threshold from all labelled rows outside the held-out fold.
+
+    Rows that trained as a whole count with the score they had as unseen documents, all others with the model's own."""
+    sample = _sample(docs, labels, key, text, label, max_rows, max_chars, held_out_of)
+    toxic = np.array([r["_label"] for r in sample], np.float32)
+    model, decided, present = _train([r["_text"] for r in sample], toxic)
+    if not len(decided):
+        return model
+    counts = score_bins(docs, labels, model, [r["_key"] for r in sample if r["_whole"]], key, text, label, held_out_of)
+    if counts:
+        above = np.clip(np.floor((decided - model.network.shift) * BINS), -BIN_SPAN * BINS, BIN_SPAN * BINS - 1).astype(int)
+        for b, i in zip(above.tolist(), present.tolist()):
+            if sample[i]["_whole"]:
+                pair = (b, int(toxic[i] > 0))
+                counts[pair] = counts.get(pair, 0) + 1
+        if any(y for _, y in counts):
+            model.network.shift += _best_bin(counts)
+    return model
 
 
 def _scorer(shared, text, carry, clean_only):

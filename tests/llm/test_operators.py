@@ -404,6 +404,25 @@ def test_toxicity_on_odd_rows(spark, odd):
     assert toxic_gru.score_toxicity(empty(spark), model).count() == 0
 
 
+def test_threshold_counts_all_labelled_rows(spark):
+    """Long clean texts and rows beyond the training sample count for the threshold; rows without a text take no place."""
+    rng = random.Random(3)
+    texts = [fx.prose(rng, 40) + (" awful vile words" if i % 4 == 0 else "") for i in range(400)]
+    texts += [fx.prose(rng, 3000) for _ in range(20)]
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(i < 400 and i % 4 == 0)) for i in range(-600, 420)], "doc_id long, toxic int")
+    docs = fx.documents(spark, rows)
+    free = [i for i in range(420) if zlib.crc32(str(i).encode()) % 5]
+    sample, _ = toxic_gru.labelled_sample(docs, labels, max_rows=200, max_chars=2000)
+    assert len(sample) == 200 and any(1900 < len(t) <= 2100 for t in sample)
+    model = toxic_gru.fit_toxicity(docs, labels, max_rows=200, max_chars=2000)
+    counts = toxic_gru.score_bins(docs, labels, model, [])
+    assert sum(counts.values()) == len(free)
+    scored = toxic_gru.score_toxicity(docs, model, keep=["doc_id"]).toPandas().set_index("doc_id")["_score"]
+    assert (scored.loc[400:] < 0.5).mean() > 0.9
+    assert {(b >= 0, y): 0 for b, y in counts} and sum(n for (b, _), n in counts.items() if b >= 0) == (scored.loc[free] >= 0.5).sum()
+
+
 # --- op9
 
 
