@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bag_minhash, chat_parts, feistel_shards, license_digests, line_runs, link_trust, mix_fill, ngram_leaks, quality_forest, toxic_gru
+from . import bag_minhash, chat_parts, feistel_shards, license_digests, line_runs, link_trust, mix_fill, ngram_leaks, order_minhash, quality_forest, toxic_gru
 from .catalog import query, table
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -149,3 +149,13 @@ def op9(spark, sf):
 def op10(spark, sf):
     classes = bag_minhash.near_classes(table(spark, sf, "documents"))
     return classes.withColumn("kept", F.col("class_id") == F.col("doc_id"))
+
+
+@query("op11_fingerprints")
+def op11(spark, sf):
+    out = order_minhash.edited_fingerprints(table(spark, sf, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.printed(F.col("signature")).alias("fingerprint"), order_minhash.printed(F.col("edited_signature")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        order_minhash.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"))
