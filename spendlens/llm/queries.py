@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bag_minhash, chat_parts, feistel_shards, license_digests, line_runs, link_trust, mix_fill, ngram_leaks, order_minhash, quality_forest, toxic_gru
+from . import bag_minhash, chat_parts, feistel_shards, license_digests, line_runs, link_trust, mix_fill, ngram_leaks, order_minhash, quality_forest, token_alignment, toxic_gru, trie_frontier
 from .catalog import query, table
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -159,3 +159,18 @@ def op11(spark, sf):
         order_minhash.printed(F.col("signature")).alias("fingerprint"), order_minhash.printed(F.col("edited_signature")).alias("edited_fingerprint"),
         order_minhash.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
         order_minhash.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"))
+
+
+@query("op12_token_alignment")
+def op12(spark, sf):
+    return token_alignment.aligned_counts(table(spark, sf, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13(spark, sf):
+    docs = table(spark, sf, "documents")
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(F.translate("text", UP, LOW), F.lit("[a-z\\u00C0-\\u00FF]+"), F.lit(0))).alias("run"))
+    h = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("run")).cast("binary"))
+    at = F.pmod(h, F.char_length("run")).cast("int")
+    shortened = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.char_length("run")))
+    return trie_frontier.spelling_groups(runs.select(F.when(h % 97 == 0, shortened).otherwise(F.col("run")).alias("word")))
