@@ -165,7 +165,7 @@ class Aligned:
         last_a, last_b = common_ends(joined(ends_a), joined(ends_b))
         self.first_a, self.first_b = (np.append(0, x[:-1] + 1) if len(x) else x for x in (last_a, last_b))
         self.size_a, self.size_b = last_a + 1 - self.first_a, last_b + 1 - self.first_b
-        self.doc = np.searchsorted(np.cumsum(self.n_a), last_a)  # of each group
+        self.doc = np.searchsorted(np.cumsum(self.n_a), last_a, "right")  # of each group
 
     def per_doc(self, values: np.ndarray) -> np.ndarray:
         """Exact sums of a number per group."""

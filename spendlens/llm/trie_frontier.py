@@ -38,17 +38,16 @@ def trie_paths(words: DataFrame) -> DataFrame:
     length = F.char_length("s")
     both = words.select(F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("word").alias("s")), F.struct(F.lit(1).alias("side"), F.reverse("word").alias("s")))).alias("e")).select("e.*")
-    inside = both.select("side", "s", F.explode(F.sequence(F.lit(TOP + 1), F.greatest(length - 1, F.lit(TOP + 1)))).alias("p")) \
-        .select("side", "s", "p", _node(F.col("side"), F.col("s"), F.col("p")).alias("h"))
-    following = F.xxhash64(F.substring(F.col("s"), F.col("p") + 1, F.lit(1)))
-    branching = inside.filter(F.col("p") < length).groupBy("h").agg(F.min(following).alias("lo"), F.max(following).alias("hi")).filter("lo <> hi").select("h")
-    ends = both.select(F.xxhash64("side", "s").alias("h"))
-    nodes = branching.unionByName(ends).distinct().withColumnRenamed("h", "_h")
-    stops = inside.join(nodes, F.col("h") == F.col("_h"), "left").groupBy("side", "s").agg(
-        F.collect_list(F.when(F.col("_h").isNotNull(), F.col("p"))).alias("found"))
+    # words travel as hashes here, so a long word does not stand in each of its prefixes
+    inside = both.select(F.xxhash64("side", "s").alias("w"), "side", "s", F.explode(F.sequence(F.lit(TOP + 1), F.greatest(length - 1, F.lit(TOP + 1)))).alias("p"))
+    following = F.when(F.col("p") < length, F.xxhash64(F.substring(F.col("s"), F.col("p") + 1, F.lit(1))))
+    inside = inside.select("w", "p", _node(F.col("side"), F.col("s"), F.col("p")).alias("h"), following.alias("c"))
+    branching = inside.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
+    nodes = branching.unionByName(both.select(F.xxhash64("side", "s").alias("h"))).distinct().withColumnRenamed("h", "_h")
+    stops = inside.join(nodes, F.col("h") == F.col("_h"), "left_semi").groupBy("w").agg(F.collect_set("p").alias("found"))
     top = F.filter(F.sequence(F.lit(0), F.lit(TOP)), lambda p: p < length)
-    inner = F.filter("found", lambda p: p < length)
-    return stops.select("side", "s", F.sort_array(F.concat(top, inner, F.array(length))).alias("stops"))
+    inner = F.filter(F.coalesce("found", F.array().cast("array<int>")), lambda p: p < length)
+    return both.join(stops, F.xxhash64("side", "s") == F.col("w"), "left").select("side", "s", F.sort_array(F.concat(top, inner, F.array(length))).alias("stops"))
 
 
 def trie_edges(paths: DataFrame) -> DataFrame:
