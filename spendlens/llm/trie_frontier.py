@@ -63,57 +63,67 @@ def trie_edges(paths: DataFrame) -> DataFrame:
     return whole
 
 
-def _advanced(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """One level: every state over every edge of its node, the label taken as it is or, if no edit was made yet, with one."""
+def _crossed(states: DataFrame, edges: DataFrame, ways: list[Column]) -> DataFrame:
+    """States of one edit behind the edges of their nodes: ``ways`` are structs (p, or null where the label cannot be taken so).
+
+    A state that cannot go on is left out at once: the word's next letter must lead on from the child, or both must end."""
+    length = F.char_length("s")
     at = states.join(edges.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
+    leads = lambda p: F.when(p == length, F.col("ends") == 1).otherwise(F.col("nexts").contains(F.substring(F.col("s"), p + 1, F.lit(1))))
+    live = [F.when(leads(p), p) for p in ways]
+    at = at.filter(F.coalesce(*live).isNotNull()).select(
+        "side", "s", F.concat("path", "label").alias("path"), F.col("child").alias("node"), F.explode(F.array(*live)).alias("p"))
+    return at.filter("p is not null")
+
+
+def _taken(n: Column) -> Column:
+    return F.substring(F.col("s"), F.col("p") + 1, n)
+
+
+def _edited(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """The one edit inside the label of an edge: a letter replaced, one too many in the word, or one too few."""
     size = F.char_length("label")
-    taken = lambda n: F.substring(F.col("s"), F.col("p") + 1, n)
-    step = lambda n, edits: F.struct((F.col("p") + n).alias("p"), edits.alias("edits"))
 
-    def edited(n):
-        return F.when((F.char_length(taken(n)) == n) & (F.levenshtein(taken(n), F.col("label"), 1) == 1), step(n, F.lit(1)))
+    letter = lambda k: F.substring(F.col("s"), F.col("p") + k, F.lit(1)) == F.col("label")
+
+    def way(n, of_one):
+        one = F.when(size == 1, of_one).otherwise(F.levenshtein(_taken(n), F.col("label"), 1) == 1)
+        return F.when((F.char_length("s") >= F.col("p") + n) & one, F.col("p") + n)
+
+    # most labels are one letter
+    return _crossed(states, edges, [way(size, ~letter(1)), way(size + 1, letter(1) | letter(2)), way(size - 1, F.lit(True))])
 
-    fresh = F.col("edits") == 0
-    ways = F.array(
-        F.when(taken(size) == F.col("label"), step(size, F.col("edits"))),
-        F.when(fresh, edited(size)), F.when(fresh, edited(size + 1)), F.when(fresh, edited(size - 1)))
-    gone = at.select("side", "s", "path", "label", "child", "ends", "nexts", F.explode(F.array_compact(ways)).alias("w")).select(
-        "side", "s", F.col("w.p").alias("p"), F.col("child").alias("node"), F.col("w.edits").alias("edits"),
-        F.concat("path", "label").alias("path"), "ends", "nexts")
-    length, following = F.char_length("s"), F.substring(F.col("s"), F.col("p") + 1, F.lit(1))
-    at_end = F.col("p") == length
-    useful = F.when(fresh, (F.col("nexts") != "") | (F.col("ends") == 1)).when(at_end, F.col("ends") == 1).otherwise(F.col("nexts").contains(following))
-    return gone.filter(useful)
+
+def _followed(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """No further edit: the label stands in the word."""
+    size = F.char_length("label")
+    return _crossed(states, edges, [F.when(_taken(size) == F.col("label"), F.col("p") + size)])
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, near): every ordered pair of words exactly one inserted, deleted or replaced code point apart.
 
-    ``words`` holds distinct words in column ``word``. One job per level; the number of levels is that of branches along the back
-    half of a word. Nothing but the emptiness of a level comes to the driver."""
+    ``words`` holds distinct words in column ``word``. The states without an edit are a word's own nodes, known from its path, so
+    they meet the edges together; then one job per level takes the states of one edit on. The number of levels is that
+    of branches along the back half of a word. Nothing but the emptiness of a level comes to the driver."""
     paths = written(trie_paths(words), "trie-paths")
     edges = trie_edges(paths)
-    half = F.floor(F.char_length("s") / 2)
-    states = paths.withColumn("p", F.array_max(F.filter("stops", lambda p: p <= half))).select(
-        "side", "s", "p", _node(F.col("side"), F.col("s"), F.col("p")).alias("node"), F.lit(0).alias("edits"),
-        F.substring(F.col("s"), F.lit(1), F.col("p")).alias("path"))
-    found, levels = [], []
     length = F.char_length("s")
+    start = F.array_max(F.filter("stops", lambda p: p <= F.floor(length / 2)))
+    own = paths.withColumn("_start", start).select("side", "s", F.explode(F.filter("stops", lambda p: p >= F.col("_start"))).alias("p"))
+    own = own.select("side", "s", "p", _node(F.col("side"), F.col("s"), F.col("p")).alias("node"), F.substring(F.col("s"), F.lit(1), F.col("p")).alias("path"))
+    # the word without its last code point
+    shorter = own.filter(F.col("p") == length - 1).select("side", "s", "path", "node").join(
+        paths.select(F.xxhash64("side", "s").alias("_end")), F.col("node") == F.col("_end"), "left_semi").select("side", "s", "path")
+    found, levels = [shorter], []
+    level = _edited(own, edges)
     while True:
-        level = written(_advanced(states, edges), "trie-level")
-        levels.append(level)
-        done = (F.col("edits") == 1) & (F.col("p") == length) & (F.col("ends") == 1)
-        # the word without its last code point is a word
-        short = (F.col("edits") == 0) & (F.col("p") == length - 1) & (F.col("ends") == 1)
-        found.append(level.filter(done | short).select("side", "s", "path"))
-        states = level.filter(F.when(F.col("edits") == 0, F.col("nexts") != "").otherwise(F.col("p") < length)).select("side", "s", "p", "node", "edits", "path")
+        levels.append(level := written(level, "trie-level"))
+        found.append(level.filter(F.col("p") == length).select("side", "s", "path"))
+        states = level.filter(F.col("p") < length)
         if states.isEmpty():
             break
-    # a start node that is the word without its last code point
-    first = paths.withColumn("p", F.array_max(F.filter("stops", lambda p: p <= half))).filter(F.col("p") == length - 1)
-    found.append(first.select("side", "s", F.substring(F.col("s"), F.lit(1), F.col("p")).alias("path"))
-                 .join(paths.select(F.col("side").alias("_side"), F.col("s").alias("_s")), (F.col("side") == F.col("_side")) & (F.col("path") == F.col("_s")))
-                 .select("side", "s", "path"))
+        level = _followed(states, edges)
     forward = lambda c: F.when(F.col("side") == 0, F.col(c)).otherwise(F.reverse(c))
     pairs = reduce(DataFrame.unionByName, found).select(forward("s").alias("word"), forward("path").alias("near")).distinct()
     # hashes name the nodes: an equal hash of two prefixes could only add a pair, and this takes it out
