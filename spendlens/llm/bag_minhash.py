@@ -8,9 +8,12 @@ shingle of weight w costs log w processes, and points later than the last compon
 
 Signatures are banded; documents that share a band are candidates, and candidates are verified on the exact multiset
 overlap. Documents with the same words are one node. In a bucket of a band, members are compared with one leader,
-not with each other; what is then in one class needs no more comparison. Of the members of different classes, most
-pairs are ruled out without reading texts: the similarities to the leader differ too much (distances obey the triangle
-inequality), or the signatures do.
+not with each other; what is then in one class needs no more comparison. Further leaders follow as long as they settle
+buckets. Of the members of different classes, most pairs are ruled out without reading texts: the similarities to the
+leader differ too much (distances obey the triangle inequality), or the signatures do.
+
+Pairs are measured in blocks: nodes of one neighbourhood share a block of bounded size, and a task gets the shingles of each
+node of two blocks once, however many pairs of theirs it measures.
 """
 
 from __future__ import annotations
@@ -22,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from ..operators.keyed import aggregate_apart
+from .shared import discard, written
 from .words import ALNUM, LOWER, doc_of, mix, slices, window_hashes
 
 SIZE = 512
 BANDS, ROWS = 32, 4  # made of the first 128 components; a pair of similarity 0.8 shares no band once in 20 million
 SHINGLE = 5
-STAR_ROUNDS = 1
+#: Another round of leaders follows if the last one settled at least this share of the open members.
+SETTLED = 0.2
+#: Shingles and nodes of a block; a task holds two blocks, and no more pairs than their nodes make.
+BLOCK_SHINGLES, BLOCK_NODES = 1 << 20, 2500
 #: Four bits are kept of each component. At similarity 0.8 a pair differs in 96 of 512 on average, with a deviation of
 #: 8.8; beyond this many, 5.2 deviations away, a pair can only be that similar once in 10 million.
 BITS, MAX_DIFFERENT = 4, 142
@@ -140,9 +147,9 @@ def _prints(batches):
             banded, sketch = bands(signatures(*weighted(*shingles(hashes, first)), s.n_docs))
             d1, d2 = text_digests(hashes, first)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(s.first_doc, s.n_docs), pa.array(np.diff(first)), pa.array(d1), pa.array(d2),
-                 _lists(banded), _lists(sketch)],
-                names=["doc_id", "n_words", "d1", "d2", "bands", "sketch"])
+                [*(batch.column(c).slice(s.first_doc, s.n_docs) for c in ("doc_id", "row")), pa.array(np.diff(first)), pa.array(d1),
+                 pa.array(d2), _lists(banded), _lists(sketch)],
+                names=["doc_id", "row", "n_words", "d1", "d2", "bands", "sketch"])
 
 
 def _multisets(batches):
@@ -157,10 +164,11 @@ def _multisets(batches):
             head = np.append(True, (np.diff(doc) != 0) | (key[1:] != key[:-1]))[: len(doc)]
             nth = place - np.maximum.accumulate(np.where(head, place, 0))
             codes = np.where(nth > 0, mix(key + nth.astype(np.uint64) * _STEP), key).view(np.int64)
+            codes = codes[np.lexsort((codes, doc))]
             edges = np.searchsorted(doc, np.arange(s.n_docs + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(s.first_doc, s.n_docs), pa.ListArray.from_arrays(pa.array(edges), pa.array(codes))],
-                names=["doc_id", "codes"])
+                [batch.column("node").slice(s.first_doc, s.n_docs), pa.ListArray.from_arrays(pa.array(edges), pa.array(codes))],
+                names=["node", "codes"])
 
 
 def connected_classes(edges: DataFrame) -> DataFrame:
@@ -178,104 +186,181 @@ def connected_classes(edges: DataFrame) -> DataFrame:
         up = lower.select(F.col("node").alias("_n"), F.col("class").alias("m"))
         after = written(lower.join(up, F.col("class") == F.col("_n")).select("node", "old", F.least("class", "m").alias("class")), "near-classes")
         changed = after.filter(F.col("old") != F.col("class")).count()
-        classes = after.select("node", "class")
+        discard(classes, lower)
         if not changed:
-            return classes
+            discard(both)
+            return after
+        classes = after
+
+
+def _overlaps(pairs: pa.Table, sent: pa.Table) -> pa.Table:
+    """(a, b, overlap, total) of the pairs of two blocks, from the sorted shingle codes of their nodes."""
+    nodes, lists = sent.column("node").to_numpy(), sent.column("codes").combine_chunks()
+    values = lists.flatten().to_numpy()
+    edges = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+    order = np.argsort(nodes)
+    a, b = (pairs.column(c).to_numpy() for c in "ab")
+    by_a = np.argsort(a, kind="stable")
+    a, b = a[by_a], b[by_a]
+    at_a, at_b = (order[np.searchsorted(nodes[order], x)] for x in (a, b))
+    overlap, size = np.zeros(len(a), np.int64), np.diff(edges)
+    heads = np.flatnonzero(np.append(True, a[1:] != a[:-1])[: len(a)])
+    for lo, hi in zip(heads, np.append(heads[1:], len(a))):
+        own, others = values[edges[at_a[lo]] : edges[at_a[lo] + 1]], at_b[lo:hi]
+        starts = np.append(0, np.cumsum(size[others]))
+        codes = values[np.arange(starts[-1]) + np.repeat(edges[others] - starts[:-1], size[others])]
+        place = np.minimum(np.searchsorted(own, codes), max(len(own) - 1, 0))
+        hits = np.append(0, np.cumsum(own[place] == codes)) if len(own) else np.zeros(len(codes) + 1, np.int64)
+        overlap[lo:hi] = hits[starts[1:]] - hits[starts[:-1]]
+    return pa.table({"a": a, "b": b, "overlap": overlap, "total": size[at_a] + size[at_b] - overlap})
+
+
+def _measured(pairs: DataFrame, blocks: DataFrame, multisets: DataFrame) -> DataFrame:
+    """(a, b, overlap, total): shingles in common and in either, as multisets. The shingles of a node go once to each block
+    its pairs lead to, not once to each pair."""
+    first = blocks.select(F.col("node").alias("_a"), F.col("block").alias("_u"))
+    second = blocks.select(F.col("node").alias("_b"), F.col("block").alias("_v"))
+    placed = written(
+        pairs.distinct().join(first, F.col("a") == F.col("_a")).join(second, F.col("b") == F.col("_b"))
+        .select("a", "b", F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")), "near-pairs")
+    needed = placed.select(F.col("u").alias("_p"), F.col("v").alias("_q"), F.explode(F.array("a", "b")).alias("_needed")).distinct()
+    sent = needed.join(multisets, F.col("_needed") == F.col("node")).select("_p", "_q", "node", "codes")
+    schema = "a long, b long, overlap long, total long"
+    out = written(placed.groupBy("u", "v").cogroup(sent.groupBy("_p", "_q")).applyInArrow(_overlaps, schema), "near-measured")
+    discard(placed)
+    return out
 
 
-def _distances(pairs: DataFrame, multisets: DataFrame) -> DataFrame:
-    """(a, b, overlap, total): shingles in common and in either, as multisets."""
-    right = multisets.select(F.col("doc_id").alias("b"), F.col("codes").alias("cb"))
-    left = multisets.select(F.col("doc_id").alias("_a"), F.col("codes").alias("ca"))
-    both = pairs.join(right, "b").join(left, F.col("a") == F.col("_a"))
-    overlap = F.size(F.array_intersect("ca", "cb"))
-    return both.select("a", "b", overlap.alias("overlap"), (F.size("ca") + F.size("cb")).alias("sizes")) \
-        .select("a", "b", "overlap", (F.col("sizes") - F.col("overlap")).alias("total"))
+def _neighbourhoods(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, block): nodes whose smallest leader is the same lie in one block, or in several if they are many or long."""
+    homes = written(members.groupBy("node").agg(F.min("leader").alias("home")).join(
+        nodes.select(F.col("node").alias("_m"), F.greatest(F.col("n_words") - (SHINGLE - 1), F.lit(1)).alias("n")), F.col("node") == F.col("_m"))
+        .select("node", "home", "n"), "near-homes")
+    parts = aggregate_apart(homes, ["home"], F.greatest(
+        F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_NODES)).alias("parts"))
+    blocks = written(homes.join(parts, "home").select("node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "near-blocks")
+    discard(homes)
+    return blocks
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """One row per row of ``docs``: key and ``class_id``, the smallest key of its group of near-duplicates.
+def _row_digest(key: str, text: str) -> Column:
+    """Names a row by its key and its text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.md5(F.col(key).cast("string")), F.lit("null")), F.coalesce(F.col(text), F.lit("")))))
 
-    Two documents are near-duplicates if the weighted Jaccard similarity of their five-word shingles (A-Z lower-cased,
-    words of letters, digits and characters beyond ASCII) is at least 4/5; groups are closed under that.
 
-    * null and empty texts, and texts without words, are alone, each its own class
-    * a text of one to four words is one shingle; texts with the same words are always one class
-    * whole texts are used, however long; ties do not exist, a class is named by its smallest key
-    * repeated rows are copies; rows that share a key share a class; a null key has a null class and joins no group
-    * an empty table gives no rows; other columns play no part, whatever their names
-    """
+def _classed(docs: DataFrame, key: str, text: str, share: tuple[int, int]) -> DataFrame:
+    """(doc_id, row, smallest, kept, ...) of every row: its digest, and for classes of more than one row the smallest key of the class and the
+    digest of the row that stands for it, else nulls."""
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    prints = written(rows.mapInArrow(_prints, f"doc_id {kind}, n_words long, d1 long, d2 long, bands array<long>, sketch array<long>"), "near-prints")
-    worded = prints.filter("n_words > 0 and doc_id is not null")
-    nodes = written(worded.groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("rows"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")),
-        "near-nodes")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), _row_digest(key, text).alias("row"))
+    prints = written(rows.mapInArrow(_prints, f"doc_id {kind}, row binary, n_words long, d1 long, d2 long, bands array<long>, sketch array<long>"), "near-prints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = written(prints.filter("n_words > 0").groupBy("d1", "d2").agg(
+        F.min(first).alias("first"), F.count("*").alias("rows"), F.min("n_words").alias("n_words"), F.any_value("bands").alias("bands"),
+        F.any_value("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "near-nodes")  # numbered as written
     banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = written(banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n"), "near-buckets")
     members = written(banded.join(shared, "bucket"), "near-members")
-    named = members.select(F.col("node").alias("_node")).distinct()
+    discard(shared)
+    blocks = _neighbourhoods(members, nodes)
+    named = blocks.join(nodes.select(F.col("node").alias("_m"), "first.row"), F.col("node") == F.col("_m")).select("node", F.col("row").alias("_row"))
     multisets = written(
-        rows.join(named, F.col("doc_id") == F.col("_node"), "left_semi").mapInArrow(_multisets, f"doc_id {kind}, codes array<long>")
-        .groupBy("doc_id").agg(F.any_value("codes").alias("codes")), "near-multisets")
-
-    def measure(pairs: DataFrame) -> DataFrame:
-        return written(_distances(pairs.distinct(), multisets), "near-links")
+        rows.join(named, F.col("row") == F.col("_row")).select("row", "node", "text").dropDuplicates(["row"])
+        .select("node", "text").mapInArrow(_multisets, "node long, codes array<long>"), "near-multisets")
 
     def near(measured: DataFrame) -> DataFrame:
         return measured.filter(F.col("overlap") * share[1] >= F.col("total") * share[0]).select("a", "b")
 
-    led = measure(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    edges = near(led)
+    def linked(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The links so far and those among ``pairs``; what is not alike is not kept."""
+        measured = _measured(pairs, blocks, multisets)
+        out = written(edges.unionByName(near(measured)), "near-links")
+        discard(measured, edges)
+        return out
+
+    led = _measured(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), blocks, multisets)
+    edges = written(near(led), "near-links")
     far = led.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("overlap") / F.col("total")).alias("far"))
     # a node that is close to the leaders it has met lies in the middle of its group
     middle = written(
         far.select(F.col("_a").alias("_c"), "far").unionByName(far.select(F.col("_b").alias("_c"), "far"))
         .groupBy("_c").agg(F.avg("far").alias("mean_far")), "near-middle")
     details = nodes.select(F.col("node").alias("_m"), "sketch", "bands")
-    for turn in range(STAR_ROUNDS + 1):
-        classes = connected_classes(edges)
+    classes, before = connected_classes(edges), None
+    while True:
         held = written(
-            members.join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+            members.join(classes.select(F.col("node").alias("_n"), "class"), F.col("node") == F.col("_n"), "left")
             .join(middle, F.col("node") == F.col("_c"), "left")
             .select("band", "bucket", "node", "leader", "mean_far", F.coalesce("class", "node").alias("class")), "near-held")
         still = written(held.groupBy("bucket").agg(
-            F.min("class").alias("lo"), F.max("class").alias("hi"),
+            F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"),
             F.min(F.struct("mean_far", "node", "class")).alias("star")).filter("lo <> hi"), "near-open")
-        if still.isEmpty():
+        n_open = still.agg(F.sum("n")).first()[0] or 0
+        if n_open:
+            mixed = held.join(still.select("bucket", "star"), "bucket")
+            leaders = before is None or n_open <= (1 - SETTLED) * before
+            if leaders:  # the middle of each bucket that holds several classes as another leader
+                pairs = mixed.filter(F.col("class") != F.col("star.class")).select(F.col("star.node").alias("a"), F.col("node").alias("b"))
+                opened = None
+            else:  # what is left: pairs of different classes that neither distances to the leader nor signatures rule out
+                opened = written(
+                    mixed.filter("node <> leader").drop("star")
+                    .join(far, (F.col("leader") == F.col("_a")) & (F.col("node") == F.col("_b")))
+                    .join(details, F.col("node") == F.col("_m"))
+                    .select("bucket", "band", "node", "class", "far", "sketch", "bands"), "near-mixed")
+                left = opened.select("bucket", *(F.col(c).alias("l_" + c) for c in ("node", "class", "far", "sketch", "bands")))
+                equal = F.zip_with("l_bands", "bands", lambda x, y: x == y)
+                pairs = left.join(
+                    opened.withColumnRenamed("bucket", "_bucket"),
+                    (F.col("bucket") == F.col("_bucket")) & (F.col("l_class") < F.col("class"))
+                    & (F.abs(F.col("l_far") - F.col("far")) <= 1 - share[0] / share[1] + 1e-9)
+                    & (_differences("l_sketch", "sketch") <= MAX_DIFFERENT)
+                    & (F.array_position(equal, F.lit(True)) == F.col("band") + 1),  # once, in the first band they share
+                ).select(F.col("l_node").alias("a"), F.col("node").alias("b"))
+            edges = linked(edges, pairs)
+            discard(opened, classes)
+            classes = connected_classes(edges)
+        discard(held, still)
+        if not n_open or not leaders:
             break
-        mixed = held.join(still.select("bucket", "star"), "bucket")
-        if turn < STAR_ROUNDS:  # the middle of each bucket that holds several classes as another leader
-            pairs = mixed.filter(F.col("class") != F.col("star.class")).select(F.col("star.node").alias("a"), F.col("node").alias("b"))
-        else:  # what is left: pairs of different classes that neither distances to the leader nor signatures rule out
-            mixed = written(
-                mixed.filter("node <> leader").drop("star")
-                .join(far, (F.col("leader") == F.col("_a")) & (F.col("node") == F.col("_b")))
-                .join(details, F.col("node") == F.col("_m"))
-                .select("bucket", "band", "node", "class", "far", "sketch", "bands"), "near-mixed")
-            left = mixed.select("bucket", *(F.col(c).alias("l_" + c) for c in ("node", "class", "far", "sketch", "bands")))
-            equal = F.zip_with("l_bands", "bands", lambda x, y: x == y)
-            pairs = left.join(
-                mixed.withColumnRenamed("bucket", "_bucket"),
-                (F.col("bucket") == F.col("_bucket")) & (F.col("l_class") < F.col("class"))
-                & (F.abs(F.col("l_far") - F.col("far")) <= 1 - share[0] / share[1] + 1e-9)
-                & (_differences("l_sketch", "sketch") <= MAX_DIFFERENT)
-                & (F.array_position(equal, F.lit(True)) == F.col("band") + 1),  # once, in the first band they share
-            ).select(F.col("l_node").alias("a"), F.col("node").alias("b"))
-        edges = edges.unionByName(near(measure(pairs)))
-    else:
-        classes = connected_classes(edges)
-    groups = nodes.join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left") \
-        .withColumn("class", F.coalesce("class", "node")).filter((F.col("class") != F.col("node")) | (F.col("rows") > 1)) \
-        .select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "class")
-    mine = (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_words") > 0) & F.col("doc_id").isNotNull()
-    return prints.join(groups, mine, "left").select(F.col("doc_id").alias(key), F.coalesce("class", "doc_id").alias("class_id"))
-
-
-def keep_one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs``, all columns, of each class's smallest key: one row of a key. Rows with a null key stay."""
-    gone = near_classes(docs, key, text, **settings).filter(F.col("class_id") != F.col(key)).select(F.col(key).alias("_gone"))
-    kept = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("_alone", alone).dropDuplicates([key, "_alone"]).drop("_alone")
+        before = n_open
+    discard(members, blocks, multisets, led, middle, edges)
+    grouped = nodes.join(classes.select(F.col("node").alias("_n"), "class"), F.col("node") == F.col("_n"), "left") \
+        .select("node", "d1", "d2", "first", "rows", F.coalesce("class", "node").alias("class"))
+    whole = aggregate_apart(grouped, ["class"], F.min("first").alias("best"), F.sum("rows").alias("n")).filter("n > 1")
+    groups = written(grouped.join(whole, "class").select(
+        F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("best.doc_id").alias("smallest"), F.col("best.row").alias("kept")), "near-groups")
+    discard(nodes, classes)
+    thin = written(prints.select("doc_id", "row", "n_words", "d1", "d2"), "near-rows")
+    discard(prints)
+    mine = (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_words") > 0)
+    return thin.join(groups, mine, "left")
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """One row per row of ``docs``: key and ``class_id``, the smallest key of its group of near-duplicates.
+
+    Two documents are near-duplicates if the weighted Jaccard similarity of their five-word shingles (A-Z lower-cased,
+    words of letters, digits and characters beyond ASCII) is at least 4/5; groups are closed under that.
+
+    * null and empty texts, and texts without words, are alone, each its own class
+    * a text of one to four words is one shingle; texts with the same words are always one class
+    * whole texts are used, however long; ties do not exist, a class is named by its smallest key
+    * repeated rows are copies; a key that stands on different texts belongs to the class of each, row by row; rows with a null key
+      join groups by their text, and a group of null keys only has a null class
+    * an empty table gives no rows; other columns play no part, whatever their names
+    """
+    out = _classed(docs, key, text, share)
+    return out.select(F.col("doc_id").alias(key), F.coalesce("smallest", "doc_id").alias("class_id"))
+
+
+def keep_one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The rows of ``docs``, all columns, less those that have a near-duplicate among the rows that stay.
+
+    Of each class the row with the smallest key stays (null keys last); of rows with the same key and text, one. Rows
+    without words stay, each key once, those with a null key all."""
+    gone = _classed(docs, key, text, share).filter(F.col("kept").isNotNull() & (F.col("row") != F.col("kept"))).select(F.col("row").alias("_gone"))
+    named = docs.withColumn("_row", _row_digest(key, text))
+    alone = F.when(F.col(key).isNull() & ~F.coalesce(F.col(text).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)), F.monotonically_increasing_id())
+    kept = named.join(gone.distinct(), F.col("_row") == F.col("_gone"), "left_anti").withColumn("_alone", alone)
+    return kept.dropDuplicates(["_row", "_alone"]).select(*docs.columns)

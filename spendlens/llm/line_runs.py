@@ -17,9 +17,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 BLANKS = " \t\n\x0b\x0c\r"
+CUT_SAMPLE = 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,6 +46,15 @@ def _merged(runs: list[DataFrame]) -> DataFrame:
     return every.groupBy("h").agg(F.sum("docs").alias("docs"), F.max("holder").alias("holder"))
 
 
+def _cuts(rows: DataFrame, batches: int) -> list:
+    """Keys that cut the table into about equal batches, largest first; keys of any type that has an order.
+
+    They come from the ``CUT_SAMPLE`` keys of least hash: one bounded heap per task, the same in every run."""
+    drawn = rows.select("_key").filter(F.col("_key").isNotNull()).orderBy(F.xxhash64("_key"), "_key").limit(CUT_SAMPLE)
+    keys = [r[0] for r in drawn.orderBy("_key").collect()] if batches > 1 else []
+    return sorted({keys[len(keys) * i // batches] for i in range(1, batches)} if keys else set(), reverse=True)
+
+
 class LevelledRuns:
     """Sorted runs of (line hash, documents, holder) in the shared folder, compacted by level.
 
@@ -63,10 +73,10 @@ class LevelledRuns:
         """``batch``: (h, docs, last), one row per line hash of the batch."""
         own = batch.withColumnRenamed("last", "holder")
         if known := self.runs():
-            seen = reduce(DataFrame.unionByName, [run.filter("holder is not null").select("h") for run in known])
-            new = own.hint("merge").join(seen, "h", "left_anti")
-            old = own.hint("merge").join(seen, "h", "left_semi").withColumn("holder", F.lit(None).cast(own.schema["holder"].dataType))
-            own = new.unionByName(old)
+            # a hash has its holder in one run at most, so this join neither drops nor repeats a row of the batch
+            seen = reduce(DataFrame.unionByName, [run.filter("holder is not null").select(F.col("h").alias("_seen")) for run in known])
+            own = own.hint("merge").join(seen, F.col("h") == F.col("_seen"), "left").select(
+                "h", "docs", F.when(F.col("_seen").isNull(), F.col("holder")).alias("holder"))
         run, level = self._write(own), 0
         while True:
             if level == len(self.levels):
@@ -75,6 +85,7 @@ class LevelledRuns:
             if len(self.levels[level]) < self.fan_in:
                 return
             run = self._write(_merged(self.levels[level]))
+            discard(*self.levels[level])
             self.levels[level] = []
             level += 1
 
@@ -102,8 +113,7 @@ def drop_shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "line-places",
     )
     found = places.select("_key", "h").groupBy("_key", "h").agg(F.lit(1).alias("one"))
-    cuts = rows.agg(F.percentile_approx("_key", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
-    edges = sorted(set(cuts or []), reverse=True)
+    edges = _cuts(rows, batches)
     runs = LevelledRuns(fan_in)
     for i in range(len(edges) + 1):
         part = found

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 HREF = r"(?i)<a\s[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
@@ -52,10 +52,12 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float = 1e-9) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """``hosts`` (host, trust_seed, distrust_seed; seeds sum to one, or are all 0) with ``trust`` and ``distrust``.
 
-    What a host without links would pass on goes back to the seeds. Only sums of a column come to the driver."""
+    What a host without links would pass on goes back to the seeds. Rounds go on until no host moves by ``tolerance`` in the units
+    of ``hosts``' columns ``trust_unit`` and ``distrust_unit`` (1 if there are none), however many that takes: each round
+    moves all ranks together by at most ``damping`` times the round before. Only sums and the largest move come to the driver."""
     out = edges.groupBy("src").agg(F.sum("w").alias("total")).withColumnRenamed("src", "_h")
     into = edges.groupBy("dst").agg(F.sum("w").alias("total")).withColumnRenamed("dst", "_h")
     shares = written(
@@ -63,8 +65,10 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, iterati
         .join(into, F.col("dst") == F.col("_h")).select("src", "dst", "forward", (F.col("w") / F.col("total")).alias("backward")),
         "host-edges",
     )
-    ranks = written(hosts.withColumns({"trust": F.col("trust_seed"), "distrust": F.col("distrust_seed")}), "host-ranks")
-    for _ in range(iterations):
+    units = {c: F.col(c) if c in hosts.columns else F.lit(1.0) for c in ("trust_unit", "distrust_unit")}
+    ranks = written(hosts.withColumns(units | {"trust": F.col("trust_seed"), "distrust": F.col("distrust_seed")}), "host-ranks")
+    linked = not shares.isEmpty()  # without links every rank is its seed
+    while linked:
         along = ranks.select("host", "trust").join(shares, F.col("host") == F.col("src")) \
             .select(F.col("dst").alias("to"), (F.col("trust") * F.col("forward")).alias("t"), F.lit(0.0).alias("d"))
         against = ranks.select("host", "distrust").join(shares, F.col("host") == F.col("dst")) \
@@ -75,19 +79,20 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, iterati
         def step(part, seed, passed):
             return damping * F.coalesce(part, F.lit(0.0)) + (1 - damping * (passed or 0.0)) * F.col(seed)
 
-        ranks = written(
+        new_trust, new_distrust = step(F.col("t"), "trust_seed", t), step(F.col("d"), "distrust_seed", d)
+        after = written(
             ranks.join(parts, F.col("host") == F.col("to"), "left").select(
-                "host", "trust_seed", "distrust_seed", step(F.col("t"), "trust_seed", t).alias("trust"),
-                step(F.col("d"), "distrust_seed", d).alias("distrust"),
-                (F.abs(step(F.col("t"), "trust_seed", t) - F.col("trust"))
-                 + F.abs(step(F.col("d"), "distrust_seed", d) - F.col("distrust"))).alias("moved")),
+                "host", "trust_seed", "distrust_seed", "trust_unit", "distrust_unit", new_trust.alias("trust"), new_distrust.alias("distrust"),
+                F.greatest(F.abs(new_trust - F.col("trust")) * F.col("trust_unit"),
+                           F.abs(new_distrust - F.col("distrust")) * F.col("distrust_unit")).alias("moved")),
             "host-ranks",
         )
-        moved = ranks.agg(F.max("moved")).first()[0]
-        ranks = ranks.drop("moved")
-        if not moved or moved < tolerance:
-            break
-    return ranks
+        moved = after.agg(F.max("moved")).first()[0]
+        discard(ranks, parts)
+        ranks = after
+        linked = bool(moved) and moved >= tolerance
+    discard(shares)
+    return ranks.select("host", "trust_seed", "distrust_seed", "trust", "distrust")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, key: str = "page_id", url: str = "url",
@@ -117,9 +122,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | None = None, key
         F.sum("pages").alias("pages"), F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")), "hosts")
     good, bad = hosts.agg(F.sum("allowed"), F.sum("blocked")).first()
     good, bad = max(good or 0, 1), max(bad or 0, 1)
-    seeds = hosts.select("host", (F.col("allowed") / good).alias("trust_seed"), (F.col("blocked") / bad).alias("distrust_seed"))
-    ranks = propagate(seeds, edges, **settings)
     own = F.greatest("pages", F.lit(1))
+    # moves are counted in what a verdict compares: seed pages per page of the host
+    seeds = hosts.select("host", (F.col("allowed") / good).alias("trust_seed"), (F.col("blocked") / bad).alias("distrust_seed"),
+                         (good / own).alias("trust_unit"), (bad / own).alias("distrust_unit"))
+    ranks = propagate(seeds, edges, **settings)
     judged = written(
         ranks.withColumnRenamed("host", "_host").join(hosts, F.col("_host") == F.col("host"))
         .select("_host", (F.col("trust") * good / own).alias("host_trust"), (F.col("distrust") * bad / own).alias("host_distrust")),

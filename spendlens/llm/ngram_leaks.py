@@ -1,22 +1,27 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams.
 
 Every whole document is scanned: its windows of words are hashed in a task, looked up in the set, and
-each hit is verified word by word. The set is broadcast in blocks of bounded size; more items make more
-blocks, each of which passes over the documents in the same stage, without a shuffle.
+each hit is verified word by word. The set is made and broadcast in blocks of bounded size. One block is one scan
+without a shuffle. With more, each block is made when the one before it has been scanned and released, and
+writes what it found; the finds of a text are then put together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import discard, written
 from .words import ALNUM, LOWER, doc_of, slices, window_hashes
 
 _FILTER_BITS = 20
+_ENTRY_BYTES = 350  # what a window takes in a table besides its words
+_CHUNK = 1000
 
 
 class Block:
@@ -28,32 +33,35 @@ class Block:
         self.filters: dict[int, np.ndarray] = {}
         self.size = 0
 
-    def add(self, item: str, words: list[bytes], hashes: np.ndarray, size: int) -> None:
+    def add(self, item: str, size: int, windows: list[tuple[int, bytes]]) -> None:
         own = len(self.items)
         self.items.append(item)
         table = self.windows.setdefault(size, {})
         bits = self.filters.setdefault(size, np.zeros(1 << _FILTER_BITS, bool))
-        codes = window_hashes(hashes, size)
-        bits[(codes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        for i, code in enumerate(codes.tolist()):
-            entry = (b" ".join(words[i : i + size]), own)
+        for code, window in windows:
+            bits[code >> (64 - _FILTER_BITS)] = True
+            entry = (window, own)
             same = table.setdefault(code, [])
             if entry not in same:
                 same.append(entry)
-                self.size += len(entry[0]) + 120
+                self.size += len(window) + _ENTRY_BYTES
 
 
 def blocks_of(items: Iterator[tuple[object, str | None]], n: int, max_bytes: int) -> Iterator[Block]:
+    """Blocks one at a time; an item of many windows is spread over several."""
     block = Block()
     for item, text in items:
         for s in slices(pa.array([text or ""]), LOWER):
             starts, ends, _ = s.spans(ALNUM[s.data])
-            if len(starts):
-                words = [s.data[a:b].tobytes() for a, b in zip(starts, ends)]
-                block.add("" if item is None else str(item), words, s.hashes(starts, ends), min(n, len(words)))
-        if block.size >= max_bytes:
-            yield block
-            block = Block()
+            size = min(n, len(starts))
+            codes = window_hashes(s.hashes(starts, ends), size) if size else np.zeros(0, np.uint64)
+            for lo in range(0, len(codes), _CHUNK):
+                some = [(int(codes[i]), b" ".join(s.data[a:b].tobytes() for a, b in zip(starts[i : i + size], ends[i : i + size])))
+                        for i in range(lo, min(lo + _CHUNK, len(codes)))]
+                block.add("" if item is None else str(item), size, some)
+                if block.size >= max_bytes:
+                    yield block
+                    block = Block()
     yield block
 
 
@@ -81,43 +89,69 @@ def _hits(s, starts, ends, first, block: Block) -> tuple[np.ndarray, list[set[st
     return np.cumsum(cover[:-1]) > 0, found
 
 
-def _scanner(shared, text: str, carry: list[str], clean_only: bool):
+def _scanner(shared, text: str, carry: list[str], clean_only: bool, found_only: bool = False):
     def scan(batches):
         block = shared.value
         for batch in batches:
-            texts = batch.column(text)
-            have = batch.schema.names
             n_words, n_hit = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             spans: list[list[int]] = [[] for _ in range(batch.num_rows)]
             items: list[list[str]] = [[] for _ in range(batch.num_rows)]
-            old_spans = batch.column("_spans").to_pylist() if "_spans" in have else None
-            old_items = batch.column("_items").to_pylist() if "_items" in have else None
-            for s in slices(texts, LOWER):
+            for s in slices(batch.column(text), LOWER):
                 starts, ends, first = s.spans(ALNUM[s.data])
                 hit, found = _hits(s, starts, ends, first, block)
                 for d in range(s.n_docs):
                     at = s.first_doc + d
                     a, b = int(first[d]), int(first[d + 1])
-                    own = hit[a:b]
-                    if old_spans:
-                        for x, y in zip(old_spans[at][::2], old_spans[at][1::2]):
-                            own[x:y] = True
-                    names = found[d].union(old_items[at]) if old_items else found[d]
                     n_words[at] = b - a
-                    if names:
+                    if found[d]:
+                        own = hit[a:b]
                         n_hit[at] = int(own.sum())
                         edge = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8)))
-                        spans[at], items[at] = edge.tolist(), sorted(names)
+                        spans[at], items[at] = edge.tolist(), sorted(found[d])
             out = pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in carry), pa.array(n_words), pa.array(n_hit),
                  pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
                 names=[*carry, "_n_words", "_n_hit", "_spans", "_items"],
             )
-            yield out.filter(pa.array(n_hit == 0)) if clean_only else out
+            if clean_only or found_only:
+                out = out.filter(pa.array((n_hit == 0) if clean_only else (n_hit > 0)))
+            yield out
 
     return scan
 
 
+FOUND = "_n_words long, _n_hit long, _spans array<int>, _items array<string>"
+
+
+def _scanned(docs: DataFrame, block: Block, text: str, carry: list[str], **wanted):
+    """Rows of one scan, and the broadcast it uses."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry) + FOUND
+    return docs.mapInArrow(_scanner(shared, text, carry, wanted.get("clean_only", False), wanted.get("found_only", False)), schema), shared
+
+
+def _word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+
+
+def _put_together(parts: DataFrame) -> DataFrame:
+    """(_of, _n_hit, _spans, _items) per text from what the blocks found: hit runs joined where they touch, ids once."""
+    runs = F.flatten(F.collect_list(F.transform(
+        F.filter(F.transform("_spans", lambda v, i: F.struct(v.alias("lo"), F.get("_spans", i + 1).alias("hi"), i.alias("i"))), lambda e: e["i"] % 2 == 0),
+        lambda e: F.struct(e["lo"], e["hi"]))))
+    grouped = parts.groupBy(F.struct("_tag").alias("_k")).agg(F.array_sort(runs).alias("_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+
+    def joined(done, run):
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], run["hi"]).alias("hi"))))
+        return F.when((F.size(done) > 0) & (run["lo"] <= last["hi"]), longer).otherwise(F.concat(done, F.array(F.struct(run["lo"].alias("lo"), run["hi"].alias("hi")))))
+
+    whole = F.aggregate("_runs", F.array().cast("array<struct<lo:int,hi:int>>"), joined)
+    return grouped.select(F.col("_k._tag").alias("_of"), whole.alias("_whole"), "_items").select(
+        "_of", F.aggregate("_whole", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"]).alias("_n_hit"),
+        F.flatten(F.transform("_whole", lambda r: F.array(r["lo"], r["hi"]))).alias("_spans"), "_items")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id",
                item_text: str = "text", n: int = 10, block_bytes: int = 32 << 20, keep: list[str] | None = None,
                clean_only: bool = False) -> DataFrame:
@@ -135,17 +169,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_k
     """
     docs = docs.drop("_n_words", "_n_hit", "_spans", "_items")
     names = keep if keep is not None else docs.columns
-    context = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col(item_key), F.col(item_text)).toLocalIterator()
-    found, made = docs.select(*dict.fromkeys([*names, text])), False
-    blocks = list(blocks_of(((r[0], r[1]) for r in items), n, block_bytes))
-    for i, block in enumerate(blocks):
-        last = i == len(blocks) - 1
-        carry = names if last else list(dict.fromkeys([*names, text]))
-        schema = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in carry)
-        schema += ("" if not carry else ", ") + "_n_words long, _n_hit long, _spans array<int>, _items array<string>"
-        found = found.mapInArrow(_scanner(context.broadcast(block), text, carry, clean_only and last), schema)
-    return found
+    items = benchmark.select(F.col(item_key), F.col(item_text)).toLocalIterator()  # a partition of items at a time
+    blocks = blocks_of(((r[0], r[1]) for r in items), n, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _scanned(docs.select(*dict.fromkeys([*names, text])), block, text, names, clean_only=clean_only)[0]
+    # equal texts share all finds, so finds are kept by a digest of the text
+    told = docs.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_tag"), F.col(text).alias("_text"))
+    parts = []
+    while block is not None:
+        found, shared = _scanned(told, block, "_text", ["_tag"], found_only=True)
+        parts.append(written(found.dropDuplicates(["_tag"]), "leaks"))
+        shared.destroy()
+        block, following = following, next(blocks, None) if following is not None else None
+    every = written(_put_together(reduce(DataFrame.unionByName, parts)), "leaks")
+    discard(*parts)
+    rows = docs.select(*names, F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_tag"), _word_count(F.col(text)).alias("_n_words"))
+    out = rows.join(every, F.col("_tag") == F.col("_of"), "left").select(
+        *names, "_n_words", F.coalesce("_n_hit", F.lit(0)).cast("long").alias("_n_hit"), F.coalesce("_spans", F.array().cast("array<int>")).alias("_spans"),
+        F.coalesce("_items", F.array().cast("array<string>")).alias("_items"))
+    return out.filter("_n_hit = 0") if clean_only else out
 
 
 def redact(text: str, spans: list[int]) -> str:

@@ -141,7 +141,7 @@ select doc_id, size, n as source_size, target,
   cast(size * (whole + case when part > 0 and upto - own / 2 <= part then 1 else 0 end) as bigint) as taken from along""")
 def op9(spark, sf):
     sized, plan = mix_fill.mix_sources(table(spark, sf, "documents"))
-    return sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source"))).select(  # one row per source
+    return mix_fill.planned(sized, plan).select(
         F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * mix_fill.copies()).cast("long").alias("taken"))
 
 
@@ -154,11 +154,12 @@ def op10(spark, sf):
 @query("op11_fingerprints")
 def op11(spark, sf):
     out = order_minhash.edited_fingerprints(table(spark, sf, "documents"))
+    # with the next key both sides of the operator's join need the same columns, and so share one shuffle of the texts
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         order_minhash.printed(F.col("signature")).alias("fingerprint"), order_minhash.printed(F.col("edited_signature")).alias("edited_fingerprint"),
         order_minhash.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
-        order_minhash.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"))
+        order_minhash.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"), F.col("next_key").alias("next_id"))
 
 
 @query("op12_token_alignment")
@@ -168,9 +169,13 @@ def op12(spark, sf):
 
 @query("op13_spelling_variants")
 def op13(spark, sf):
-    docs = table(spark, sf, "documents")
-    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(F.translate("text", UP, LOW), F.lit("[a-z\\u00C0-\\u00FF]+"), F.lit(0))).alias("run"))
-    h = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("run")).cast("binary"))
+    text = F.col("text")
+    lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UP, LOW))  # A-Z only
+    # an edit makes a run shorter, so runs below the length of a word make none
+    found = F.regexp_extract_all(lowered, F.lit("[a-z\\u00C0-\\u00FF]{5,}"), F.lit(0))
+    runs = table(spark, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(":")).alias("owner"), found.alias("runs")) \
+        .select("owner", F.explode("runs").alias("run"))
+    h = F.crc32(F.concat("owner", "run").cast("binary"))
     at = F.pmod(h, F.char_length("run")).cast("int")
     shortened = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.char_length("run")))
     return trie_frontier.spelling_groups(runs.select(F.when(h % 97 == 0, shortened).otherwise(F.col("run")).alias("word")))

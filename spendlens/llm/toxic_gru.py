@@ -23,6 +23,7 @@ CHARS, CHAR_DIM = 4096, 4  # hashed trigrams, size of their vectors
 WORD_DIM = 2
 SCORE_BYTES = 1 << 18
 BINS, BIN_SPAN = 64, 32  # bins per unit of logit, and the largest logit told apart
+KEY_BITS = 1 << 24  # marks of labelled keys, 2 MB
 PIECES = 10  # passages that stand for a long text in training
 
 
@@ -55,10 +56,10 @@ class Inputs:
             inside = ALNUM[s.data]
             a, b, f = s.spans(inside)
             hashes.append(s.hashes(a, b))
-            starts.append(a + at)
-            ends.append(b + at)
+            starts.append((a + at).astype(np.int32))
+            ends.append((b + at).astype(np.int32))
             first.append(f[1:] + first[-1][-1])
-            codes.append(trigram_codes(np.where(inside, s.data, 0), s.offsets))
+            codes.append(trigram_codes(np.where(inside, s.data, 0), s.offsets).astype(np.uint16))
             at += len(s.data)
         self.starts, self.ends, self.hashes, self.codes, self.first = map(np.concatenate, (starts, ends, hashes, codes, first))
         self.n = len(self.starts)
@@ -230,11 +231,14 @@ def _train(texts, toxic, epochs=6, batch=256, folds=4, seed=7) -> tuple[ToxicMod
         network.shift = 1e3
         return ToxicModel(np.zeros(0, np.uint64), np.zeros(0, np.float32), network), np.zeros(0), np.zeros(0, np.int64)
     words = Inputs(slices(pa.array(texts), LOWER))
-    doc = doc_of(words.first)
+    n_texts = len(texts)
+    del texts  # the driver holds one form of the sample at a time
+    doc = doc_of(words.first).astype(np.int32)
     order = np.lexsort((doc, words.hashes))
     pairs = np.vstack((words.hashes[order], doc[order].astype(np.uint64)))
-    pairs = pairs[:, np.append(True, np.any(np.diff(pairs), axis=0))[: pairs.shape[1]]]
-    fold = rng.permutation(len(texts)) % folds
+    del order
+    pairs = pairs[:, np.append(True, (pairs[0, 1:] != pairs[0, :-1]) | (pairs[1, 1:] != pairs[1, :-1]))[: pairs.shape[1]]]
+    fold = rng.permutation(n_texts) % folds
     x_words = np.zeros((words.n, WORD_DIM), np.float32)
     for k in range(folds):
         other = fold[pairs[1].astype(np.int64)] != k
@@ -242,6 +246,10 @@ def _train(texts, toxic, epochs=6, batch=256, folds=4, seed=7) -> tuple[ToxicMod
         known = np.vstack((pairs[0][other], number[pairs[1][other].astype(np.int64)].astype(np.uint64)))
         mine = fold[doc] == k
         x_words[mine] = word_inputs(words.hashes[mine], *word_weights(known, toxic[fold != k]))
+        del other, number, known, mine
+    weights = word_weights(pairs, toxic)
+    del pairs, doc
+    words.hashes = None
 
     def inputs():
         x = np.concatenate((x_words, words.character_means(network.p["E"])), 1)
@@ -278,7 +286,7 @@ def _train(texts, toxic, epochs=6, batch=256, folds=4, seed=7) -> tuple[ToxicMod
         worth = np.concatenate([network.forward(x, start[i : i + 8192], end[i : i + 8192]) for i in range(0, len(start), 8192)])
     decided = np.maximum.reduceat(worth, heads)
     network.shift = _best_cut(decided, toxic[present])
-    return ToxicModel(*word_weights(pairs, toxic), network), decided, present
+    return ToxicModel(*weights, network), decided, present
 
 
 def _flat(part) -> tuple[np.ndarray, np.ndarray]:
@@ -358,6 +366,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     return [r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.float32)
 
 
+def _likely(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows whose key may be a known one: no known key is lost, and few others stay while keys are fewer than bits.
+
+    One hash per key marks a bit; the bits come to the driver and back as at most ``KEY_BITS / 32768`` bitmaps of 4 KB, whatever
+    the number of keys, so texts without a label are passed over before they are scored, and no text is shuffled."""
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(KEY_BITS))
+    marked = known.select((bit("_key") + 1).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
+    bits = np.zeros(KEY_BITS // 8, np.uint8)
+    for r in marked:
+        bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def pick(batches):
+        for batch in batches:
+            at = batch.column("_bit").to_numpy()
+            marks = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.drop_columns(["_bit"]).filter(pa.array(marks.astype(bool)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.withColumn("_bit", bit("_of")).mapInArrow(pick, schema)
+
+
 def score_bins(docs: DataFrame, labels: DataFrame, model: ToxicModel, trained: list, key: str = "doc_id", text: str = "text",
                label: str = "toxic", held_out_of: int = 5) -> dict[tuple[int, int], int]:
     """{(bin of the logit above the model's threshold, label 0/1): rows} of all labelled rows with words, whole, without the
@@ -369,7 +400,7 @@ def score_bins(docs: DataFrame, labels: DataFrame, model: ToxicModel, trained: l
     score = F.col("_score")
     logit = F.when(score >= 1, F.lit(float(BIN_SPAN))).otherwise(F.ln(score) - F.ln(1 - score))
     bin_ = F.least(F.greatest(F.floor(logit * BINS), F.lit(-BIN_SPAN * BINS)), F.lit(BIN_SPAN * BINS - 1)).cast("int")
-    found = score_toxicity(rows, model, "_text", keep=["_of"]).filter(score > 0).join(known, F.col("_of") == F.col("_key")) \
+    found = score_toxicity(_likely(rows, known), model, "_text", keep=["_of"]).filter(score > 0).join(known, F.col("_of") == F.col("_key")) \
         .groupBy(bin_.alias("bin"), (F.col("_label") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()
     return {(r["bin"], r["toxic"]): r["n"] for r in found}
 
@@ -390,14 +421,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     Rows that trained as a whole count with the score they had as unseen documents, all others with the model's own."""
     sample = _sample(docs, labels, key, text, label, max_rows, max_chars, held_out_of)
     toxic = np.array([r["_label"] for r in sample], np.float32)
-    model, decided, present = _train([r["_text"] for r in sample], toxic)
+    keys, whole, texts = [r["_key"] for r in sample], [r["_whole"] for r in sample], [r["_text"] for r in sample]
+    del sample
+    model, decided, present = _train(texts, toxic)
     if not len(decided):
         return model
-    counts = score_bins(docs, labels, model, [r["_key"] for r in sample if r["_whole"]], key, text, label, held_out_of)
+    counts = score_bins(docs, labels, model, [k for k, w in zip(keys, whole) if w], key, text, label, held_out_of)
     if counts:
         above = np.clip(np.floor((decided - model.network.shift) * BINS), -BIN_SPAN * BINS, BIN_SPAN * BINS - 1).astype(int)
         for b, i in zip(above.tolist(), present.tolist()):
-            if sample[i]["_whole"]:
+            if whole[i]:
                 pair = (b, int(toxic[i] > 0))
                 counts[pair] = counts.get(pair, 0) + 1
         if any(y for _, y in counts):
