@@ -85,7 +85,42 @@ def c2_advertiser(spark, sf):
     ).select("master_id", "bucket", F.round("value", 6).alias("value"))
 
 
-@query("C3_seasonality_of_cycles")
+# the spectrum of a 0/1 series from its intervals: geometric sums instead of a transform; the moving average is a factor per
+# bin, less the three of its values that lie outside the series
+C3_CYCLES_SQL = "with " + CYCLES_SQL + """,
+ordered as (select *, lag(e) over w as prev_end, min(s) over (partition by master_id) as first_start,
+    last_value(e) over (partition by master_id order by s, e, cycle_id rows between unbounded preceding and unbounded following) as last_end
+  from (select cycle_id, master_id, started as s, short_end as e from cycles where started is not null and short_end is not null and master_id is not null)
+  window w as (partition by master_id order by s, e, cycle_id)),
+sized as (select master_id, count(*) as cycles, max(date_diff('day', first_start, last_end)) as n from ordered group by 1),
+gaps as (select master_id, date_diff('day', first_start, prev_end) as lo, date_diff('day', first_start, s) as hi from ordered where s > prev_end),
+spans as (select z.*, cast(pow(2, ceil(log2(n))) as bigint) as nfft,
+    case when exists (select 1 from gaps g where g.master_id = z.master_id and g.lo <= 0 and g.hi > 0) then 0 else 1 end as x0,
+    case when exists (select 1 from gaps g where g.master_id = z.master_id and g.lo <= n - 1 and g.hi > n - 1) then 0 else 1 end as x1,
+    case when exists (select 1 from gaps g where g.master_id = z.master_id and g.lo <= n - 2 and g.hi > n - 2) then 0 else 1 end as x2
+  from sized z where cycles >= 4 and n >= 4),
+parts as (select master_id, 0 as lo, n as hi, 1 as sgn from spans union all select g.master_id, lo, hi, -1 from gaps g join spans using (master_id)),
+bins as (select *, unnest(range(0, nfft // 2 + 1)) as k from spans),
+summed as (select b.master_id, b.k, any_value(b.n) as n, any_value(b.nfft) as nfft, any_value(x0) as x0, any_value(x1) as x1, any_value(x2) as x2,
+    2 * pi() * b.k / any_value(b.nfft) as th, sum(sgn * (hi - lo)) as days,
+    sum(sgn * (cos(2 * pi() * ((lo * b.k) % nfft) / nfft) - cos(2 * pi() * ((hi * b.k) % nfft) / nfft))) as u,
+    sum(sgn * (sin(2 * pi() * ((hi * b.k) % nfft) / nfft) - sin(2 * pi() * ((lo * b.k) % nfft) / nfft))) as v
+  from bins b join parts p on p.master_id = b.master_id group by b.master_id, b.k),
+waves as (select *, case when k = 0 then days else (u * (1 - cos(th)) + v * sin(th)) / (2 - 2 * cos(th)) end as xr,
+    case when k = 0 then 0 else (v * (1 - cos(th)) - u * sin(th)) / (2 - 2 * cos(th)) end as xi,
+    1 - (2 * cos(th) + 1 + cos(2 * th)) / 4 as hr, sin(2 * th) / 4 as hi,
+    x0 / 4.0 * cos(th) + (x1 + x2) / 4.0 * cos(th * n) + x1 / 4.0 * cos(th * (n + 1)) as cr,
+    x0 / 4.0 * sin(th) - (x1 + x2) / 4.0 * sin(th * n) - x1 / 4.0 * sin(th * (n + 1)) as ci from summed),
+raw as (select master_id, k, nfft, pow(xr * hr - xi * hi + cr, 2) + pow(xr * hi + xi * hr + ci, 2) as p from waves),
+scaled as (select *, (p - min(p) over (partition by master_id)) / (max(p) over (partition by master_id) - min(p) over (partition by master_id)) as power from raw),
+best as (select master_id, arg_max(k, (floor(power * 1e9 + 0.5), -k)) as bin, regr_slope(power, (nfft - 2.0) / k) as slope, any_value(nfft) as nfft
+  from scaled where k > 0 and k < nfft // 2 group by 1)
+select z.master_id, coalesce(cast(abs(slope) > 0.001 as int), 0) as seasonal,
+  coalesce(round(case when abs(slope) > 0.001 then (nfft - 2.0) / bin end, 4), 0.0) as period, coalesce(round(slope, 6), 0.0) as slope
+from sized z left join best using (master_id)"""
+
+
+@query("C3_seasonality_of_cycles", C3_CYCLES_SQL)
 def c3_cycles(spark, sf):
     return plans.detect_cycle_seasonality(cycles(spark, sf), "master_id", "started", "short_end").select(
         "master_id", "seasonal", F.round("period", 4).alias("period"), F.round("slope", 6).alias("slope"))
@@ -164,13 +199,31 @@ def c4_adjacent(spark, sf):
         "key", "period", F.col("idx").cast("long"), "type")
 
 
-@query("C4_anomalies_by_lowess")
+def _lowess_sql(w: int, k: float, flagged: str) -> str:
+    """Pauses between peaks (also after the last) and points off a local regression, as (key, period, t)."""
+    return f"""with {SUPPLIER_SQL}, {Q.trimmed('series')}, {Q.detrended('core', 'det', w)}, {Q.spectrum('det', 'spec')}, {Q.best_bin('spec', 'best')},
+periods as (select k.key, {Q.period_ceil('b')} as period from (select distinct key from body) k left join best b on b.key = k.key),
+withp as (select s.key, s.t, s.x, p.period from body s join periods p on p.key = s.key),
+{Q.extrema('withp', 'ext')}, {Q.trend('withp', 'tr')}, {Q.lowess('tr', 'fit', 'coalesce(trend, x)')},
+late as (select e.key, e.t from (select key, t, lead(t) over (partition by key order by t) as nxt from ext where is_peak) e
+  join (select key, any_value(period) as period, count(*) as n from withp group by key) p on p.key = e.key
+  where coalesce((nxt - e.t) / period >= {k}, (n - e.t) / period >= 2.0)),
+off as (select tr.key, tr.t, tr.x, coalesce(tr.trend, tr.x) as trend, fit.smooth from tr join fit on fit.key = tr.key and fit.t = tr.t),
+hit as (select key, t from ({flagged}) union select key, t from late)"""
+
+
+@query("C4_anomalies_by_lowess", _lowess_sql(12, 2.0, """
+select key, t from (select *, abs(smooth - trend) as d, max(abs(smooth - trend)) over (partition by key) as m from off) where m > 0 and d / m > 0.8""") + """
+select h.key, p.period, cast(h.t as int) as idx, 'deviation' as type from hit h join periods p on p.key = h.key""")
 def c4_lowess(spark, sf):
     return plans.detect_anomalies(supplier_series(spark, sf), "key", w=12, threshold=0.8, method="lowess").select(
         "key", "period", "idx", "type")
 
 
-@query("C4_anomalies_by_lowess_signal")
+@query("C4_anomalies_by_lowess_signal", _lowess_sql(4, 1.5, """
+select key, t from (select *, abs(smooth - x) as d, stddev_pop(abs(smooth - x)) over (partition by key) as m from off) where m > 0 and d / m > 1.25""") + """
+select h.key, p.period, cast(min(h.t) as int) as idx, 'deviation' as type
+from (select *, t - row_number() over (partition by key order by t) as island from hit) h join periods p on p.key = h.key group by h.key, p.period, island""")
 def c4_lowess_signal(spark, sf):
     return plans.detect_anomalies(supplier_series(spark, sf), "key", threshold=1.25, method="lowess_signal").select(
         "key", "period", "idx", "type")
@@ -349,6 +402,19 @@ def c7_active(spark, sf):
     return active_rows(mart_rows(spark, sf)).select("idcampaign", "csr_year", "csr_month")
 
 
+@query("C7_change_types", f"""with {CUSTOMER_SQL},
+firsts as (select key, min(t) as t0 from series where x > 0 group by 1),
+lasts as (select s.key, s.t, max(b.t) as busy from series s join firsts f on f.key = s.key and s.t > f.t0
+  join series b on b.key = s.key and b.t < s.t and b.x > 0 group by 1, 2)
+select s.key, s.t, s.x as budget, coalesce(p.x, -1.0) as previous,
+  case when s.t = f.t0 then 'New' when s.x > 0 and p.x = 0 then 'Idle up' when s.x > p.x and s.x > 0 then 'Change up'
+    when s.x > 0 and s.x < p.x then 'Change down' when s.x > 0 then 'No change' when s.t - l.busy = 1 then 'Idle down' else 'Churn' end as change_type
+from series s join firsts f on f.key = s.key and s.t >= f.t0 left join series p on p.key = s.key and p.t = s.t - 1
+left join lasts l on l.key = s.key and l.t = s.t where s.x > 0 or s.t - l.busy <= 2""")
+def c7_change_types(spark, sf):
+    return plans.change_types(customer_series(spark, sf), "key").withColumn("previous", F.coalesce("previous", F.lit(-1.0)))
+
+
 C8_SQL = "with " + CYCLES_SQL + """,
 total as (select master_id from cycles group by 1 having max(cast(budget = 0 as int)) = 1 and sum(cast(budget as decimal(18,2))) = 0),
 zero as (select distinct master_id from cycles where budget = 0 and master_id not in (select master_id from total)),

@@ -17,10 +17,10 @@ COMMENTS_SQL = """comments as (
 @query("J1_left_join_three_keys", "with " + CYCLES_SQL + ", " + MART_SQL + """
 select c.cycle_id, c.budget, coalesce(r.clicks, 0) as clicks
 from cycles c left join (select idadvertiser, idcampaign_master, idcampaign, cast(sum(clicks) as bigint) as clicks
-  from mart where csr_year >= 1998 group by all) r using (idadvertiser, idcampaign_master, idcampaign)""")
+  from mart group by all) r using (idadvertiser, idcampaign_master, idcampaign)""")
 def j1(spark, sf):
     keys = ["idadvertiser", "idcampaign_master", "idcampaign"]
-    rolled = mart_rows(spark, sf).where(F.col("csr_year") >= 1998).groupBy(*keys).agg(F.sum("clicks").alias("clicks"))
+    rolled = mart_rows(spark, sf).groupBy(*keys).agg(F.sum("clicks").alias("clicks"))
     return J.left_join(cycles(spark, sf), rolled, keys).select(
         "cycle_id", "budget", F.coalesce("clicks", F.lit(0)).alias("clicks"))
 

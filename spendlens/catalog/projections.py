@@ -226,12 +226,21 @@ def p26(spark, sf):
     return clean.equal_share(months, "order_month", "ship_month")
 
 
-@query("P27_sample_keys")
+@query("P27_sample_keys", """
+select o_custkey, o_orderkey, o_totalprice from orders where o_custkey in (
+  select k from (select distinct o_custkey as k from orders) order by md5(cast(k as varchar) || ':7'), k limit 10)""")
 def p27(spark, sf):
     return clean.sample_keys(table(spark, sf, "orders"), "o_custkey", 10, seed=7).select(
         "o_custkey", "o_orderkey", "o_totalprice")
 
 
+@query("P27_sample_rows", """
+select o_orderkey, o_custkey, o_totalprice from orders
+where cast('0x' || substr(md5(cast(o_orderkey as varchar) || ':7'), 1, 8) as bigint) < 0.001 * 4294967296""")
+def p27_rows(spark, sf):
+    return clean.sample_rows(table(spark, sf, "orders"), "o_orderkey", 0.001, seed=7).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 @query("P28_one_key", """
 select o_orderkey, o_totalprice from orders join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING'""")
 def p28(spark, sf):

@@ -48,6 +48,16 @@ def t1_legacy(spark, sf):
     return _gap_totals(S.gap_series(cycles(spark, sf), "master_id", "started", "short_end", mode="legacy"))
 
 
+@query("T1_gap_intervals", "with " + CYCLES_SQL + """,
+ordered as (select master_id, s, e, lag(e) over (partition by master_id order by s, e, cycle_id) as prev_end,
+    min(s) over (partition by master_id) as first_start
+  from (select cycle_id, master_id, started as s, short_end as e from cycles where started is not null and short_end is not null))
+select master_id, date_diff('day', first_start, prev_end) as lo, date_diff('day', first_start, s) as hi from ordered where s > prev_end""")
+def t1_intervals(spark, sf):
+    spans = S.gap_intervals(cycles(spark, sf), "master_id", "started", "short_end")
+    return spans.select("master_id", F.inline("gaps")).select("master_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+
+
 HOURS_SQL = """seen as (select distinct user_id as key, cast(floor(epoch(ts) / 3600) as bigint) as h from events),
 hours as (select key, h0, unnest(range(h0, h1 + 1)) as h from (select key, min(h) as h0, max(h) as h1 from seen group by 1)),
 series as (select g.key, g.h - g.h0 as t, cast(case when s.h is null then 0 else 1 end as double) as x from hours g left join seen s using (key, h))"""
@@ -300,13 +310,21 @@ def t20(spark, sf):
     return N.collapse_runs(_flags(spark, sf), "key", relabel=False).select("key", "t", "type")
 
 
-@query("T21_lowess_deviation")
+LOWESS_SQL = SUP + WITH_PERIOD + f""", {Q.trend('withp', 'tr')}, {Q.lowess('tr', 'fit', 'coalesce(trend, x)')},
+off as (select tr.key, tr.t, tr.x, coalesce(tr.trend, tr.x) as trend, fit.smooth from tr join fit on fit.key = tr.key and fit.t = tr.t)"""
+
+
+@query("T21_lowess_deviation", LOWESS_SQL + """
+select key, t, round(smooth, 2) as smooth,
+  cast(coalesce(abs(smooth - trend) / nullif(max(abs(smooth - trend)) over (partition by key), 0), 0) > 0.8 as int) as flag from off""")
 def t21(spark, sf):
     return G.lowess_deviation(with_period(supplier_series(spark, sf)), "key").select(
         "key", "t", F.round("smooth", 2).alias("smooth"), "flag")
 
 
-@query("T22_lowess_against_signal")
+@query("T22_lowess_against_signal", LOWESS_SQL + """,
+scored as (select *, coalesce(abs(smooth - x) / nullif(stddev_pop(abs(smooth - x)) over (partition by key), 0), 0) as score from off)
+select key, t, round(score, 4) as score, cast(score > 1.25 as int) as flag from scored""")
 def t22(spark, sf):
     return G.lowess_deviation(with_period(supplier_series(spark, sf)), "key", threshold=1.25, against="signal").select(
         "key", "t", F.round("score", 4).alias("score"), "flag")
@@ -338,12 +356,44 @@ def t23_flag(spark, sf):
     return S.acf_flag(acf_rows(spark, sf), "key").select("key", "lags", "flag")
 
 
-@query("T24_partial_autocorrelation")
+@query("T24_partial_autocorrelation", ACF_SQL.replace("with ", "with recursive ", 1) + """,
+lists as (select key, list(r order by lag) as r from f group by key),
+durbin as (
+  select key, r, 0 as lag, 1.0::double as pacf, 1.0::double as err, cast([] as double[]) as phi from lists
+  union all
+  select key, r, lag + 1, last, err * (1 - last * last),
+    list_append(list_transform(list_zip(phi, list_reverse(phi)), lambda z: z[1] - last * z[2]), last)
+  from (select *, (r[lag + 2] - coalesce(list_inner_product(phi, list_reverse(r[2:lag + 1])), 0)) / err as last from durbin where lag + 1 < len(r)))
+select key, cast(lag as bigint) as lag, round(pacf, 6) as pacf from durbin""")
 def t24(spark, sf):
     return G.pacf(acf_rows(spark, sf), "key").select("key", "lag", F.round("pacf", 6).alias("pacf"))
 
 
-@query("T25_unit_root")
+# the regressors are taken out one after another; what is left of the squares gives the criterion of every number of lags at once
+UNIT_ROOT_SQL = SUP.replace("with ", "with recursive ", 1) + f""",
+gone as (select key, t, x - lag(x, 1) over w - lag(x, 12) over w + lag(x, 13) over w as z from series window w as (partition by key order by t)),
+lists as (select key, list(z order by t) as x, count(*) as len, greatest(0, count(*) // 2 - 3) as top from gone where z is not null group by key),
+steps as (select key, x, top, list_transform(list_zip(x[2:], x[1:len - 1]), lambda v: v[1] - v[2]) as dx, len - 1 as m from lists),
+full_design as (select key, m - top as n, dx[top + 1:] as y, list_concat([list_transform(dx[top + 1:], lambda v: 1.0::double), x[top + 1:m]],
+  list_transform(range(1, top + 1), lambda k: dx[top + 1 - k:m - k])) as cols from steps),
+{Q.partial_out('full_design', 'tried')},
+chosen as (select key, arg_min(step - 2, (n * ln(ss / n) + 2 * step, step)) as lags from tried where step >= 2 and n > step + 1 group by key),
+own_design as (select key, m - lags as n, dx[lags + 1:] as y, list_concat([list_transform(dx[lags + 1:], lambda v: 1.0::double)],
+  list_transform(range(1, lags + 1), lambda k: dx[lags + 1 - k:m - k]), [x[lags + 1:m]]) as cols from steps join chosen using (key)),
+{Q.partial_out('own_design', 'taken')},
+stats as (select key, n, lags, qy / sqrt(qq) / sqrt(ss / (n - lags - 2)) as s from taken join chosen using (key) where step = lags + 2),
+placed as (select *, case when s <= -1.61 then 2.1659 + 1.4412 * s + 0.038269 * s * s
+  else 1.7339 + 0.93202 * s - 0.12745 * s * s - 0.010368 * s * s * s end / sqrt(2) as z from stats),
+normal as (select key, sum(case when k % 2 = 0 then 1 else -1 end * exp((2 * k + 1) * ln(abs(z)) - lgamma(k + 1)) / (2 * k + 1)) * sign(any_value(z)) as part
+  from placed, (select unnest(range(0, 120)) as k) where abs(z) > 0 group by key)
+select key, n as n_obs, cast(lags as int) as lags, round(s, 4) as statistic,
+  round(case when s < -18.83 then 0 when s > 2.74 then 1 else 0.5 * (1 + 2 / sqrt(pi()) * coalesce(part, 0)) end, 6) as p_value,
+  round(-2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.040 / (n * n * n), 4) as crit_5,
+  cast(s < -2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.040 / (n * n * n) as int) as stationary
+from placed left join normal using (key)"""
+
+
+@query("T25_unit_root", UNIT_ROOT_SQL)
 def t25(spark, sf):
     diffed = W.difference(supplier_series(spark, sf), "key", "t", "x", d=1, seasonal_d=1, s=12)
     return G.adf(diffed, "key", "t", "diff").select(
@@ -367,10 +417,61 @@ def t26(spark, sf):
         F.col("bin").cast("long"), "seasonal")
 
 
-@query("T27_seasonal_forecast")
+AR_LAGS, MA_LAGS = G.product_lags(2, 1, 12), G.product_lags(1, 1, 12)
+LONG = max(AR_LAGS + MA_LAGS)
+DEEP = LONG + max(MA_LAGS)
+
+
+def _with_units(cols: str, n: str, k: int) -> str:
+    """Columns, each with a unit vector of its own behind it."""
+    return f"list_transform({cols}, lambda c, i: list_concat(c, list_transform(range(1, {k + 1}), lambda j: case when i = j then 1.0::double else 0.0::double end)))"
+
+
+def _regressors(lags, source: str, start: int) -> str:
+    return ", ".join(f"{source}[{start - k + 1}:len - {k}]" for k in lags)
+
+
+def _zeros(k: int) -> str:
+    return "[" + ", ".join(["0.0::double"] * k) + "]"
+
+
+def _ones(start: int) -> str:
+    return f"list_transform(z[{start + 1}:], lambda v: 1.0::double)"
+
+
+ROWS = len(AR_LAGS) + len(MA_LAGS) + 1
+ROUNDS = 12
+PAST = " + ".join([f"c[{i + 1}] * zs[len(zs) - {k - 1}]" for i, k in enumerate(AR_LAGS)]
+                  + [f"c[{len(AR_LAGS) + i + 1}] * es[len(es) - {k - 1}]" for i, k in enumerate(MA_LAGS)])
+FORECAST_SQL = SUP.replace("with ", "with recursive ", 1) + f""",
+gone as (select key, t, x - lag(x, 1) over w - lag(x, 12) over w + lag(x, 13) over w as z from series window w as (partition by key order by t)),
+lists as (select key, list(z order by t) filter (z is not null) as z, count(z) as len, list(s.x order by t) as xs, max(t) as last_t
+  from gone join series s using (key, t) group by key),
+long_design as (select key, len - {LONG} as n, list_concat(z[{LONG + 1}:], {_zeros(LONG + 1)}) as y,
+  {_with_units(f"[{_regressors(range(1, LONG + 1), 'z', LONG)}, {_ones(LONG)}]", 'n', LONG + 1)} as cols from lists),
+{Q.partial_out('long_design', 'long_fit')},
+noisy as (select l.*, list_concat({_zeros(LONG)}, f.y[1:f.n]) as e from lists l join long_fit f on f.key = l.key and f.step = {LONG + 1}),
+design as (select key, len - {DEEP} as n, list_concat(z[{DEEP + 1}:], {_zeros(ROWS)}) as y,
+  {_with_units(f"[{_regressors(AR_LAGS, 'z', DEEP)}, {_regressors(MA_LAGS, 'e', DEEP)}, {_ones(DEEP)}]", 'n', ROWS)} as cols from noisy),
+{Q.partial_out('design', 'model')},
+solved as (select o.*, list_transform(m.y[m.n + 1:], lambda v: -v) as c, m.y[1:m.n] as resid from noisy o join model m on m.key = o.key and m.step = {ROWS}),
+ahead as (
+  select key, 0 as h, c, z as zs, e as es, xs, last_t from solved
+  union all
+  select key, h + 1, c, list_append(zs, step), list_append(es, 0.0::double), list_append(xs, step + xs[len(xs)] + xs[len(xs) - 11] - xs[len(xs) - 12]), last_t
+  from (select *, c[{ROWS}] + {PAST} as step from ahead where h < {ROUNDS})),
+fitted as (select key, last_t - len(resid) + i as t, xs[len(xs) - len(resid) + i] - resid[i] as value from (select *, unnest(range(1, len(resid) + 1)) as i from solved)),
+future as (select key, last_t + i as t, xs[len(xs) - {ROUNDS} + i] as value, i from (select *, unnest(range(1, {ROUNDS + 1})) as i from ahead where h = {ROUNDS})),
+ends as (select f.key, f.value as last_fit, u.value as first from fitted f join future u on u.key = f.key and u.i = 1 and f.t = u.t - 1)"""
+
+
+@query("T27_seasonal_forecast", FORECAST_SQL + """
+select key, t, 'fitted' as kind, round(value) as value, 'ok' as status from fitted
+union all select key, t, 'forecast', round(value), 'ok' from future
+union all select key, t, 'joined', round(value - first + last_fit), 'ok' from future join ends using (key)""")
 def t27(spark, sf):
-    return G.seasonal_forecast(supplier_series(spark, sf), "key", s=12, h=12).select(
-        "key", "t", "kind", F.round("value", 2).alias("value"), "status")
+    out = G.seasonal_forecast(supplier_series(spark, sf), "key", s=12, h=12, q=1, seasonal_q=1)
+    return out.select("key", "t", "kind", F.round("value").alias("value"), "status")
 
 
 @query("T28_spectral_peaks", SPEC_SQL + """
@@ -409,7 +510,5 @@ def l5(spark, sf):
 
 @query("U3_peaks_and_troughs", CUS + f", {Q.extrema('series', 'ext')} select key, t, case when is_peak then 'peak' else 'trough' end as kind from ext where is_peak or is_trough")
 def u3(spark, sf):
-    marked = N.mark_extrema(customer_series(spark, sf), "key", "t", "x")
-    peaks = marked.where("is_peak").select("key", "t", F.lit("peak").alias("kind"))
-    troughs = marked.where("is_trough").select("key", "t", F.lit("trough").alias("kind"))
-    return peaks.unionByName(troughs).orderBy("key", "t")
+    marked = N.mark_extrema(customer_series(spark, sf), "key", "t", "x").where(F.col("is_peak") | F.col("is_trough"))
+    return marked.select("key", "t", F.when(F.col("is_peak"), "peak").otherwise("trough").alias("kind")).orderBy("key", "t")

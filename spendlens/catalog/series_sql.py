@@ -107,3 +107,43 @@ flags as ({deviations('tr', threshold)}
 final as (select key, t, type, ratio from flags qualify row_number() over (partition by key, t order by type desc) = 1),
 runs as ({collapsed('final')})
 """
+
+
+def lowess(src: str, out: str, value: str = "trend", frac: float = 0.75, passes: int = 3) -> str:
+    """(key, t, smooth) of (key, t, value): every local line as plain weighted sums over its window, once more per pass."""
+    text = f"""{out}_s as (select key, t, {value} as y, count(*) over (partition by key) as n,
+  cast(least(count(*) over (partition by key), greatest(2, floor({frac} * count(*) over (partition by key) + 1e-10))) as bigint) as near from {src}),
+{out}_w as (select *, greatest(0, least(t - (near - 1) // 2, n - near)) as lo from {out}_s),
+{out}_v as (select *, greatest(t - lo, lo + near - 1 - t, 1) as reach from {out}_w),
+{out}_k as (select a.key, a.t, a.y as here, b.t as u, b.y, cast(abs(b.t - a.t) as double) / a.reach as share
+  from {out}_v a join {out}_v b on b.key = a.key and b.t >= a.lo and b.t < a.lo + a.near),
+{out}_t as (select *, case when share <= 0.001 then 1.0 when share < 0.999 then pow(1 - pow(share, 3), 3) else 0.0 end as tri from {out}_k),
+{out}_r0 as (select key, t, 1.0::double as robust from {out}_s)"""
+    for i in range(passes + 1):
+        text += f""",
+{out}_m{i} as (select w.key, w.t, any_value(here) as here, sum(tri * robust) as s0, sum(tri * robust * (u - w.t)) as s1, sum(tri * robust * pow(u - w.t, 2)) as s2,
+    sum(tri * robust * y) as y0, sum(tri * robust * y * (u - w.t)) as y1 from {out}_t w join {out}_r{i} r on r.key = w.key and r.t = w.u group by 1, 2),
+{out}_f{i} as (select key, t, here, case when s0 <= 1e-12 then here when s2 / s0 - pow(s1 / s0, 2) <= 1e-12 then y0 / s0
+    else (s2 * y0 - s1 * y1) / (s0 * s2 - s1 * s1) end as smooth from {out}_m{i}),
+{out}_c{i} as (select *, 6 * median(abs(here - smooth)) over (partition by key) as scale, greatest(1.0, max(abs(here)) over (partition by key)) as size from {out}_f{i}),
+{out}_r{i + 1} as (select c.key, c.t, case when scale <= 1e-12 * size then r.robust when abs(here - smooth) / scale <= 0.001 then 1.0
+    when abs(here - smooth) / scale < 0.999 then pow(1 - pow(abs(here - smooth) / scale, 2), 2) else 0.0 end as robust
+  from {out}_c{i} c join {out}_r{i} r on r.key = c.key and r.t = c.t)"""
+    return text + f""",
+{out} as (select key, t, smooth from {out}_f{passes})"""
+
+
+def partial_out(src: str, out: str) -> str:
+    """Recursion (key, step, n, cols, y, ss, qy, qq) over (key, n, cols, y): one column after another is taken out of those behind it
+    and out of y. Only the first n entries of a column are data; what is appended to them goes along, so that unit vectors behind the
+    columns collect the coefficients (negative) behind y."""
+    dot = lambda a, b: f"list_inner_product({a}[1:n], {b}[1:n])"
+    minus = lambda a, f: f"list_transform(list_zip({a}, cols[1]), lambda z: z[1] - ({f}) * z[2])"
+    return f"""{out} as (
+  select key, 0 as step, n, cols, y, {dot('y', 'y')} as ss, 0.0::double as qy, 0.0::double as qq from {src}
+  union all
+  select key, step + 1, n, list_transform(held, lambda c: list_transform(list_zip(c.v, q), lambda z: z[1] - c.f * z[2])), rest, {dot('rest', 'rest')}, qy1, qq1 from (
+    select key, step, n, cols[1] as q, {dot('cols[1]', 'cols[1]')} as qq1, {dot('y', 'cols[1]')} as qy1,
+      list_transform(cols[2:], lambda c: {{'v': c, 'f': {dot('c', 'cols[1]')} / {dot('cols[1]', 'cols[1]')}}}) as held,
+      {minus('y', f"{dot('y', 'cols[1]')} / {dot('cols[1]', 'cols[1]')}")} as rest
+    from {out} where len(cols) > 0))"""

@@ -14,27 +14,34 @@ from .windows import along, islands, moving_average, rolling_std_filled, run_id,
 ZERO_FLOOR = 10.0  # fixed value: budgets below this count as zero
 
 
+def next_marked(col: str, mark: str, key: str, t: str) -> Column:
+    """``col`` of the next row of the key at which ``mark`` holds (null: none)."""
+    return F.expr(f"lead(if(`{mark}`, {col}, null), 1) ignore nulls over (partition by `{key}` order by `{t}`)")
+
+
 def mark_extrema(df: DataFrame, key: str, t: str = "t", x: str = "x") -> DataFrame:
     """Add ``is_peak`` and ``is_trough``: strict local extremes, a plateau at its middle
-    (rounded down), never at the ends of the series."""
+    (rounded down), never at the ends of the series.
+
+    All in the order of the series: the begin of a row's plateau is the last begin up to the row, its end the next end.
+    """
     order = along(key, t)
-    runs = run_id(
-        df.withColumns({"_before": F.lag(x).over(order), "_after": F.lead(x).over(order)}), key, t, x, "_run"
-    )
-    plateau = whole([key, "_run"])
-    first, last = F.min(t).over(plateau), F.max(t).over(plateau)
-    placed = runs.withColumns({
-        "_mid": F.floor((first + last) / 2),
-        # only the ends of a plateau have a different neighbour
-        "_in": F.max(F.when(F.col("_before") != F.col(x), F.col("_before"))).over(plateau),
-        "_out": F.max(F.when(F.col("_after") != F.col(x), F.col("_after"))).over(plateau),
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    beside = df.withColumns({"_before": F.lag(x).over(order), "_after": F.lead(x).over(order), "_row": F.row_number().over(order)})
+    beside = beside.withColumns({
+        "_begins": (F.col("_row") == 1) | ~F.col("_before").eqNullSafe(F.col(x)),
+        "_ends": F.lead(F.lit(1)).over(order).isNull() | ~F.col("_after").eqNullSafe(F.col(x)),
     })
-    here = F.col(t) == F.col("_mid")
-    peak = here & (F.col(x) > F.col("_in")) & (F.col(x) > F.col("_out"))
-    trough = here & (F.col(x) < F.col("_in")) & (F.col(x) < F.col("_out"))
+    placed = beside.withColumns({
+        "_first": F.last(F.when(F.col("_begins"), F.struct(F.col(t).alias("t"), F.col("_before").alias("x"))), ignorenulls=True).over(upto),
+        "_next": next_marked(f"struct(`{t}` as t, _after as x)", "_ends", key, t),
+    }).withColumn("_last", F.when(F.col("_ends"), F.struct(F.col(t).alias("t"), F.col("_after").alias("x"))).otherwise(F.col("_next")))
+    here = F.col(t) == F.floor((F.col("_first.t") + F.col("_last.t")) / 2)
+    peak = here & (F.col(x) > F.col("_first.x")) & (F.col(x) > F.col("_last.x"))
+    trough = here & (F.col(x) < F.col("_first.x")) & (F.col(x) < F.col("_last.x"))
     return placed.withColumns({
         "is_peak": F.coalesce(peak, F.lit(False)), "is_trough": F.coalesce(trough, F.lit(False)),
-    }).drop("_before", "_after", "_run", "_mid", "_in", "_out")
+    }).drop("_before", "_after", "_row", "_begins", "_ends", "_first", "_next", "_last")
 
 
 def find_peaks(df: DataFrame, key: str, t: str = "t", x: str = "x", sign: int = 1) -> DataFrame:
@@ -59,7 +66,7 @@ def peak_amplitudes(df: DataFrame, key: str, t: str = "t", x: str = "x", w: int
 
 def season_flag(key: str, t: str, period: str, k: float) -> Column:
     """True at a peak whose next peak is at least ``k`` periods away."""
-    nxt = F.lead(t).over(along([key, "is_peak"], t))
+    nxt = next_marked(f"`{t}`", "is_peak", key, t)
     return F.col("is_peak") & ((nxt - F.col(t)) / F.col(period) >= k)
 
 
@@ -69,7 +76,7 @@ def mark_pauses(df: DataFrame, key: str, period: str = "period", t: str = "t", x
     also a last peak at least ``tail_k`` periods from the end."""
     marked = mark_extrema(df, key, t, x).withColumns({
         "_n": F.count("*").over(whole(key)),
-        "_next": F.lead(t).over(along([key, "is_peak"], t)),
+        "_next": next_marked(f"`{t}`", "is_peak", key, t),
     })
     late = (F.col("_next") - F.col(t)) / F.col(period) >= k
     if tail:
@@ -85,14 +92,15 @@ def season_deviation(df: DataFrame, key: str, period: str = "period", t: str = "
     return mark_pauses(df, key, period, t, x, k, tail, tail_k).where("is_late").select(key, t)
 
 
-def decomposition_trend(df: DataFrame, keys: list[str], t: str, x: str, period: str) -> DataFrame:
+def decomposition_trend(df: DataFrame, keys: list[str], t: str, x: str, period: str, n: Column | None = None) -> DataFrame:
     """Add ``trend``, missing at the edges, and the columns ``_n`` (length), ``_p`` (period in
     use) and ``_u`` (an order-preserving scale of ``t``).
 
     The frame of a centred mean of per-key width is a range frame: points within half a
     period are those within 1 on the scale 2t / (2h + 1), never on its border.
+    ``n`` is the length of the series, if a column has it already.
     """
-    sized = df.withColumn("_n", F.count("*").over(whole(keys)))
+    sized = df.withColumn("_n", F.count("*").over(whole(keys)) if n is None else n)
     wanted = F.when(F.col("_n") <= F.col(period), F.col("_n") - 1).otherwise(F.col(period))
     scaled = sized.withColumn("_p", wanted.cast("int"))
     half = F.floor(F.col("_p") / 2)
@@ -135,9 +143,9 @@ def decompose(df: DataFrame, key: str, period: str = "period", t: str = "t", x:
     )
 
 
-def trend_columns(df: DataFrame, keys: list[str], t: str, x: str, period: str, w: int) -> DataFrame:
+def trend_columns(df: DataFrame, keys: list[str], t: str, x: str, period: str, w: int, n: Column | None = None) -> DataFrame:
     """Add ``trend`` (edges filled), ``deviation`` from it and its ``rolling_std``."""
-    parts = decomposition_trend(df, keys, t, x, period)
+    parts = decomposition_trend(df, keys, t, x, period, n)
     parts = parts.withColumn("trend", filled_trend(keys))
     parts = parts.withColumn("deviation", F.col(x) - F.col("trend"))
     # the order of _u is that of t, and the rows are sorted by it already
@@ -187,17 +195,19 @@ def detect_flags(df: DataFrame, key: str, period: str = "period", t: str = "t",
     read once. Where several rules hit one point the last type in alphabetical order wins
     (``zero`` over ``season`` over ``increase`` and so on) with its own ratio.
     """
+    # everything in the order of the series first, so that order is made once
     marked = mark_extrema(df, key, t, x).withColumn("is_ext", F.col("is_peak") | F.col("is_trough"))
-    trended = trend_columns(marked, [key], t, x, period, w).withColumn("_trend_hit", F.struct(
-        deviation_type(threshold).alias("type"), deviation_ratio().alias("ratio")
-    )).drop("trend", "deviation", "rolling_std")
-    # the other points form a group of their own, kept cheap by the shortest period
-    staged = trended.withColumns({
-        "_season": season_flag(key, t, period, k),
-        "_ord": F.row_number().over(along([key, "is_ext"], t)) - 1,
+    ordinal = F.count_if("is_ext").over(along(key, t).rowsBetween(Window.unboundedPreceding, 0)) - 1
+    staged = marked.withColumns({"_all": F.count("*").over(whole(key)), "_exts": F.count_if("is_ext").over(whole(key))}).withColumns({
+        "_season": season_flag(key, t, period, k), "_ord": F.when(F.col("is_ext"), ordinal).otherwise(F.col(t)),
+        # the other points form a group of their own, in their own order and kept cheap by the shortest period
         "_ext_period": F.when(F.col("is_ext"), F.col(period)).otherwise(F.lit(1.0)),
+        "_own": F.when(F.col("is_ext"), F.col("_exts")).otherwise(F.col("_all") - F.col("_exts")),
     })
-    amped = trend_columns(staged, [key, "is_ext"], "_ord", x, "_ext_period", w)
+    trended = trend_columns(staged, [key], t, x, period, w, F.col("_all")).withColumn("_trend_hit", F.struct(
+        deviation_type(threshold).alias("type"), deviation_ratio().alias("ratio")
+    )).drop("trend", "deviation", "rolling_std")
+    amped = trend_columns(trended, [key, "is_ext"], "_ord", x, "_ext_period", w, F.col("_own"))
     amp_hit = F.when(F.col("is_ext"), F.struct(
         deviation_type(threshold, "amp_").alias("type"), deviation_ratio().alias("ratio")
     ))
@@ -231,17 +241,20 @@ def collapse_runs(flags: DataFrame, key: str, t: str = "t", mode: str = "islands
 
 
 def collapse_in_place(flags: DataFrame, key: str, t: str = "t", offline_from: int = 2) -> DataFrame:
-    """The ``islands`` rule as windows on the partitioning the flags already have."""
-    per_type = along([key, "type"], t)
-    numbered = flags.withColumn("_island", F.col(t) - F.row_number().over(per_type))
-    isle = whole([key, "type", "_island"])
-    sized = numbered.withColumns({"_first": F.min(t).over(isle), "_size": F.count("*").over(isle)})
-    offline = (F.col("type") == "zero") & (F.col("_size") >= offline_from)
-    return (
-        sized.where(F.col(t) == F.col("_first"))
-        .withColumn("type", F.when(offline, "offline").otherwise(F.col("type")))
-        .select(*flags.columns)
-    )
+    """The ``islands`` rule for flags of which a point has one at most, in the order of the key alone.
+
+    A run begins where the point before has no flag of the same type, and is long enough for ``offline`` if the
+    flag ``offline_from - 1`` rows on stands as many points on, and all between have its type.
+    """
+    order = along(key, t)
+    follows = F.coalesce((F.lag(t).over(order) == F.col(t) - 1) & (F.lag("type").over(order) == F.col("type")), F.lit(False))
+    long = F.lit(True)
+    for i in range(1, offline_from):
+        long = long & F.coalesce((F.lead(t, i).over(order) == F.col(t) + i) & (F.lead("type", i).over(order) == F.col("type")), F.lit(False))
+    marked = flags.withColumns({"_follows": follows, "_long": long})
+    offline = (F.col("type") == "zero") & F.col("_long")
+    return marked.where(~F.col("_follows")).withColumn(
+        "type", F.when(offline, "offline").otherwise(F.col("type"))).select(*flags.columns)
 
 
 def _collapse_adjacent(flags: DataFrame, key: str, t: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.numbers import bin_frequency, bin_period, dominant, next_pow2
 from .keyed import aggregate_apart
-from .windows import along, cycle_steps, whole
+from .windows import along, start_days, whole
 
 CELLS = 1 << 20  # values that one stack of transforms may hold
 TIE_DIGITS = 9  # powers that agree to this many places count as equal; the lower bin wins
@@ -30,13 +30,14 @@ def gap_intervals(df: DataFrame, key: str, start: str = "started", end: str = "e
     ``exact`` puts a gap where it happened, between the previous end and the next start;
     ``legacy`` puts it after the cycle that follows it. Dates must be in order.
     """
-    steps = cycle_steps(df, key, start, end, id_)
+    days = start_days(df, key, start, end)
+    # only the first cycle of a day can begin after a gap: those behind it follow an end that is not before their start
     gap = F.datediff(start, "prev_end")
-    lo = F.datediff("prev_end", "first_start") if mode == "exact" else F.datediff(end, "first_start")
+    lo = F.datediff("prev_end", "first_start") if mode == "exact" else F.datediff("first_end", "first_start")
     pieces = F.collect_list(F.when(gap > 0, F.struct(lo.alias("lo"), (lo + gap).alias("hi"))))
-    return steps.groupBy(key).agg(
+    return days.groupBy(key).agg(
         F.sum("copies").alias("cycles"),
-        F.max_by(F.datediff(end, "first_start"), F.struct(start, end)).alias("length"),
+        F.max_by(F.datediff("last_end", "first_start"), F.col(start)).alias("length"),
         F.array_sort(pieces).alias("gaps"),
     )
 
@@ -164,12 +165,14 @@ def period_fit(xs: Column, w: int | None = None) -> Column:
 
 
 def power_spectrum(df: DataFrame, key: str, t: str = "t", x: str = "x", grid: str = "span",
-                   w: int | None = None) -> DataFrame:
-    """Rows (key, nfft, bin, freq, period, power); flat and one-point series have none."""
+                   w: int | None = None, flat: bool = False) -> DataFrame:
+    """Rows (key, nfft, bin, freq, period, power); flat and one-point series have none, or with
+    ``flat`` one row without a bin."""
     spectra = series_arrays(df, key, t, x).select(
         key, array_nfft(F.col("xs")).alias("nfft"), half_power(F.col("xs"), w).alias("ps")
     )
-    return spectra.select(key, "nfft", F.posexplode("ps").alias("bin", "power")).select(
+    unfold = F.posexplode_outer if flat else F.posexplode
+    return spectra.select(key, "nfft", unfold("ps").alias("bin", "power")).select(
         key, "nfft", "bin", bin_frequency(F.col("bin"), F.col("nfft")).alias("freq"),
         bin_period(F.col("bin"), F.col("nfft"), grid).alias("period"), "power",
     )
@@ -284,9 +287,9 @@ def spectral_cv(spectrum: DataFrame, key: str) -> DataFrame:
     )
 
 
-def detrended_spectrum(df: DataFrame, key: str, t: str = "t", x: str = "x", w: int = 4) -> DataFrame:
+def detrended_spectrum(df: DataFrame, key: str, t: str = "t", x: str = "x", w: int = 4, flat: bool = False) -> DataFrame:
     """Spectrum of the series less its moving average."""
-    return power_spectrum(df, key, t, x, w=w)
+    return power_spectrum(df, key, t, x, w=w, flat=flat)
 
 
 def _lag_sums(at: pd.Series, c: pd.Series, i: pd.Series, j: pd.Series, block: int, cells: int) -> pd.DataFrame:
@@ -326,7 +329,7 @@ def _lag_sums(at: pd.Series, c: pd.Series, i: pd.Series, j: pd.Series, block: in
 
 
 def acf(df: DataFrame, key: str, t: str = "t", x: str = "x", nlags: int | None = None,
-        z: float = 1.959963984540054, block: int = 4096) -> DataFrame:
+        z: float = 1.959963984540054, block: int = 65_536) -> DataFrame:
     """Autocorrelation with Bartlett's standard error and a flag, at lags 0 .. n - 1, or 0 .. ``nlags``.
 
     ``t`` must count the rows of a key from 0. A key is cut into blocks of time, and every

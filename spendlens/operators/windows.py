@@ -27,23 +27,39 @@ def whole(key: str | list[str]):
 # --- cycle rows ---------------------------------------------------------------------------
 
 
+def start_days(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """One row per (key, start date): the first and the last end, the number of cycles, the last end
+    of the start date before (``prev_end``), and the key's first start.
+
+    A key has at most one row per calendar day here, whatever the number of its cycles; only these rows are windowed per key.
+    """
+    days = (
+        df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
+        .groupBy(key, start).agg(F.min(end).alias("first_end"), F.max(end).alias("last_end"), F.count("*").alias("copies"))
+    )
+    order = along(key, start)
+    return days.withColumns({
+        "prev_end": F.lag("last_end").over(order),
+        "first_start": F.first(start).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+
+
 def cycle_steps(df: DataFrame, key: str, start: str, end: str, id_: str) -> DataFrame:
     """Distinct (key, start, end) with the end before them, the first id among their copies
-    and the number of copies.
+    and the key's first start.
 
-    In the order (start, end, id) only the first copy of a pair of dates can follow another
-    pair; the others follow a copy of themselves. So one row per pair carries the whole
-    answer. A key has at most one row per pair of calendar dates, so their number is bounded
-    by the square of the calendar, whatever the number of cycles.
+    In the order (start, end, id) only the first copy of a pair of dates can follow another pair; the others follow a copy
+    of themselves. What a pair follows is the pair before it of the same start date, or the last end of the start date before.
     """
-    steps = (
+    pairs = (
         df.where(F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
-        .groupBy(key, start, end).agg(F.min(id_).alias("first_id"), F.count("*").alias("copies"))
+        .groupBy(key, start, end).agg(F.min(id_).alias("first_id"))
+        .withColumn("_same_day", F.lag(end).over(along([key, start], end)))
     )
-    return steps.withColumns({
-        "prev_end": F.lag(end).over(along(key, start, end)),
-        "first_start": F.min(start).over(whole(key)),
-    })
+    days = start_days(df, key, start, end).select(
+        F.col(key).alias("_key"), F.col(start).alias("_start"), F.col("prev_end").alias("_day_before"), "first_start")
+    return pairs.join(days, (F.col(key) == F.col("_key")) & (F.col(start) == F.col("_start"))).select(
+        key, start, end, "first_id", "first_start", F.coalesce("_same_day", "_day_before").alias("prev_end"))
 
 
 def cycle_gaps(df: DataFrame, key: str, start: str = "started", end: str = "ended",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_sum, unless
 from ..operators.joins import keep_keys
 from ..operators.positions import keyed_positions
 from ..operators.spectral import acf, acf_flag
+from ..operators.windows import along
 
 # fixed values: labels of the budget changes of a month
 CHANGE_TYPES = ("Change down", "Change up", "Churn", "Idle down", "Idle up", "New", "No change")
@@ -59,6 +60,30 @@ def churn_profile(df: DataFrame, key: str = "idadvertiser", change: str = "adv_c
     return found.unionByName(zeros).groupBy("section", "item").agg(F.sum("n").alias("keys"))
 
 
+def change_types(series: DataFrame, key: str, t: str = "t", x: str = "x", grace: int = 1) -> DataFrame:
+    """Rows (key, t, budget, previous, change_type): what each month did to an advertiser's budget.
+
+    ``series`` has one row per key and month, zero where nothing was booked. A key starts with ``New`` in its
+    first month with a budget. From then on a month with a budget is ``Change up``, ``Change down`` or ``No change``
+    against the month before, or ``Idle up`` if that had none. The first month without a budget is ``Idle down``; the month in which more
+    than ``grace`` months have passed without one is ``Churn``. Further idle months, and those before the first budget,
+    have no row. Null values count as zero, rows without a key are left out; a key without any budget has no row.
+    """
+    order = along(key, t)
+    spent = F.coalesce(F.col(x), F.lit(0.0))
+    active = F.when(spent > 0, F.col(t))
+    seen = series.where(F.col(key).isNotNull()).select(key, t, spent.alias("budget"), active.alias("_active")).withColumns({
+        "previous": F.lag("budget").over(order), "_last": F.last("_active", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    idle = F.col(t) - F.col("_last")
+    kind = (
+        F.when(F.col("_active").isNotNull(), F.when(F.col("_last").isNull(), "New").when(F.col("previous") <= 0, "Idle up")
+               .when(F.col("budget") > F.col("previous"), "Change up").when(F.col("budget") < F.col("previous"), "Change down").otherwise("No change"))
+        .when(idle == 1, "Idle down").when(idle == grace + 1, "Churn")
+    )
+    return seen.withColumn("change_type", kind).where(F.col("change_type").isNotNull()).select(key, t, "budget", "previous", "change_type")
+
+
 def zero_budget_profile(df: DataFrame, key: str, budget: str, order: list[str],
                         nlags: int | None = None, mode: str = "band") -> DataFrame:
     """Rows (key, n, lags, flag): advertisers with a zero budget somewhere, but not in total,

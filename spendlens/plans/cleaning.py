@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import unless
-from ..operators.aggregates import mode_of
 from ..operators.clean import fill_end_date, fill_mode, order_dates, with_duration
 from ..operators.joins import drop_keys
 
@@ -26,5 +25,8 @@ def clean_cycles(df: DataFrame, cutoff: str, key: str = "master_id", offer: str
     bad = F.col(offer).isNull() | (usable & F.col(start).isNull())
     listed = ordered.where(bad & F.col(key).isNotNull()).select(key)
     kept = drop_keys(ordered.where(usable), listed, key)
-    usual = mode_of(kept, "duration").scalar()
+    # the most frequent duration of the rows kept, from counts per key: the rows themselves are joined once
+    counts = ordered.where(usable & F.col("duration").isNotNull()).groupBy(key, "duration").agg(F.count("*").alias("_n"))
+    usual = drop_keys(counts, listed, key).groupBy("duration").agg(F.sum("_n").alias("_n")) \
+        .orderBy(F.desc("_n"), F.asc("duration")).limit(1).select("duration").scalar()
     return fill_mode(fill_end_date(kept, start, end, mode=usual), "duration", usual)

@@ -16,9 +16,12 @@ ROLLUP_SUMS = ("clicks", "calls", "impressions", "qualified_calls", "emails", "c
                "stop_request", "businessuser", "system")
 
 
-def tidy_mart(raw: DataFrame, suffix: str = "_varchar") -> DataFrame:
-    """Rows without the null marker, numbers as numbers, plain column names."""
-    return promote_numeric(drop_marker_rows(strip_suffix_names(raw, suffix)))
+def tidy_mart(raw: DataFrame, suffix: str = "_varchar", numeric: list[str] | None = None) -> DataFrame:
+    """Rows without the null marker, numbers as numbers, plain column names.
+
+    With ``numeric``, the plain names of the columns that are numbers, the source is read once.
+    """
+    return promote_numeric(drop_marker_rows(strip_suffix_names(raw, suffix)), numeric)
 
 
 def campaign_rollup(mart: DataFrame, keys: tuple = ROLLUP_KEYS, sums: tuple = ROLLUP_SUMS,

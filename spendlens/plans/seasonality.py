@@ -19,9 +19,9 @@ def detect_series_seasonality(df: DataFrame, key: str, t: str = "t", x: str = "x
     """
     if test == "slope":
         return seasonal_slope_of_arrays(series_arrays(df, key, t, x), key, "xs", w, threshold)
-    tested = ks_uniform(detrended_spectrum(df, key, t, x, w), key)
+    tested = ks_uniform(detrended_spectrum(df, key, t, x, w, flat=True), key)
     period = F.when(F.col("seasonal") == 1, (F.col("nfft") - 2) / F.nullif(F.col("bin"), F.lit(0)))
-    return df.select(key).distinct().join(tested, key, "left").select(
+    return tested.select(
         key, F.coalesce("seasonal", F.lit(0)).alias("seasonal"),
         F.coalesce(period, F.lit(0.0)).alias("period"), F.lit(0.0).alias("slope"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.text import strip_suffix_names
-from ..operators.positions import global_positions
+from ..operators.ranks import not_before, tuple_at_rank
 
 FIELD_MARK = "\u0001"  # fixed value: separator of the mart export
 
@@ -63,13 +63,16 @@ def head_rows(df: DataFrame, n: int, order_by: list[str | Column]) -> DataFrame:
 
 
 def row_range(df: DataFrame, lo: int, n: int, order_by: list[str]) -> DataFrame:
-    """Rows ``lo .. lo+n-1`` of the sorted table; ``order_by`` must end in a unique column.
+    """Rows ``lo .. lo+n-1`` of the table in ascending order (nulls first); ``order_by`` must end in a unique column.
 
-    A limit with a large offset would send ``lo + n`` rows through one task, so the
-    rows are numbered where they lie instead.
+    The rows at both ends are selected by rank, and the range is a filter between them: the table
+    is neither sorted nor numbered nor stored, however far inside the range lies.
     """
-    numbered = global_positions(df, order_by, "_pos")
-    return numbered.where(F.col("_pos").between(lo, lo + n - 1)).drop("_pos")
+    first, stop = (tuple_at_rank(df, order_by, at) for at in (lo, lo + n))
+    if first is None or n <= 0:
+        return df.where(F.lit(False))
+    inside = df.where(not_before(order_by, first))
+    return inside if stop is None else inside.where(~not_before(order_by, stop))
 
 
 def schema_table(df: DataFrame) -> DataFrame:
