@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.llm import bag_minhash, feistel_shards, mix_fill, ngram_leaks, toxic_gru
-from spendlens.llm.shared import written
+from spendlens.llm.shared import discard, written
 from spendlens.session import apply_skew_settings
 
 
@@ -21,7 +21,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id stays."""
+    """Of each group of near-duplicates, the document with the smallest id stays; no text without a near-duplicate goes."""
     apply_skew_settings(spark)
     return bag_minhash.keep_one_per_class(docs)
 
@@ -60,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # the stage's input, unless it is the given table
     return docs
