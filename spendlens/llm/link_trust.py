@@ -52,7 +52,7 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     )
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-10) -> DataFrame:
     """``hosts`` (host, trust_seed, distrust_seed; seeds sum to one, or are all 0) with ``trust`` and ``distrust``.
 
     What a host without links would pass on goes back to the seeds. Rounds go on until no host moves by ``tolerance`` in the units

@@ -131,7 +131,7 @@ def _scanned(docs: DataFrame, block: Block, text: str, carry: list[str], **wante
 
 
 def _word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
 
 
 def _put_together(parts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import ALNUM, LOWER, doc_of, slices
@@ -366,27 +366,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     return [r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.float32)
 
 
-def _likely(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows whose key may be a known one: no known key is lost, and few others stay while keys are fewer than bits.
+def _bit(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(KEY_BITS))
 
-    One hash per key marks a bit; the bits come to the driver and back as at most ``KEY_BITS / 32768`` bitmaps of 4 KB, whatever
-    the number of keys, so texts without a label are passed over before they are scored, and no text is shuffled."""
-    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(KEY_BITS))
-    marked = known.select((bit("_key") + 1).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(
+
+def known_bits(known: DataFrame) -> np.ndarray:
+    """A bit per hash of a key in ``known`` (_key): at most ``KEY_BITS / 32768`` bitmaps of 4 KB come to the driver, whatever the number of keys."""
+    marked = known.select((_bit("_key") + 1).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
     bits = np.zeros(KEY_BITS // 8, np.uint8)
     for r in marked:
         bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
 
-    def pick(batches):
+def score_likely(rows: DataFrame, known: DataFrame, model: ToxicModel) -> DataFrame:
+    """(_of, _score) of the rows (_of, _text) whose key may be in ``known``: no known key is lost, and few others stay while
+    keys are fewer than bits. Texts without a label are passed over before they are scored, and no text is shuffled."""
+    context = rows.sparkSession.sparkContext
+    bits, shared = context.broadcast(known_bits(known)), context.broadcast(model)
+
+    def score(batches):
         for batch in batches:
             at = batch.column("_bit").to_numpy()
-            marks = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield batch.drop_columns(["_bit"]).filter(pa.array(marks.astype(bool)))
+            own = batch.filter(pa.array(((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays([own.column("_of"), pa.array(shared.value.score(own.column("_text")))], names=["_of", "_score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumn("_bit", bit("_of")).mapInArrow(pick, schema)
+    return rows.withColumn("_bit", _bit("_of")).mapInArrow(score, f"_of {rows.schema['_of'].dataType.simpleString()}, _score double")
 
 
 def score_bins(docs: DataFrame, labels: DataFrame, model: ToxicModel, trained: list, key: str = "doc_id", text: str = "text",
@@ -400,7 +406,7 @@ def score_bins(docs: DataFrame, labels: DataFrame, model: ToxicModel, trained: l
     score = F.col("_score")
     logit = F.when(score >= 1, F.lit(float(BIN_SPAN))).otherwise(F.ln(score) - F.ln(1 - score))
     bin_ = F.least(F.greatest(F.floor(logit * BINS), F.lit(-BIN_SPAN * BINS)), F.lit(BIN_SPAN * BINS - 1)).cast("int")
-    found = score_toxicity(_likely(rows, known), model, "_text", keep=["_of"]).filter(score > 0).join(known, F.col("_of") == F.col("_key")) \
+    found = score_likely(rows.filter(F.col("_of").isNotNull()), known, model).filter(score > 0).join(known, F.col("_of") == F.col("_key")) \
         .groupBy(bin_.alias("bin"), (F.col("_label") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()
     return {(r["bin"], r["toxic"]): r["n"] for r in found}
 

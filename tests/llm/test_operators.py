@@ -161,7 +161,7 @@ def test_places_can_be_computed(spark):
 # --- op4
 
 
-def brute_trust(pages, links, steps=20, damping=0.85):
+def brute_trust(pages, links, steps=200, damping=0.85):
     """pages: host -> (pages, allowed, blocked); links: (src, dst) -> w."""
     hosts = sorted({*pages, *(h for e in links for h in e)})
     at = {h: i for i, h in enumerate(hosts)}
