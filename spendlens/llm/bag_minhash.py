@@ -9,17 +9,14 @@ shingle of weight w costs log w processes, and points later than the last compon
 Signatures are banded; documents that share a band are candidates, and candidates are verified on the exact multiset
 overlap. Documents with the same words are one node. In a bucket of a band, members are compared with one leader,
 not with each other; what is then in one class needs no more comparison. Further leaders follow as long as they settle
-buckets. Of the members of different classes, most pairs are ruled out without reading texts: the similarities to the
-leader differ too much (distances obey the triangle inequality), or the signatures do.
+buckets. Of the members of different classes, most pairs are ruled out by their signatures without comparing texts.
 
 Pairs are measured in blocks: nodes of one neighbourhood share a block of bounded size, and a task gets the shingles of each
-node of two blocks once, however many pairs of theirs it measures.
+node of two blocks once, however many pairs of theirs it measures. The last, dense step makes its pairs inside the tasks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,6 +33,7 @@ SHINGLE = 5
 SETTLED = 0.2
 #: Shingles and nodes of a block; a task holds two blocks, and no more pairs than their nodes make.
 BLOCK_SHINGLES, BLOCK_NODES = 1 << 20, 2500
+PAIR_ROWS = 64  # nodes of a block that meet all of another at a time
 #: Four bits are kept of each component. At similarity 0.8 a pair differs in 96 of 512 on average, with a deviation of
 #: 8.8; beyond this many, 5.2 deviations away, a pair can only be that similar once in 10 million.
 BITS, MAX_DIFFERENT = 4, 142
@@ -109,17 +107,6 @@ def bands(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(banded + np.arange(BANDS, dtype=np.uint64) * _STEP).view(np.int64), np.concatenate(planes, 1)
 
 
-def _differences(left: str, right: str):
-    """In how many components the bits of two sketches differ."""
-    words = SIZE // 64
-
-    def unequal(i):
-        planes = [F.get(left, F.lit(i + b * words)).bitwiseXOR(F.get(right, F.lit(i + b * words))) for b in range(BITS)]
-        return F.bit_count(reduce(Column.bitwiseOR, planes))
-
-    return reduce(Column.__add__, map(unequal, range(words)))
-
-
 def text_digests(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     """Two 64-bit digests of each document's word sequence."""
     out, n = [], np.diff(first)
@@ -231,6 +218,57 @@ def _measured(pairs: DataFrame, blocks: DataFrame, multisets: DataFrame) -> Data
     return out
 
 
+def _block_links(share: tuple[int, int]):
+    """Links between nodes of different classes in two blocks (or in one): pairs that share a bucket and whose sketches do not rule
+    them out are decided by exact overlap inside the task, and only links leave it."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node, block, own = (rows.column(c).to_numpy() for c in ("node", "block", "class"))
+        bucket = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+        planes = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), BITS, SIZE // 64)
+        u, v = rows.column("u")[0].as_py(), rows.column("v")[0].as_py()
+        left, right = np.flatnonzero(block == u), np.flatnonzero(block == v)
+        found_a, found_b = [], []
+        for lo in range(0, len(left), PAIR_ROWS):
+            some = left[lo : lo + PAIR_ROWS]
+            met = (bucket[some][:, None, :] == bucket[right][None, :, :]).any(2) & (own[some][:, None] != own[right][None, :])
+            if u == v:
+                met &= some[:, None] < right[None, :]
+            i, j = np.nonzero(met)
+            i, j = some[i], right[j]
+            differ = np.bitwise_count(np.bitwise_or.reduce(planes[i] ^ planes[j], axis=1)).sum(1)
+            near = differ <= MAX_DIFFERENT
+            if near.any():
+                pairs = _overlaps(pa.table({"a": node[i[near]], "b": node[j[near]]}), rows)
+                overlap, total = pairs.column("overlap").to_numpy(), pairs.column("total").to_numpy()
+                linked = overlap * share[1] >= total * share[0]
+                found_a.append(pairs.column("a").to_numpy()[linked])
+                found_b.append(pairs.column("b").to_numpy()[linked])
+        joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.table({"a": joined(found_a), "b": joined(found_b)})
+
+    return run
+
+
+def _decided(opened: DataFrame, blocks: DataFrame, nodes: DataFrame, multisets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b): the links among ``opened`` (bucket, node, class), nodes of buckets that hold several classes. A node goes once to each
+    block that shares a bucket with its own; pairs are never rows of a table."""
+    placed = opened.join(blocks.select(F.col("node").alias("_m"), "block"), F.col("node") == F.col("_m"))
+    held = written(placed.select("bucket", "block").distinct(), "near-open-blocks")
+    units = written(
+        held.select("bucket", F.col("block").alias("u")).join(held.select(F.col("bucket").alias("_b"), F.col("block").alias("v")),
+                                                              (F.col("bucket") == F.col("_b")) & (F.col("u") <= F.col("v")))
+        .select("u", "v").distinct(), "near-units")
+    details = placed.select("node", "class", "block").distinct() \
+        .join(nodes.select(F.col("node").alias("_n"), "bands", "sketch"), F.col("node") == F.col("_n")) \
+        .join(multisets.select(F.col("node").alias("_c"), "codes"), F.col("node") == F.col("_c")).select("node", "class", "block", "bands", "sketch", "codes")
+    sides = units.select("u", "v", F.col("u").alias("_at")).unionByName(units.filter("u <> v").select("u", "v", F.col("v").alias("_at")))
+    sent = sides.join(details, F.col("_at") == F.col("block")).drop("_at")
+    out = written(sent.groupBy("u", "v").applyInArrow(_block_links(share), "a long, b long"), "near-decided")
+    discard(held, units)
+    return out
+
+
 def _neighbourhoods(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, block): nodes whose smallest leader is the same lie in one block, or in several if they are many or long."""
     homes = written(members.groupBy("node").agg(F.min("leader").alias("home")).join(
@@ -271,54 +309,35 @@ def _classed(docs: DataFrame, key: str, text: str, share: tuple[int, int]) -> Da
     def near(measured: DataFrame) -> DataFrame:
         return measured.filter(F.col("overlap") * share[1] >= F.col("total") * share[0]).select("a", "b")
 
-    def linked(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The links so far and those among ``pairs``; what is not alike is not kept."""
-        measured = _measured(pairs, blocks, multisets)
-        out = written(edges.unionByName(near(measured)), "near-links")
-        discard(measured, edges)
-        return out
-
     led = _measured(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), blocks, multisets)
     edges = written(near(led), "near-links")
-    far = led.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("overlap") / F.col("total")).alias("far"))
+    far = led.select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("overlap") / F.col("total")).alias("far"))  # from leaders
     # a node that is close to the leaders it has met lies in the middle of its group
     middle = written(
         far.select(F.col("_a").alias("_c"), "far").unionByName(far.select(F.col("_b").alias("_c"), "far"))
         .groupBy("_c").agg(F.avg("far").alias("mean_far")), "near-middle")
-    details = nodes.select(F.col("node").alias("_m"), "sketch", "bands")
     classes, before = connected_classes(edges), None
     while True:
         held = written(
             members.join(classes.select(F.col("node").alias("_n"), "class"), F.col("node") == F.col("_n"), "left")
             .join(middle, F.col("node") == F.col("_c"), "left")
-            .select("band", "bucket", "node", "leader", "mean_far", F.coalesce("class", "node").alias("class")), "near-held")
+            .select("bucket", "node", "mean_far", F.coalesce("class", "node").alias("class")), "near-held")
         still = written(held.groupBy("bucket").agg(
             F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"),
             F.min(F.struct("mean_far", "node", "class")).alias("star")).filter("lo <> hi"), "near-open")
         n_open = still.agg(F.sum("n")).first()[0] or 0
+        leaders = before is None or n_open <= (1 - SETTLED) * before
         if n_open:
             mixed = held.join(still.select("bucket", "star"), "bucket")
-            leaders = before is None or n_open <= (1 - SETTLED) * before
             if leaders:  # the middle of each bucket that holds several classes as another leader
                 pairs = mixed.filter(F.col("class") != F.col("star.class")).select(F.col("star.node").alias("a"), F.col("node").alias("b"))
-                opened = None
-            else:  # what is left: pairs of different classes that neither distances to the leader nor signatures rule out
-                opened = written(
-                    mixed.filter("node <> leader").drop("star")
-                    .join(far, (F.col("leader") == F.col("_a")) & (F.col("node") == F.col("_b")))
-                    .join(details, F.col("node") == F.col("_m"))
-                    .select("bucket", "band", "node", "class", "far", "sketch", "bands"), "near-mixed")
-                left = opened.select("bucket", *(F.col(c).alias("l_" + c) for c in ("node", "class", "far", "sketch", "bands")))
-                equal = F.zip_with("l_bands", "bands", lambda x, y: x == y)
-                pairs = left.join(
-                    opened.withColumnRenamed("bucket", "_bucket"),
-                    (F.col("bucket") == F.col("_bucket")) & (F.col("l_class") < F.col("class"))
-                    & (F.abs(F.col("l_far") - F.col("far")) <= 1 - share[0] / share[1] + 1e-9)
-                    & (_differences("l_sketch", "sketch") <= MAX_DIFFERENT)
-                    & (F.array_position(equal, F.lit(True)) == F.col("band") + 1),  # once, in the first band they share
-                ).select(F.col("l_node").alias("a"), F.col("node").alias("b"))
-            edges = linked(edges, pairs)
-            discard(opened, classes)
+                measured = _measured(pairs, blocks, multisets)
+                found = near(measured)
+            else:  # what is left: pairs of different classes that the signatures do not rule out
+                found = measured = _decided(mixed.select("bucket", "node", "class"), blocks, nodes, multisets, share)
+            after = written(edges.unionByName(found), "near-links")
+            discard(measured, edges, classes)
+            edges = after
             classes = connected_classes(edges)
         discard(held, still)
         if not n_open or not leaders:
