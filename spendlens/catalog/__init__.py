@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from ..session import apply_skew_settings
+from ..session import apply_size_settings, apply_skew_settings
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,7 @@ def query(name: str, sql: str | None = None):
         @functools.wraps(fn)
         def run(spark, sf_dir):
             apply_skew_settings(spark)
+            apply_size_settings(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
