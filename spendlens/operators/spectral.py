@@ -42,28 +42,38 @@ def gap_intervals(df: DataFrame, key: str, start: str = "started", end: str = "e
     )
 
 
-def gap_array(mode: str = "exact") -> Column:
-    """0/1 values of a gap series from the columns ``length`` and ``gaps``."""
-    if mode == "legacy":  # intervals may overlap and run past the end
-        days = F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("length") - 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        idle = lambda t: F.exists("gaps", lambda g: (g["lo"] <= t) & (t < g["hi"]))
-        return F.transform(days, lambda t: F.when(idle(t), 0.0).otherwise(1.0))
+def gap_arrays(spans: DataFrame, mode: str = "exact", name: str = "xs") -> DataFrame:
+    """Add the 0/1 values of a gap series to rows of :func:`gap_intervals` of the same ``mode``."""
+    if mode == "legacy":  # intervals may overlap and run past the end; a step of its own, as the array refers to it often
+        spans = spans.withColumn("gaps", _merged_gaps())
     # gaps follow each other without overlap: lay down ones up to each, then its zeros
     before = lambda i: F.when(i > 0, F.col("gaps")[F.greatest(i - 1, F.lit(0))]["hi"]).otherwise(0)
     pieces = F.transform("gaps", lambda g, i: F.concat(
         F.array_repeat(F.lit(1.0), g["lo"] - before(i)), F.array_repeat(F.lit(0.0), g["hi"] - g["lo"])
     ))
-    last = F.coalesce(F.try_element_at("gaps", F.lit(-1))["hi"], F.lit(0))
-    return F.concat(F.flatten(pieces), F.array_repeat(F.lit(1.0), F.col("length") - last))
+    tail = F.array_repeat(F.lit(1.0), F.col("length") - _last_end(F.col("gaps")))
+    return spans.withColumn(name, F.concat(F.flatten(pieces), tail))
+
+
+def _last_end(gaps: Column) -> Column:
+    return F.coalesce(F.try_element_at(gaps, F.lit(-1))["hi"], F.lit(0))
+
+
+def _merged_gaps() -> Column:
+    """The sorted ``gaps`` inside 0 .. ``length``, each without the days of those before it."""
+
+    def add(done, g):
+        lo, hi = F.greatest(g["lo"], _last_end(done)), F.least(g["hi"], F.col("length"))
+        return F.when(lo < hi, F.concat(done, F.array(F.struct(lo.alias("lo"), hi.alias("hi"))))).otherwise(done)
+
+    return F.aggregate("gaps", F.array().cast("array<struct<lo:int,hi:int>>"), add)
 
 
 def gap_series(df: DataFrame, key: str, start: str = "started", end: str = "ended",
                id_: str = "cycle_id", mode: str = "exact") -> DataFrame:
     """Rows (key, t, x): 1 on days covered by a cycle, 0 in the gaps between cycles."""
     spans = gap_intervals(df, key, start, end, id_, mode)
-    return spans.select(key, F.posexplode(gap_array(mode)).alias("t", "x"))
+    return gap_arrays(spans, mode).select(key, F.posexplode("xs").alias("t", "x"))
 
 
 def activity_series(df: DataFrame, key: str, slot: Column, name: str = "t") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.spectral import (
-    detrended_spectrum, gap_array, gap_intervals, ks_uniform, seasonal_slope_of_arrays, series_arrays,
+    detrended_spectrum, gap_arrays, gap_intervals, ks_uniform, seasonal_slope_of_arrays, series_arrays,
 )
 
 
@@ -35,5 +35,5 @@ def detect_cycle_seasonality(df: DataFrame, key: str, start: str = "started", en
     Keys with fewer than ``w`` cycles are not tested.
     """
     spans = gap_intervals(df, key, start, end, id_, mode)
-    arrays = spans.select(key, F.when(F.col("cycles") >= w, gap_array(mode)).alias("xs"))
+    arrays = gap_arrays(spans, mode).select(key, F.when(F.col("cycles") >= w, F.col("xs")).alias("xs"))
     return seasonal_slope_of_arrays(arrays, key, "xs", w, threshold)

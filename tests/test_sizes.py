@@ -1,8 +1,11 @@
-"""Sizes of tasks."""
+"""Sizes of tasks, and gap series that overlap."""
+
+import random
 
 import pytest
 
 import __spark_entry__ as entry
+from spendlens.operators import spectral
 
 
 @pytest.mark.parametrize("name", ["C4_anomalies_of_customers", "C4_anomalies_adjacent_runs", "T19_collapse_adjacent", "W8_run_length",
@@ -19,3 +22,17 @@ def test_a_query_bounds_the_bytes_of_a_task(spark, small, name):
     finally:
         for n, v in before.items():
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_overlapping_gaps_are_laid_down_once(spark):
+    rng, rows = random.Random(1), []
+    for k in range(200):
+        starts = [rng.randint(-2, 60) for _ in range(rng.randint(0, 8))]
+        rows.append((k, rng.choice([-3, 0, 1, 5, 30, 80]), sorted((lo, lo + rng.randint(1, 30)) for lo in starts)))
+    df = spark.createDataFrame(rows, "k int, length int, gaps array<struct<lo:int,hi:int>>")
+    out = spectral.gap_arrays(df, "legacy")
+    got = {r["k"]: r["xs"] for r in out.collect()}
+    for k, n, gaps in rows:
+        assert got[k] == [0.0 if any(a <= t < b for a, b in gaps) else 1.0 for t in range(n)]
+    # no day is compared with every gap
+    assert "exists(" not in out._jdf.queryExecution().optimizedPlan().toString()
