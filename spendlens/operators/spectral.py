@@ -117,7 +117,15 @@ def scaled_powers(stack: np.ndarray, w: int | None) -> tuple[np.ndarray, np.ndar
     # rounding noise of a flat spectrum is no signal
     flat = high[:, 0] - low[:, 0] <= 1e-12 * np.maximum(1.0, (stack**2).sum(axis=1) * n)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return ((power - low) / (high - low))[:, : nfft // 2], flat
+        return (power[:, : nfft // 2] - low) / (high - low), flat
+
+
+def pieces_of(batch: pd.Series) -> Iterator[pd.Series]:
+    """A batch of arrays cut into runs of rows of about ``CELLS`` values, so that neither stacks nor results grow with its rows."""
+    sizes = batch.map(lambda v: 1 if v is None else len(v) + 1).to_numpy(dtype="int64")
+    part = np.cumsum(sizes) // CELLS
+    for p in np.unique(part):
+        yield batch[part == p]
 
 
 def stacks_by_length(batch: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -137,7 +145,7 @@ def half_power(xs: Column, w: int | None = None) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def transform(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
+        for batch in (piece for whole_batch in batches for piece in pieces_of(whole_batch)):
             out: list = [None] * len(batch)
             for rows, stack in stacks_by_length(batch):
                 for r, values, is_flat in zip(rows, *scaled_powers(stack, w)):
@@ -156,7 +164,7 @@ def period_fit(xs: Column, w: int | None = None) -> Column:
 
     @F.pandas_udf("bin int, slope double")
     def fit(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (piece for whole_batch in batches for piece in pieces_of(whole_batch)):
             bins, slopes = np.zeros(len(batch), dtype="int32"), np.zeros(len(batch))
             for rows, stack in stacks_by_length(batch):
                 powers, flat = scaled_powers(stack, w)

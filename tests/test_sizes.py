@@ -1,7 +1,9 @@
-"""Sizes of tasks, and gap series that overlap."""
+"""Sizes of tasks and of batches, and gap series that overlap."""
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -24,6 +26,26 @@ def test_a_query_bounds_the_bytes_of_a_task(spark, small, name):
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
+def test_pieces_of_a_batch_are_bounded(monkeypatch):
+    monkeypatch.setattr(spectral, "CELLS", 100)
+    rng = np.random.default_rng(2)
+    batch = pd.Series([None if i % 7 == 0 else rng.normal(size=rng.integers(0, 60)) for i in range(200)], dtype=object)
+    pieces = list(spectral.pieces_of(batch))
+    assert [id(v) for p in pieces for v in p] == [id(v) for v in batch]
+    assert max(sum(len(v) for v in p.iloc[1:] if v is not None) for p in pieces) <= 100
+    assert list(spectral.pieces_of(batch.iloc[:0])) == []
+
+
+def test_spectra_of_pieces_are_those_of_the_batch(spark, small):
+    from spendlens.frames import supplier_series
+
+    df = spectral.series_arrays(supplier_series(spark, small), "key")
+    got = {r["key"]: r["ps"] for r in df.select("key", spectral.half_power(df["xs"], 4).alias("ps")).collect()}
+    for r in df.collect():
+        powers, flat = spectral.scaled_powers(np.array([r["xs"]]), 4)
+        assert got[r["key"]] is None if flat[0] else np.allclose(got[r["key"]], powers[0], rtol=0, atol=1e-12)
+
+
 def test_overlapping_gaps_are_laid_down_once(spark):
     rng, rows = random.Random(1), []
     for k in range(200):
