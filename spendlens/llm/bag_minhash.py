@@ -252,20 +252,20 @@ def _block_links(share: tuple[int, int]):
 
 def _decided(opened: DataFrame, blocks: DataFrame, nodes: DataFrame, multisets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b): the links among ``opened`` (bucket, node, class), nodes of buckets that hold several classes. A node goes once to each
-    block that shares a bucket with its own; pairs are never rows of a table."""
-    placed = opened.join(blocks.select(F.col("node").alias("_m"), "block"), F.col("node") == F.col("_m"))
-    held = written(placed.select("bucket", "block").distinct(), "near-open-blocks")
-    units = written(
-        held.select("bucket", F.col("block").alias("u")).join(held.select(F.col("bucket").alias("_b"), F.col("block").alias("v")),
-                                                              (F.col("bucket") == F.col("_b")) & (F.col("u") <= F.col("v")))
-        .select("u", "v").distinct(), "near-units")
-    details = placed.select("node", "class", "block").distinct() \
-        .join(nodes.select(F.col("node").alias("_n"), "bands", "sketch"), F.col("node") == F.col("_n")) \
-        .join(multisets.select(F.col("node").alias("_c"), "codes"), F.col("node") == F.col("_c")).select("node", "class", "block", "bands", "sketch", "codes")
-    sides = units.select("u", "v", F.col("u").alias("_at")).unionByName(units.filter("u <> v").select("u", "v", F.col("v").alias("_at")))
-    sent = sides.join(details, F.col("_at") == F.col("block")).drop("_at")
+    block where a node of another class shares a bucket with it, its own among them; pairs are never rows of a table."""
+    placed = written(opened.join(blocks.select(F.col("node").alias("_m"), "block"), F.col("node") == F.col("_m"))
+                     .select("bucket", "node", "class", "block"), "near-placed")
+    held = written(placed.groupBy("bucket", "block").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+                   .groupBy("bucket").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("held")), "near-open-blocks")
+    others = F.transform(F.filter("held", lambda x: (x["lo"] != F.col("class")) | (x["hi"] != F.col("class"))), lambda x: x["block"])
+    led = placed.join(held, "bucket").select("node", "class", "block", others.alias("others")) \
+        .groupBy("node", "class", "block").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    details = led.join(nodes.select(F.col("node").alias("_n"), "bands", "sketch"), F.col("node") == F.col("_n")) \
+        .join(multisets.select(F.col("node").alias("_c"), "codes"), F.col("node") == F.col("_c"))
+    sent = details.select("node", "class", "block", "bands", "sketch", "codes", F.explode("others").alias("_at")) \
+        .withColumns({"u": F.least("block", "_at"), "v": F.greatest("block", "_at")}).drop("_at")
     out = written(sent.groupBy("u", "v").applyInArrow(_block_links(share), "a long, b long"), "near-decided")
-    discard(held, units)
+    discard(placed, held)
     return out
 
 
